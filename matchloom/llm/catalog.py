@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 from matchloom.llm.distinct_terms import log_odds, shared_rare_terms
 from matchloom.llm.groups import consolidate
+from matchloom.llm.listings import same_item_groups, same_item_pairs
+from matchloom.llm.linking import link_sources
 from matchloom.llm.leakage import leak_report, leaked_items
+from matchloom.llm.names import group_pairs, spelling_groups
 from matchloom.llm.packing import pack_texts
 from matchloom.llm.residue import residue_records
 from matchloom.llm.split_overlap import cross_split_overlaps, overlap_pairs, overlap_report
 from matchloom.llm.splits import assign_splits, key_groups, related_keys
+from matchloom.llm.tables import company_entities, unlabelled, unmapped
 from matchloom.session import Scratch
 
 
@@ -41,6 +45,42 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return consolidate(_read(spark, sf, "pairwise_matches_preds"), 0.999)
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return same_item_pairs(unlabelled(_read(spark, sf, "camera"), _read(spark, sf, "camera_entity_resolution_gt")))
+
+
+def p2_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return same_item_groups(_read(spark, sf, "camera"))
+
+
+def _companies(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    companies = _read(spark, sf, "companies")
+    entities = Scratch(spark, "entities").put("e", company_entities(companies, _read(spark, sf, "companies_master_mapping_seed_0")))
+    return companies, entities
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    companies, entities = _companies(spark, sf)
+    groups = spelling_groups(unmapped(companies, entities).where("data_source_id = '5'"))
+    return group_pairs(Scratch(spark, "p3").put("groups", groups))
+
+
+def _links(spark: SparkSession, sf: str) -> DataFrame:
+    companies, entities = _companies(spark, sf)
+    others = companies.where("data_source_id in ('1', '2', '3', '4')")
+    truth = entities.where("entity is not null")
+    labelled = others.join(truth.select("id").distinct(), "id", "left_semi")
+    return link_sources(unmapped(others, entities), labelled, truth)
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _links(spark, sf).select("lid", "rid")
+
+
+def p6_links(spark: SparkSession, sf: str) -> DataFrame:
+    return _links(spark, sf).withColumn("confidence", F.round("confidence", 4))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     parts = [
         related_keys(Scratch(spark, "p4").put("groups", key_groups(keys(spark, sf), "key", record))).select(F.lit(table).alias("map_table"), "key_a", "key_b")
@@ -95,4 +135,4 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return residue_records(_read(spark, sf, "documents")).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p4_found, p4_splits, p5_found, p5_scores, p7_found, p7_report, p8_packing, p9_found, p9_report, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_groups, p3_found, p4_found, p4_splits, p5_found, p5_scores, p6_found, p6_links, p7_found, p7_report, p8_packing, p9_found, p9_report, p10_found)}
