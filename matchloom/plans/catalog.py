@@ -1,5 +1,628 @@
-"""Queries over the project's tables."""
+"""Queries over the project's tables, one or more per operator."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from matchloom.functions import text as T
+from matchloom.operators import active, blocking, clean, graph, metrics, pairs, prep, splits
+from matchloom.operators.labeling import label_summary, oracle_label
+from matchloom.operators.scoring import TokenScorer
+from matchloom.plans.pipeline import CleanUp
+from matchloom.session import Scratch
+from matchloom.sources import tables as src
+
 QUERIES: dict = {}
+PREDS = ["lid", "rid", "prob", "match_type", "label", "manual_check_label"]
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+class Tables:
+    """Tables of one folder, and what several queries derive from them."""
+
+    def __init__(self, spark: SparkSession, sf: str):
+        self.spark, self.sf = spark, sf
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return src.read_table(self.spark, f"{self.sf}/{name}.parquet")
+
+    def preds(self) -> DataFrame:
+        return pairs.dedupe_predictions(self.pairwise_matches_preds.select(*PREDS))
+
+    def records(self) -> DataFrame:
+        return self.companies.groupBy("id").agg(*[F.min(c).alias(c) for c in ("data_source_id", "external_id", "name", "description", "city", "country_code", "founded_year")])
+
+    def entities(self) -> DataFrame:
+        m = self.companies_master_mapping_seed_0.where("gen_id is not null").select(F.upper(F.trim("external_id")).alias("x"), F.col("data_source_id").alias("s"), F.col("gen_id").alias("entity"))
+        c = self.companies.select("id", F.upper(F.trim("external_id")).alias("x"), F.col("data_source_id").alias("s"))
+        return c.join(m.distinct(), ["x", "s"]).select("id", "entity").distinct()
+
+    def state(self) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        """Predictions, graph, components and scored transitive pairs, written once."""
+        scratch = Scratch(self.spark, "state")
+        preds = scratch.put("preds", self.preds())
+        edges = scratch.put("edges", graph.match_graph(preds))
+        members = scratch.put("members", graph.components(edges))
+        scored = scratch.put("scored", TokenScorer("name", cut=0.5).score(graph.transitive_pairs(edges, members), self.companies))
+        return preds, edges, members, scored
+
+
+# pair tables
+
+
+@query
+def pair_canonicalize(spark, sf):
+    return pairs.canonical(Tables(spark, sf).pairwise_matches_preds.select("lid", "rid", "prob"))
+
+
+@query
+def pair_dedupe(spark, sf):
+    return pairs.dedupe_predictions(Tables(spark, sf).pairwise_matches_preds.select(*PREDS), 0.999)
+
+
+@query
+def pair_distinct(spark, sf):
+    return pairs.distinct_pairs(Tables(spark, sf).pairwise_matches_preds)
+
+
+@query
+def pair_attach_label(spark, sf):
+    t = Tables(spark, sf)
+    return pairs.attach_label(pairs.distinct_pairs(t.val), t.train)
+
+
+@query
+def pair_truth_filter(spark, sf):
+    return pairs.distinct_pairs(Tables(spark, sf).train.where("label = 1"))
+
+
+@query
+def pair_positional_ids(spark, sf):
+    t = Tables(spark, sf)
+    pos = pairs.positional_ids(t.camera.select("id").distinct(), ["id"])
+    return pairs.translate(t.train.select("lid", "rid", "label"), pos, "id", "position")
+
+
+@query
+def pairs_without_annotated(spark, sf):
+    t = Tables(spark, sf)
+    return pairs.without(pairs.distinct_pairs(t.test), t.train)
+
+
+@query
+def pair_accumulate(spark, sf):
+    t = Tables(spark, sf)
+    a, b = (pairs.canonical(x.select("lid", "rid", "label")) for x in (t.val, t.test))
+    return pairs.accumulate(a, b)
+
+
+@query
+def pair_apply_checks(spark, sf):
+    return pairs.apply_checks(Tables(spark, sf).preds()).select("lid", "rid", "prob")
+
+
+@query
+def pair_lookup_score(spark, sf):
+    t = Tables(spark, sf)
+    both = pairs.distinct_pairs(t.pairwise_matches_preds.where("match_type = 'text_match'"))
+    return pairs.lookup_score(both, t.preds())
+
+
+# scans
+
+
+@query
+def records_in_pairs(spark, sf):
+    t = Tables(spark, sf)
+    return src.records_in_pairs(t.camera.select("id", "spec_id"), t.test).distinct()
+
+
+@query
+def records_in_positive_pairs(spark, sf):
+    t = Tables(spark, sf)
+    return src.records_in_pairs(t.camera.select("id", "spec_id"), t.test, F.col("label") == 1).distinct()
+
+
+@query
+def pair_adjacency(spark, sf):
+    x = src.adjacency(Tables(spark, sf).train)
+    return x.select("lid", F.array_join(F.transform("rids", lambda r: r.cast("string")), ",").alias("rids"))
+
+
+@query
+def union_tables(spark, sf):
+    t = Tables(spark, sf)
+    return src.union_tables(t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")), t.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")))
+
+
+@query
+def json_to_text(spark, sf):
+    title, text = T.json_text(F.col("props"))
+    return Tables(spark, sf).events.select("event_id", text.alias("text"))
+
+
+# record preparation
+
+
+@query
+def text_strip_punctuation(spark, sf):
+    return Tables(spark, sf).companies.select("id", T.strip_punctuation(F.col("name")).alias("name")).distinct()
+
+
+@query
+def text_normalize(spark, sf):
+    return Tables(spark, sf).records().select("id", T.normalize(F.col("description")).alias("text"))
+
+
+@query
+def text_tfidf_prune(spark, sf):
+    return T.tf_idf_prune(Tables(spark, sf).records(), "id", "description")
+
+
+@query
+def row_concat(spark, sf):
+    return Tables(spark, sf).records().select("id", T.concat_row(["name", "city", "country_code", "founded_year"]).alias("concat_data"))
+
+
+@query
+def serialize_attributes(spark, sf):
+    return Tables(spark, sf).records().select("id", T.serialize(["name", "city", "country_code"]).alias("text"))
+
+
+@query
+def tokenise_records(spark, sf):
+    x = prep.tokenise(Tables(spark, sf).records().select("id", "name", "city"))
+    return x.select("id", "concat_data", F.array_join("tokenized", " ").alias("tokens"), F.size("tokenized").cast("long").alias("n"))
+
+
+@query
+def sequence_build(spark, sf):
+    t = Tables(spark, sf)
+    tokens = prep.tokenise(t.camera.groupBy("id").agg(F.min("page_title").alias("page_title")))
+    x = prep.pair_samples(pairs.distinct_pairs(t.val).withColumn("label", F.lit(0)), tokens, 16)
+    join = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), " ")
+    return x.select("lid", "rid", F.array_join("tokens", " ").alias("tokens"), join("segment_ids").alias("segment_ids"), join("mask").alias("mask"))
+
+
+@query
+def company_view(spark, sf):
+    return prep.company_view(Tables(spark, sf).records().drop("data_source_id", "external_id")).select("id", "name", "city", "description")
+
+
+@query
+def attach_raw_id(spark, sf):
+    t = Tables(spark, sf)
+    m = t.companies_master_mapping_seed_0.select("gen_id", F.upper(F.trim("external_id")).alias("external_id"), "data_source_id")
+    return prep.attach_raw_id(m, t.companies.select("id", "external_id", "data_source_id").distinct())
+
+
+@query
+def assign_ids(spark, sf):
+    return prep.assign_ids(Tables(spark, sf).nation.select("n_name", "n_regionkey"), ["n_name"])
+
+
+@query
+def whole_numbers(spark, sf):
+    return prep.whole_numbers(Tables(spark, sf).lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_tax"), ["l_quantity", "l_tax"])
+
+
+@query
+def token_augment(spark, sf):
+    x = prep.augment(prep.tokenise(Tables(spark, sf).records().select("id", "name")), "shuffle_token")
+    return x.select("id", F.array_join("tokenized", " ").alias("tokens"))
+
+
+# splits, truth, negatives
+
+
+@query
+def entity_split(spark, sf):
+    return splits.entity_split(Tables(spark, sf).companies_master_mapping_seed_0.select(F.col("gen_id").alias("entity")))
+
+
+@query
+def random_split(spark, sf):
+    return splits.random_split(pairs.distinct_pairs(Tables(spark, sf).train), ["lid", "rid"])
+
+
+@query
+def pairs_within_entity(spark, sf):
+    g = Tables(spark, sf)
+    m = g.camera_entity_resolution_gt.select(F.upper(F.trim("entity_id")).alias("entity"), "spec_id").distinct()
+    return splits.pairs_within(g.camera.select("id", "spec_id").distinct().join(m, "spec_id"))
+
+
+@query
+def close_truth(spark, sf):
+    return splits.close_truth(Tables(spark, sf).test)
+
+
+@query
+def random_negatives(spark, sf):
+    t = Tables(spark, sf)
+    return splits.random_negatives(t.camera.select("id").distinct(), t.train, 500)
+
+
+# blocking
+
+
+@query
+def block_id_overlap(spark, sf):
+    ids = {"name": F.lower(F.trim("name")), "place": F.concat_ws("|", F.when(F.col("city").isNotNull() & F.col("founded_year").isNotNull(), F.concat_ws("|", F.lower("city"), F.col("country_code"), F.col("founded_year"))))}
+    return blocking.id_overlap(Tables(spark, sf).records(), ids, "data_source_id")
+
+
+@query
+def block_token_topn_cross(spark, sf):
+    return blocking.top_token_overlap(Tables(spark, sf).records(), "name", 5, "data_source_id")
+
+
+@query
+def block_token_topn_single(spark, sf):
+    return blocking.top_token_overlap(Tables(spark, sf).camera.groupBy("id").agg(F.min("page_title").alias("page_title")), "page_title", 10)
+
+
+@query
+def block_union_labelled(spark, sf):
+    t = Tables(spark, sf)
+    r = t.records()
+    named = blocking.id_overlap(r, {"name": F.lower(F.trim("name"))}, "data_source_id")
+    near = blocking.top_token_overlap(r, "name", 5, "data_source_id")
+    return blocking.label_candidates(blocking.merge_candidates({"id_overlap": named, "text_match": near}), entities=t.entities())
+
+
+@query
+def block_rules(spark, sf):
+    t = Tables(spark, sf)
+    return blocking.rule_filter(pairs.distinct_pairs(t.pairwise_matches_preds), t.records(), ["city"], ["founded_year"], [])
+
+
+def _cosine(spark, sf, k):
+    e = Tables(spark, sf).embeddings
+    return blocking.cosine_top_k(e, e, k).withColumn("sim", F.round("sim", 5))
+
+
+@query
+def block_cosine_topk(spark, sf):
+    return _cosine(spark, sf, 5)
+
+
+@query
+def block_rank_slice(spark, sf):
+    return blocking.rank_slice(_cosine(spark, sf, 5), 2, 4)
+
+
+@query
+def mutual_nn_pseudo_labels(spark, sf):
+    x = Scratch(spark, "cos").put("x", _cosine(spark, sf, 5))
+    return active.mutual_pseudo_labels(x, x, 0.02)
+
+
+# scoring
+
+
+def _titles(spark, sf, measure):
+    t = Tables(spark, sf)
+    return TokenScorer("page_title", measure).score(t.val, t.camera).withColumn("prob", F.round("prob", 6))
+
+
+@query
+def score_jaccard(spark, sf):
+    return _titles(spark, sf, "jaccard")
+
+
+@query
+def score_containment(spark, sf):
+    return _titles(spark, sf, "containment")
+
+
+# graph
+
+
+@query
+def graph_edges(spark, sf):
+    return graph.match_graph(Tables(spark, sf).pairwise_matches_preds.select(*PREDS))
+
+
+def _graph(spark, sf):
+    edges = Scratch(spark, "graph").put("edges", graph_edges(spark, sf))
+    return edges, Scratch(spark, "graph").put("members", graph.components(edges))
+
+
+@query
+def graph_components(spark, sf):
+    return _graph(spark, sf)[1]
+
+
+@query
+def component_sizes(spark, sf):
+    return graph.components_by_size(_graph(spark, sf)[1])
+
+
+@query
+def component_edges(spark, sf):
+    return graph.edges_of(*_graph(spark, sf)).select("component_id", "lid", "rid")
+
+
+@query
+def transitive_pairs_capped(spark, sf):
+    return graph.transitive_pairs(*_graph(spark, sf))
+
+
+@query
+def transitive_pairs_recovery(spark, sf):
+    return graph.transitive_pairs(*_graph(spark, sf), most=5, exclusive=True)
+
+
+@query
+def transitive_pairs_all(spark, sf):
+    return graph.transitive_pairs(*_graph(spark, sf), most=None)
+
+
+@query
+def transitive_pairs_sampled(spark, sf):
+    edges, members = _graph(spark, sf)
+    return graph.transitive_pairs(edges, graph.sampled_members(members, 10), None)
+
+
+@query
+def augmented_graph(spark, sf):
+    return graph.augmented_graph(*_graph(spark, sf))
+
+
+@query
+def big_components(spark, sf):
+    return graph.big_components(_graph(spark, sf)[1], 20)
+
+
+@query
+def transitive_votes(spark, sf):
+    _, _, members, scored = Tables(spark, sf).state()
+    return graph.transitive_votes(scored, members)
+
+
+@query
+def truncate_large_components(spark, sf):
+    preds, _, members, _ = Tables(spark, sf).state()
+    return graph.truncate_large(preds, members, most=10).select("lid", "rid", "prob")
+
+
+@query
+def min_edge_cut(spark, sf):
+    return graph.minimum_cuts(*_graph(spark, sf))
+
+
+@query
+def shortest_paths(spark, sf):
+    _, edges, members, scored = Tables(spark, sf).state()
+    return graph.shortest_paths(edges, members, scored.where("prob = 0"))
+
+
+# clean-up
+
+
+@query
+def select_edges_to_label(spark, sf):
+    preds, _, members, scored = Tables(spark, sf).state()
+    return clean.select_edges(preds, scored, members, 100)
+
+
+@query
+def update_predictions(spark, sf):
+    preds, _, members, scored = Tables(spark, sf).state()
+    return clean.update_predictions(preds, scored, members)
+
+
+@query
+def post_cleanup(spark, sf):
+    preds, _, _, scored = Tables(spark, sf).state()
+    return clean.post_cleanup(preds, scored)
+
+
+@query
+def check_large(spark, sf):
+    preds, _, members, _ = Tables(spark, sf).state()
+    return clean.check_large(preds, members, most=10).select("lid", "rid", "prob", "manual_check_label")
+
+
+@query
+def check_checked_false(spark, sf):
+    preds, edges, members, _ = Tables(spark, sf).state()
+    t = graph.transitive_pairs(edges, members)
+    return clean.check_checked_false(preds, t, members).select("lid", "rid", "prob", "manual_check_label")
+
+
+@query
+def check_transitive(spark, sf):
+    preds, _, members, scored = Tables(spark, sf).state()
+    return clean.check_transitive(preds, scored, members).select("lid", "rid", "prob", "manual_check_label")
+
+
+@query
+def oracle_labels(spark, sf):
+    preds = Tables(spark, sf).preds()
+    return oracle_label(preds, preds.where("prob > 0.5 and prob <= 0.999")).select("lid", "rid", "manual_check_label")
+
+
+@query
+def label_summary_(spark, sf):
+    return label_summary(Tables(spark, sf).preds())
+
+
+QUERIES["label_summary"] = QUERIES.pop("label_summary_")
+
+
+@query
+def stage_counts(spark, sf):
+    return clean.stage_counts(Tables(spark, sf).preds())
+
+
+@query
+def edge_recovery(spark, sf):
+    t = Tables(spark, sf)
+    preds, _, members, scored = t.state()
+    scratch = Scratch(spark, "recover")
+    cut = scratch.put("cut", clean.update_predictions(preds, scored, members))
+    scorer = TokenScorer("name", cut=0.5)
+    rescored = scratch.put("rescored", scorer.score(cut.where("prob = 0"), t.companies))
+    closing = scratch.put("closing", scorer.score(clean.recovery_pairs(cut, rescored.where("prob >= 0.999")), t.companies))
+    return clean.edge_recovery(cut, rescored, closing)
+
+
+@query
+def clean_match_graph(spark, sf):
+    t = Tables(spark, sf)
+    return CleanUp(TokenScorer("name", cut=0.5), t.companies, budget=200, iterations=2).run(t.pairwise_matches_preds.select(*PREDS)).stages
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    """Pair scores of the matches before and after the clean-up of the match graph."""
+    t = Tables(spark, sf)
+    preds, _, _, scored = t.state()
+    after = Scratch(spark, "flagship").put("after", clean.post_cleanup(preds, scored))
+    truth = preds.where("label = 1")
+    return metrics.outer_scores(truth, {"before": preds.where("prob >= 0.999"), "after": after.where("prob >= 0.999")})
+
+
+QUERIES["flagship_report"] = flagship
+
+
+# metrics
+
+
+def _truth_and_found(spark, sf):
+    t = Tables(spark, sf)
+    preds = t.preds()
+    return preds.where("label = 1"), preds.where("prob >= 0.999"), preds
+
+
+@query
+def metrics_confusion(spark, sf):
+    truth, found, _ = _truth_and_found(spark, sf)
+    return metrics.confusion(truth, found)
+
+
+@query
+def metrics_prf(spark, sf):
+    truth, found, _ = _truth_and_found(spark, sf)
+    return metrics.pair_scores(metrics.confusion(truth, found))
+
+
+@query
+def metrics_columns(spark, sf):
+    preds = Tables(spark, sf).preds().where("label is not null and prob is not null")
+    c = metrics.column_scores(preds.withColumn("pred", (F.col("prob") >= 0.5).cast("int")))
+    return c.select("tp", "fp", "fn", "tn", *[F.round(k, 6).alias(k) for k in ("precision", "recall", "f1", "accuracy")])
+
+
+@query
+def metrics_purity(spark, sf):
+    truth, _, preds = _truth_and_found(spark, sf)
+    return metrics.purity(truth, _graph(spark, sf)[1])
+
+
+@query
+def metrics_components(spark, sf):
+    return metrics.component_count(_graph(spark, sf)[1], Tables(spark, sf).companies)
+
+
+@query
+def metrics_candidate_recall(spark, sf):
+    t = Tables(spark, sf)
+    return metrics.candidate_recall(t.test.where("label = 1"), t.pairwise_matches_preds)
+
+
+@query
+def metrics_threshold_scan(spark, sf):
+    return active.threshold_scan(Tables(spark, sf).preds().where("label is not null and prob is not null").select(F.col("prob").alias("score"), "label"), F.col("score"))
+
+
+@query
+def metrics_runs_mean_std(spark, sf):
+    o = Tables(spark, sf).orders
+    return metrics.runs_summary(o, ["o_orderpriority"], ["o_totalprice"]).select("o_orderpriority", F.round("o_totalprice_mean", 2).alias("mean"), F.round("o_totalprice_std", 2).alias("std"))
+
+
+@query
+def metrics_stage_unpivot(spark, sf):
+    e = Tables(spark, sf).companies_master_mapping_seed_0.groupBy("data_source_id").agg(F.count(F.lit(1)).alias("n"), F.count("gen_id").alias("mapped"))
+    return metrics.stage_curve(e.where("data_source_id is not null"), "data_source_id", ["n", "mapped"])
+
+
+@query
+def metrics_histogram(spark, sf):
+    return metrics.probability_histogram(Tables(spark, sf).preds())
+
+
+@query
+def metrics_adjusted_recall(spark, sf):
+    t = Tables(spark, sf)
+    return metrics.adjusted_recall(t.preds().where("label = 1"), t.preds().where("prob is not null and match_type = 'text_match'").withColumn("pred", (F.col("prob") >= 0.5).cast("int")))
+
+
+@query
+def data_violations(spark, sf):
+    from matchloom.schema import violations
+
+    return violations(Tables(spark, sf).pairwise_matches_preds, lid_set=F.col("lid").isNotNull(), prob_range=F.col("prob").between(0, 1), label_set=F.col("label").isNotNull(), no_loop=F.col("lid") != F.col("rid"))
+
+
+# active learning
+
+
+def _scored(spark, sf):
+    return Tables(spark, sf).preds().where("prob is not null and label is not null").select("lid", "rid", F.col("prob").alias("score"), "label")
+
+
+@query
+def uncertainty_sample(spark, sf):
+    return active.uncertain(_scored(spark, sf), 100)
+
+
+@query
+def best_per_side(spark, sf):
+    return active.best_per_side(_scored(spark, sf))
+
+
+@query
+def matcher_pseudo_labels(spark, sf):
+    return active.matcher_pseudo_labels(_scored(spark, sf).drop("label"))
+
+
+@query
+def consistency_check(spark, sf):
+    return active.consistent(active.matcher_pseudo_labels(_scored(spark, sf).drop("label")).select("lid", "rid", "label"))
+
+
+@query
+def similarity_gap(spark, sf):
+    return active.similarity_gap(_scored(spark, sf).withColumnRenamed("score", "sim")).select(F.round("gap", 6).alias("gap"))
+
+
+@query
+def positive_threshold(spark, sf):
+    return active.positive_threshold(_scored(spark, sf).withColumnRenamed("score", "sim")).select(F.round("threshold", 6).alias("threshold"))
+
+
+@query
+def annotate_samples(spark, sf):
+    t = Tables(spark, sf)
+    return active.annotate(t.val.select("lid", "rid").where("lid is not null and rid is not null").distinct(), t.train.where("lid is not null and rid is not null"))
+
+
+@query
+def pseudo_label_quality(spark, sf):
+    s = _scored(spark, sf)
+    return active.pseudo_quality(active.matcher_pseudo_labels(s.drop("label")), s, s.where("score between 0.4 and 0.6"))
+
+
+@query
+def merge_votes(spark, sf):
+    s = _scored(spark, sf)
+    old = s.where("score >= 0.3").select("lid", "rid", F.lit(2).alias("votes"), F.col("score").alias("avg_score"))
+    return active.merge_votes(old, s.where("score <= 0.7").select("lid", "rid", "score")).withColumn("avg_score", F.round("avg_score", 6))
