@@ -226,14 +226,15 @@ class ResidueModel:
         self.weights, self.prior, self.field_prior, self.furniture = weights, prior, field_prior, furniture
 
     def odds(self, passage: str) -> float:
-        """Log-odds that the passage is residue, page furniture at its ends left aside."""
+        """Log-odds that the passage is residue, page furniture at its ends left aside; a field's shape counts THRESHOLD."""
         passage = bare(passage, self.furniture)
         if not passage:
             return -math.inf
         get = self.weights.get
         fs = set(features(passage))
         field = any(f.startswith("f:") for f in fs)
-        return (self.field_prior if field else self.prior) + sum(get(f, 0.0) for f in fs)
+        # beside an unfilled field even odds are enough: nothing but a mention speaks against it
+        return (self.field_prior + THRESHOLD if field else self.prior) + sum(get(f, 0.0) for f in fs)
 
 
 #: Page furniture that changes from page to page: trails of links and copyright lines.
