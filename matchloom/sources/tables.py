@@ -64,7 +64,7 @@ class Stages:
 
 def records_from_json(spark: SparkSession, path: str, title_key: str = "<page title>") -> DataFrame:
     """``(spec_id, page_title, text)`` of a folder ``<site>/<n>.json`` with one object per file."""
-    raw = spark.read.option("wholetext", "true").text(path).withColumn("file", F.col("_metadata.file_path"))
+    raw = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
     title, text = json_text(F.col("value"), title_key)
     spec = F.concat(F.regexp_extract("file", r"([^/]+)/([^/]+)\.json$", 1), F.lit("//"), F.regexp_extract("file", r"([^/]+)/([^/]+)\.json$", 2))
     return raw.select(spec.alias("spec_id"), title.alias("page_title"), text.alias("text"))
