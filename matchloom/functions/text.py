@@ -91,6 +91,16 @@ def drop_span(tokens: Column, key: Column, seed: int, longest: int = 2) -> Colum
     return F.when(n <= 1, tokens).otherwise(F.filter(tokens, lambda _, i: (i < at) | (i >= at + span)))
 
 
+def shuffle_span(tokens: Column, key: Column, seed: int, longest: int = 4) -> Column:
+    """The tokens with one span of 2..longest of them put in another order, place and order fixed by the seed and the key."""
+    h = F.conv(F.substring(F.md5(F.concat_ws("-", key.cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("long")
+    n = F.size(tokens)
+    span = F.least(F.pmod(h, F.lit(longest - 1)) + 2, n).cast("int")
+    at = F.pmod(F.floor(h / longest), F.greatest(n - span + 1, F.lit(1))).cast("int")
+    head, tail = F.slice(tokens, F.lit(1), at), F.slice(tokens, at + span + 1, F.greatest(n - at - span, F.lit(0)))
+    return F.when(n <= 1, tokens).otherwise(F.concat(head, shuffled(F.slice(tokens, at + 1, span), key, seed), tail))
+
+
 def tf_idf_prune(df: DataFrame, id_col: str, text_col: str, share: float = 0.5) -> DataFrame:
     """``(id, text)``: every text without all occurrences of its less telling words.
 

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.functions.text import build_sequence, concat_row, drop_span, normalize, shuffled, strip_punctuation, words
+from matchloom.functions.text import build_sequence, concat_row, drop_span, normalize, shuffle_span, shuffled, strip_punctuation, words
 from matchloom.operators.pairs import PAIR, positional_ids
 
 
@@ -61,8 +61,9 @@ def pair_samples(pairs: DataFrame, tokens: DataFrame, length: int = 128) -> Data
 
 
 def augment(tokens: DataFrame, kind: str, seed: int = 42) -> DataFrame:
-    """``(id, tokenized)`` changed in one way: del_token, shuffle_token or identical, fixed by the seed."""
-    ways = {"del_token": drop_span(F.col("tokenized"), F.col("id"), seed), "shuffle_token": shuffled(F.col("tokenized"), F.col("id"), seed), "identical": F.col("tokenized")}
+    """``(id, tokenized)`` changed in one way: del_token, swap_token, shuffle_token or identical, fixed by the seed."""
+    ways = {"del_token": drop_span(F.col("tokenized"), F.col("id"), seed), "swap_token": shuffle_span(F.col("tokenized"), F.col("id"), seed),
+            "shuffle_token": shuffled(F.col("tokenized"), F.col("id"), seed), "identical": F.col("tokenized")}
     if kind not in ways:
         raise ValueError(f"unknown augmentation {kind}")
     return tokens.select("id", ways[kind].alias("tokenized"))

@@ -189,6 +189,8 @@ def test_augmentations_keep_what_they_should(frame):
     t = prep.tokenise(frame([(1, "a b c d"), (2, "x"), (3, None)], "id long, n string"))
     drop = {r["id"]: r["tokenized"] for r in prep.augment(t, "del_token").collect()}
     assert len(drop[1]) in (2, 3) and drop[2] == ["x"]
+    swapped = {r["id"]: r["tokenized"] for r in prep.augment(t, "swap_token").collect()}
+    assert sorted(swapped[1]) == list("abcd") and swapped[2] == ["x"]
     assert sorted(prep.augment(t, "shuffle_token").where("id = 1").first()["tokenized"]) == list("abcd")
     cols = frame([(1, "p", "q", None)], "id long, a string, b string, c string")
     for kind, n in (("del_col", 2), ("swap_col", 3), ("shuffle_col", 3)):
