@@ -1,10 +1,9 @@
 """Problem 6: matching entities across sources that share no key.
 
 Every record becomes a bag of terms over all its attributes; an inverted index scores pairs of
-different sources by BM25.  The terms are ordered by rarity and the commonest, whose joint score
-can't reach the acceptance bound, produce no candidates, so the best partners are exact.  A pair
-is kept if each is the other's nearest in its source; its confidence comes from the scores, the
-gaps to the second best and the agreement of attributes by a logistic calibration.
+different sources by BM25, block by block, over all terms that they share, so the best partners
+are exact.  A pair is kept if each is the other's nearest in its source; its confidence comes from
+the scores, the gaps to the second best and the agreement of attributes by a logistic calibration.
 """
 
 from __future__ import annotations
@@ -28,11 +27,15 @@ _SUFFIX = re.compile(r"\s*(?:\([^()]*\)|\b[A-Z]{2})\s*$")
 _TERM = re.compile(r"[a-z0-9à-ÿ]+")
 _YEAR = re.compile(r"\b(1[89]\d\d|20[0-4]\d)\b")
 K1, B = 1.2, 0.5
-#: A term counts at most this often in a record; more than the largest factor that its count can then reach (no length at all).
+#: A term counts at most this often in a record.
 MOST_TF = 2
-TOP_FACTOR = MOST_TF * (K1 + 1) / (MOST_TF + K1 * (1 - B))
-#: Evidence beyond log(records) below which a pair is no match.
-MARGIN = 7.0
+#: Scores are sums of whole units of 1/UNIT, which single precision adds exactly in any order (below 4,096).
+UNIT = 4096
+#: Records of an index block (it is broadcast) and queries scored against it at a time.
+BLOCK_RECORDS = 20_000
+ROWS_AT_ONCE = 256
+#: Postings of a term of more than this share of the records are held as a row of a matrix; it bears on time alone.
+DENSE_SHARE = 0.05
 #: A term known to more than this share of the records tells nothing by itself; it still counts in combination and in the calibration.
 STOP_SHARE = 0.01
 #: Words of this share of the records make a combination with place and year.
@@ -110,49 +113,127 @@ def terms_of(rows: DataFrame, scratch: Scratch) -> DataFrame:
     return every.groupBy("id", "src", "term").agg(F.max("weight").alias("weight"), F.least(F.count(F.lit(1)), F.lit(MOST_TF)).alias("tf"))
 
 
-def bm25_pairs(terms: DataFrame, n: int, bound: float, scratch: Scratch) -> DataFrame:
-    """``(a, b, src_a, src_b, s_ab, s_ba)``: BM25 of every pair (a < b, sources differ) that may reach the bound.
+def rated_terms(terms: DataFrame, n: int, scratch: Scratch) -> tuple[DataFrame, np.ndarray]:
+    """``(id, src, terms, ratings)``: numbered terms of every record and what each adds to the score of this record as an answer.
 
-    ``s_ab`` scores b as an answer to a.  Terms above STOP_SHARE carry no weight.  The commonest
-    of the others whose upper bounds together stay below ``bound`` give no candidates; a pair that
-    shares nothing else can't reach the bound.  They still count in pairs found by another term.
+    A rating is the term's weight x idf x BM25's factor, in whole units of 1/UNIT.  Terms above
+    STOP_SHARE and those of a single record are not rated.  Beside it the numbers of the terms of
+    more than DENSE_SHARE of the records.
     """
     terms = scratch.put("terms", terms)
-    df = scratch.put("df", terms.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= 2) & (F.col("n") <= max(50.0, STOP_SHARE * n))).withColumn("df", F.col("n")))
-    idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    kept = scratch.put("kept", lookup_join(terms, df, "term", "n").select("id", "src", "term", "tf", "df", (F.col("weight") * idf).alias("idf")))
-    size = Window.partitionBy("id")
-    common_first = Window.partitionBy("id").orderBy(F.desc("df"), "term").rowsBetween(Window.unboundedPreceding, 0)
+    df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= 2) & (F.col("n") <= max(50.0, STOP_SHARE * n)))
+    df = scratch.put("df", df.withColumn("df", F.col("n")).withColumn("t", F.monotonically_increasing_id()))
+    idf = F.col("weight") * F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    kept = scratch.put("kept", lookup_join(terms, df, "term", "n").select("id", "src", "t", "tf", idf.alias("idf")))
     mean = kept.count() / max(1, n)
-    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(mean or 1.0)))
-    rated = (
-        kept.withColumn("len", F.count(F.lit(1)).over(size))
-        .withColumn("reach", F.sum(F.col("idf") * TOP_FACTOR).over(common_first))
-        .withColumn("tf", tf)
-        .withColumn("leads", F.col("reach") > bound)
-        .select("id", "src", "term", "idf", "tf", "leads")
-    )
-    rated = scratch.put("rated", rated)
-    x = rated.select("term", "idf", F.col("id").alias("a"), F.col("src").alias("src_a"), F.col("tf").alias("tf_a"), F.col("leads").alias("lead_a"))
-    y = rated.select("term", F.col("id").alias("b"), F.col("src").alias("src_b"), F.col("tf").alias("tf_b"), F.col("leads").alias("lead_b"))
-    shared = x.join(y, "term").where((F.col("a") < F.col("b")) & (F.col("src_a") != F.col("src_b")))
-    led = shared.where(F.col("lead_a") | F.col("lead_b"))
-    return (
-        led.groupBy("a", "b")
-        .agg(F.first("src_a").alias("src_a"), F.first("src_b").alias("src_b"), F.sum(F.col("idf") * F.col("tf_b")).alias("s_ab"), F.sum(F.col("idf") * F.col("tf_a")).alias("s_ba"))
-    )
-
-
-def mutual_nearest(pairs: DataFrame) -> DataFrame:
+    entries = F.sort_array(F.collect_list(F.struct("t", "tf", "idf")))
+    length = F.size("e") / F.lit(mean or 1.0)
+
+    def rating(e: Column) -> Column:
+        return F.round(UNIT * e["idf"] * e["tf"] * (K1 + 1) / (e["tf"] + K1 * (1 - B + B * length))).cast("int")
+
+    rated = kept.groupBy("id", "src").agg(entries.alias("e")).select("id", "src", F.col("e.t").alias("terms"), F.transform("e", rating).alias("ratings"))
+    # at most (terms per record) / DENSE_SHARE of them
+    common = df.where(F.col("df") > DENSE_SHARE * n).select("t").toPandas()["t"]
+    return scratch.put("rated", rated), np.sort(common.to_numpy(np.int64))
+
+
+class Postings:
+    """Inverted index of a block of records: lists of the common terms as rows of a matrix, those of the others as sorted arrays."""
+
+    def __init__(self, block: pd.DataFrame, common: np.ndarray):
+        block = block.sort_values(["src", "id"])
+        self.ids, self.common = block["id"].to_numpy(np.int64), common
+        src = block["src"].to_numpy(object)
+        starts = [k for k in range(len(src)) if k == 0 or src[k] != src[k - 1]]
+        self.sides = [(src[lo], lo, hi) for lo, hi in zip(starts, [*starts[1:], len(src)])]
+        at, term = flat(block["terms"])
+        rating = np.concatenate([np.asarray(r, dtype=np.float32) for r in block["ratings"]])
+        dense, row = self.split(term)
+        self.matrix = np.zeros((len(common), len(src)), dtype=np.float32)
+        self.matrix[row[dense], at[dense]] = rating[dense]
+        order = np.argsort(term[~dense], kind="stable")
+        self.term, self.at, self.rating = term[~dense][order], at[~dense][order], rating[~dense][order]
+
+    def split(self, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        row = np.searchsorted(self.common, term)
+        if not len(self.common):
+            return np.zeros(len(term), dtype=bool), row
+        return self.common[np.minimum(row, len(self.common) - 1)] == term, row
+
+    def scores(self, queries: pd.Series) -> np.ndarray:
+        """Scores of all records of the block (columns) for each query (rows): the sum over all shared terms."""
+        at, term = flat(queries)
+        dense, row = self.split(term)
+        asked = np.zeros((len(queries), len(self.common)), dtype=np.float32)
+        asked[at[dense], row[dense]] = 1.0
+        s = asked @ self.matrix
+        at, term = at[~dense], term[~dense]
+        lo = np.searchsorted(self.term, term, "left")
+        n = np.searchsorted(self.term, term, "right") - lo
+        k = np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
+        np.add.at(s.reshape(-1), np.repeat(at, n) * len(self.ids) + self.at[k], self.rating[k])
+        return s
+
+    def best_two(self, ids: np.ndarray, src: np.ndarray, queries: pd.Series) -> Iterator[pd.DataFrame]:
+        """``(q, side, d, s)``: per query and other source the two best records of the block; ties go to the smaller id."""
+        s = self.scores(queries)
+        rows = np.arange(len(ids))
+        for side, lo, hi in self.sides:
+            part, other = s[:, lo:hi], src != side
+            for _ in range(min(2, hi - lo)):
+                k = part.argmax(axis=1)
+                got = part[rows, k]
+                ok = other & (got > 0)
+                yield pd.DataFrame({"q": ids[ok], "side": side, "d": self.ids[lo:hi][k[ok]], "s": got[ok].astype(float) / UNIT})
+                part[rows, k] = -1.0
+
+
+def flat(lists: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Position of the list and value, for all values of a column of lists of integers."""
+    return np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate([np.asarray(x, dtype=np.int64) for x in lists])
+
+
+def bm25_nearest(terms: DataFrame, n: int, scratch: Scratch, block_records: int = BLOCK_RECORDS) -> DataFrame:
+    """``(q, side, d, s)``: the best two answers ``d`` of every other source ``side`` to the record ``q``, block by block.
+
+    ``s`` is the BM25 score over all terms that the two share; every pair with a shared term is
+    scored, so the best two of a source are among the rows.
+    """
+    spark = terms.sparkSession
+    rated, common = rated_terms(terms, n, scratch)
+    blocks = max(1, math.ceil(n / block_records))
+    # hashed apart from the shuffles
+    block = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(blocks))
+    asking = rated.repartition(4 * spark.sparkContext.defaultParallelism, "id") if n > ROWS_AT_ONCE else rated
+    asking = scratch.put("asking", asking.select("id", "src", "terms"))
+    found = None
+    for i in range(blocks):
+        own = rated.where(block == i).toPandas()
+        if own.empty:
+            continue
+        shared = spark.sparkContext.broadcast(Postings(own, common))
+
+        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for lo in range(0, len(b), ROWS_AT_ONCE):
+                    x = b.iloc[lo : lo + ROWS_AT_ONCE]
+                    yield from shared.value.best_two(x["id"].to_numpy(np.int64), x["src"].to_numpy(object), x["terms"])
+
+        got = scratch.put(f"near-{i}", asking.mapInPandas(search, "q long, side string, d long, s double"))
+        shared.destroy()
+        found = got if found is None else found.unionByName(got)
+    return found if found is not None else spark.createDataFrame([], "q long, side string, d long, s double")
+
+
+def mutual_nearest(near: DataFrame) -> DataFrame:
     """Pairs that are each other's best in the other's source, with the gaps to the second best.
 
-    Ties go to the smaller partner id, so each record has one best partner per source.
+    ``near`` is that of :func:`bm25_nearest`.  Ties go to the smaller partner id, so each record
+    has one best partner per source.
     """
-    both = pairs.select(F.col("a").alias("q"), F.col("b").alias("d"), F.col("src_b").alias("side"), F.col("s_ab").alias("s")).unionByName(
-        pairs.select(F.col("b").alias("q"), F.col("a").alias("d"), F.col("src_a").alias("side"), F.col("s_ba").alias("s"))
-    )
     w = Window.partitionBy("q", "side").orderBy(F.desc("s"), "d")
-    two = both.withColumn("rank", F.row_number().over(w)).where("rank <= 2")
+    two = near.withColumn("rank", F.row_number().over(w)).where("rank <= 2")
     best = two.groupBy("q", "side").agg(F.max_by("d", -F.col("rank")).alias("d"), F.max("s").alias("s"), F.coalesce(F.min(F.when(F.col("rank") == 2, F.col("s"))), F.lit(0.0)).alias("second"))
     x = best.where("q < d").select(F.col("q").alias("a"), F.col("d").alias("b"), F.col("s").alias("s_ab"), (F.col("s") - F.col("second")).alias("gap_a"))
     y = best.where("q > d").select(F.col("d").alias("a"), F.col("q").alias("b"), F.col("s").alias("s_ba"), (F.col("s") - F.col("second")).alias("gap_b"))
@@ -220,9 +301,8 @@ def candidates(records: DataFrame, label: str) -> DataFrame:
     scratch = Scratch(records.sparkSession, label)
     rows = scratch.put("rows", read_records(records))
     n = rows.count()
-    bound = math.log(max(n, 3)) + MARGIN
-    pairs = scratch.put("pairs", bm25_pairs(terms_of(rows, scratch), n, bound, scratch))
-    return scratch.put("mutual", with_features(mutual_nearest(pairs), rows, n))
+    near = bm25_nearest(terms_of(rows, scratch), n, scratch)
+    return scratch.put("mutual", with_features(mutual_nearest(near), rows, n))
 
 
 def calibrate(labelled: DataFrame, truth: DataFrame, fit_pairs: int = FIT_PAIRS) -> np.ndarray:

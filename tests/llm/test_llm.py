@@ -207,6 +207,32 @@ def test_linking_needs_more_than_a_name(frame):
     assert rows(linking.link_sources(df.limit(0), df.limit(0), frame([], "id long, entity long"))) == []
 
 
+@pytest.mark.parametrize("block", [20_000, 7])
+def test_nearest_score_all_shared_terms(spark, frame, block):
+    from collections import Counter
+
+    from matchloom.session import Scratch
+
+    rng = random.Random(21)
+    # common terms (towns), rarer ones and single ones, of unequal weight; no pair is told apart by one rare term alone
+    bags = {i: (str(i % 3), Counter({f"t{min(rng.randrange(40), rng.randrange(40))}": rng.randrange(1, 3) for _ in range(rng.randrange(2, 9))} | {f"u{i}": 1})) for i in range(45)}
+    weight = lambda t: 1.5 if t[-1] in "13579" else 1.0
+    data = [(i, src, t, weight(t), tf) for i, (src, bag) in bags.items() for t, tf in bag.items()]
+    n, df = len(bags), Counter(t for _, bag in bags.values() for t in bag)
+    kept = {i: {t: tf for t, tf in bag.items() if df[t] >= 2} for i, (_, bag) in bags.items()}
+    mean = sum(map(len, kept.values())) / n
+    score = lambda q, d: sum(weight(t) * np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * kept[d][t] * 2.2 / (kept[d][t] + 1.2 * (0.5 + 0.5 * len(kept[d]) / mean)) for t in kept[q] if t in kept[d])
+    near = linking.bm25_nearest(frame(data, "id long, src string, term string, weight double, tf long"), n, Scratch(spark, "near"), block).collect()
+    got = {}
+    for r in near:
+        assert abs(r["s"] - score(r["q"], r["d"])) < 0.01 and bags[r["d"]][0] == r["side"] != bags[r["q"]][0]
+        got.setdefault((r["q"], r["side"]), []).append(r["s"])
+    for q, side in itertools.product(bags, "012"):
+        if side != bags[q][0]:
+            want = sorted((score(q, d) for d in bags if bags[d][0] == side), reverse=True)
+            assert np.allclose(sorted(got.get((q, side), []), reverse=True)[:2], [x for x in want[:2] if x > 0], atol=0.01)
+
+
 def test_logistic_learns():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 3))
