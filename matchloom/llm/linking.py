@@ -36,8 +36,6 @@ BLOCK_RECORDS = 20_000
 ROWS_AT_ONCE = 256
 #: Postings of a term of more than this share of the records are held as a row of a matrix; it bears on time alone.
 DENSE_SHARE = 0.05
-#: A term known to more than this share of the records tells nothing by itself; it still counts in combination and in the calibration.
-STOP_SHARE = 0.01
 #: Words of this share of the records make a combination with place and year.
 MID_SHARE = (0.002, 0.06)
 #: At most about this many labelled records (whole entities, by hash) and pairs fit the calibration.
@@ -89,7 +87,7 @@ def deletion_terms(word: Column) -> Column:
 def terms_of(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """``(id, src, term, weight, tf)``: the bag of terms of every record, with field weights.
 
-    Rare words stand for themselves; words of middling frequency and business words only
+    Words and towns stand for themselves; words of middling frequency and business words also
     together with place and year.
     """
     n = rows.count()
@@ -116,12 +114,12 @@ def terms_of(rows: DataFrame, scratch: Scratch) -> DataFrame:
 def rated_terms(terms: DataFrame, n: int, scratch: Scratch) -> tuple[DataFrame, np.ndarray]:
     """``(id, src, terms, ratings)``: numbered terms of every record and what each adds to the score of this record as an answer.
 
-    A rating is the term's weight x idf x BM25's factor, in whole units of 1/UNIT.  Terms above
-    STOP_SHARE and those of a single record are not rated.  Beside it the numbers of the terms of
-    more than DENSE_SHARE of the records.
+    A rating is the term's weight x idf x BM25's factor, in whole units of 1/UNIT.  Terms of
+    a single record can't be shared and are not rated; common ones are, their idf makes them small.
+    Beside it the numbers of the terms of more than DENSE_SHARE of the records.
     """
     terms = scratch.put("terms", terms)
-    df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= 2) & (F.col("n") <= max(50.0, STOP_SHARE * n)))
+    df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
     df = scratch.put("df", df.withColumn("df", F.col("n")).withColumn("t", F.monotonically_increasing_id()))
     idf = F.col("weight") * F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     kept = scratch.put("kept", lookup_join(terms, df, "term", "n").select("id", "src", "t", "tf", idf.alias("idf")))

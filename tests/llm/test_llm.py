@@ -233,6 +233,18 @@ def test_nearest_score_all_shared_terms(spark, frame, block):
             assert np.allclose(sorted(got.get((q, side), []), reverse=True)[:2], [x for x in want[:2] if x > 0], atol=0.01)
 
 
+def test_common_terms_weigh(spark, frame):
+    from matchloom.session import Scratch
+
+    # ten words, each known to some 60 of 120 records, more than the 50 from which terms were cut before
+    rng = random.Random(22)
+    bags = [frozenset(rng.sample("abcdefghij", 5)) for _ in range(60)]
+    data = [(2 * i + j, str(j), f"t:{w}", 1.0, 1) for i, bag in enumerate(bags) for j in (0, 1) for w in bag]
+    near = linking.bm25_nearest(frame(data, "id long, src string, term string, weight double, tf long"), 120, Scratch(spark, "common"))
+    best = {r["q"]: r["d"] for r in near.orderBy("s", F.desc("d")).collect()}
+    assert len(best) == 120 and all(bags[q // 2] == bags[d // 2] for q, d in best.items())
+
+
 def test_logistic_learns():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 3))
