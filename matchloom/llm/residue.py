@@ -20,9 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: At most this many records are fetched to fit the model, taken in the order of a hash of the id
-#: (and as many again of those that look like trusted records).  Scoring covers all records.
-FIT_RECORDS = 12_000
+from matchloom.session import Scratch
+
 #: A record of at most this many characters with a known message is trusted as a whole.
 TRUSTED_CHARS = 260
 #: Log-odds from which a passage is residue: a posterior of 0.92 at half weight (see TEMPER).
@@ -261,8 +260,9 @@ def bare(passage: str, furniture: tuple[str, ...]) -> str:
 
 
 def fit(records: list[str], rounds: int = ROUNDS, max_features: int = MAX_FEATURES) -> ResidueModel:
-    """Positive-unlabelled naive Bayes by expectation-maximization over the passages of the records.
+    """Positive-unlabelled naive Bayes by expectation-maximization over the passages of the records, all in memory.
 
+    :func:`fit_model` does the same over a table.
     Passages with an unfilled field and those without are two strata with counts of their own:
     a sentence about a field differs from a sentence with one by its words, not by the field.
     """
@@ -340,13 +340,127 @@ SMOOTH = 30.0
 TEMPER = 2.0
 
 
-def fit_model(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_records: int = FIT_RECORDS) -> ResidueModel:
-    """:func:`fit` on at most ``fit_records`` records by hash order and as many short ones with a known message."""
-    t = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    order = [F.xxhash64("id"), F.col("id"), F.col("text")]
-    some = t.orderBy(*order).limit(fit_records)
-    short = t.where((F.length("text") <= TRUSTED_CHARS) & F.lower("text").rlike(_SHORT_SEED.pattern)).orderBy(*order).limit(fit_records)
-    return fit([r["text"] for r in some.unionByName(short).select("id", "text").distinct().orderBy("id", "text").toLocalIterator()])
+def passage_counts(texts: DataFrame) -> DataFrame:
+    """``(p, n, records, chars)``: how often a passage occurs, in how many rows of ``text``, and the length of the shortest of these."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            seen: dict[str, list[int]] = {}
+            for text in b["text"]:
+                ps = passages(text)
+                for p in ps:
+                    got = seen.setdefault(p, [0, 0, len(text)])
+                    got[0] += 1
+                    got[2] = min(got[2], len(text))
+                for p in set(ps):
+                    seen[p][1] += 1
+            yield pd.DataFrame([(p, *x) for p, x in seen.items()], columns=["p", "n", "records", "chars"])
+
+    each = texts.select("text").mapInPandas(count, "p string, n long, records long, chars long")
+    return each.groupBy("p").agg(F.sum("n").alias("n"), F.sum("records").alias("records"), F.min("chars").alias("chars"))
+
+
+def furniture_lines(counts: DataFrame, n_records: int) -> tuple[str, ...]:
+    """Short lines without an end mark and a trusted label that stand in a share FURNITURE of the records; at most (lines a record) / FURNITURE."""
+    often = counts.where(F.col("records") >= max(5, FURNITURE * n_records)).where(F.size(F.split("p", " ")) <= 6)
+    lines = (r["p"] for r in often.select("p").collect())
+    return tuple(sorted(p for p in lines if p[-1] not in ".!?…" and trusted_label(p, 10**9) is None))
+
+
+def labelled_passages(counts: DataFrame, furniture: tuple[str, ...]) -> DataFrame:
+    """``(p, n, label)``: passages without furniture, the built-in phrases among them; label is null for unlabelled ones."""
+
+    def strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(bare(p, furniture), n, chars) for p, n, chars in zip(b["p"], b["n"], b["chars"])]
+            yield pd.DataFrame([(p, n, trusted_label(p, c), None) for p, n, c in rows if p], columns=["p", "n", "label", "seed"]).astype({"label": float, "seed": float})
+
+    schema = "p string, n long, label double, seed double"
+    seeds = [(p, 2, None, v) for v, phrases in ((1.0, SEED_PHRASES), (0.0, SEED_MENTIONS)) for phrase in phrases for p in passages(phrase)]
+    every = counts.mapInPandas(strip, schema).unionByName(counts.sparkSession.createDataFrame(seeds, schema))
+    known = F.coalesce(F.min(F.nanvl("seed", F.lit(None))), F.max(F.nanvl("label", F.lit(None))))
+    return every.groupBy("p").agg(F.sum("n").alias("n"), known.alias("label"))
+
+
+def coded_passages(seen: DataFrame, max_features: int, scratch: Scratch) -> tuple[DataFrame, list[list[str]], list[np.ndarray]]:
+    """``(field, n, label, cols)`` with features as numbers, and the features of both strata with their counts, the most frequent first."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            fs = [sorted(set(features(p))) for p in b["p"]]
+            field = [any(f.startswith("f:") for f in x) for x in fs]
+            yield pd.DataFrame({"field": field, "n": b["n"], "label": b["label"], "features": fs})
+
+    split = scratch.put("features", seen.mapInPandas(read, "field boolean, n long, label double, features array<string>"))
+    total = scratch.put("total", split.select("field", "n", F.explode("features").alias("f")).groupBy("field", "f").agg(F.sum("n").alias("n")).where("n > 1"))
+    names, counts = [], []
+    for stratum in (False, True):
+        top = total.where(F.col("field") == stratum).orderBy(F.desc("n"), "f").limit(max_features).toPandas()
+        names.append(top["f"].tolist())
+        counts.append(top["n"].to_numpy(float))
+    shared = seen.sparkSession.sparkContext.broadcast([{f: i for i, f in enumerate(x)} for x in names])
+
+    def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = shared.value
+        for b in batches:
+            cols = [[at[field][f] for f in fs if f in at[field]] for field, fs in zip(b["field"], b["features"])]
+            yield pd.DataFrame({"field": b["field"], "n": b["n"], "label": b["label"], "cols": cols})
+
+    return scratch.put("coded", split.mapInPandas(code, "field boolean, n long, label double, cols array<int>")), names, counts
+
+
+def class_counts(coded: DataFrame, weights: list[np.ndarray] | None, priors: list[float]) -> DataFrame:
+    """``(field, col, pos, neg, often)``: one step of expectation; col -1 has the sums over the passages of the stratum."""
+    shared = coded.sparkSession.sparkContext.broadcast(weights)
+
+    def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[bool, np.ndarray] = {}
+        for b in batches:
+            for field, x in b.groupby("field"):
+                often, label = x["n"].to_numpy(float), x["label"].to_numpy(float)
+                size = x["cols"].map(len).to_numpy()
+                row, col = np.repeat(np.arange(len(x)), size), np.concatenate([np.asarray(c, dtype=np.int64) for c in x["cols"]])
+                known, guess = ~np.isnan(label), 0.0
+                if shared.value is not None:
+                    score = priors[field] + np.bincount(row, weights=shared.value[field][col], minlength=len(x))
+                    guess = 1 / (1 + np.exp(-np.clip(score / TEMPER, -50, 50)))
+                post = np.where(known, label, guess)
+                pos, neg = (1 + np.log(often)) * post * np.where(known, 1.0, UNLABELLED), often * (1 - post)
+                width = max(len(held.get(field, [[]])[0]), int(col.max(initial=-1)) + 2)
+                # in front the sums over passages
+                got = np.stack([np.concatenate([[v.sum()], np.bincount(col, weights=v[row], minlength=width - 1)]) for v in (pos, neg, often)])
+                if field in held:
+                    got[:, : held[field].shape[1]] += held[field]
+                held[field] = got
+        for field, x in held.items():
+            yield pd.DataFrame({"field": bool(field), "col": np.arange(x.shape[1]) - 1, "pos": x[0], "neg": x[1], "often": x[2]})
+
+    each = coded.mapInPandas(expect, "field boolean, col int, pos double, neg double, often double")
+    return each.groupBy("field", "col").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("often").alias("often"))
+
+
+def fit_model(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, max_features: int = MAX_FEATURES) -> ResidueModel:
+    """:func:`fit` over all records: passages are counted, and each round is an aggregation over the counted passages."""
+    scratch = Scratch(documents.sparkSession, "residue")
+    texts = scratch.put("texts", documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").distinct())
+    counts = scratch.put("counts", passage_counts(texts))
+    furniture = furniture_lines(counts, texts.count())
+    scratch.drop("texts")
+    coded, names, totals = coded_passages(labelled_passages(counts, furniture), max_features, scratch)
+    for name in ("counts", "features", "total"):
+        scratch.drop(name)
+    weights, priors = None, [0.0, 0.0]
+    for _ in range(rounds):
+        step = class_counts(coded, weights, priors).toPandas()
+        weights = []
+        for stratum in (False, True):
+            own = step[step["field"] == stratum].set_index("col")[["pos", "neg", "often"]].reindex(range(-1, len(names[stratum])), fill_value=0.0)
+            pos, neg, often = own.to_numpy().T
+            n_pos, n_neg, base = pos[0] + 1, neg[0] + 1, totals[stratum] / max(often[0], 1.0)
+            p, q = (pos[1:] + SMOOTH * base) / (n_pos + SMOOTH), (neg[1:] + SMOOTH * base) / (n_neg + SMOOTH)
+            weights.append(np.clip(np.log(np.maximum(p, 1e-9) / np.maximum(q, 1e-9)), -6, 6))
+            priors[stratum] = float(np.clip(math.log(n_pos / n_neg), -5.0, 2.0))
+    return ResidueModel(dict(zip(names[0] + names[1], np.concatenate(weights).tolist())), priors[0], priors[1], furniture)
 
 
 def residue_passages(documents: DataFrame, model: ResidueModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -371,12 +485,12 @@ def residue_passages(documents: DataFrame, model: ResidueModel, id_col: str = "d
     return docs.mapInPandas(score, "doc_id long, n_passages long, n_residue long, max_odds double, passage string")
 
 
-def residue_records(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, fit_records: int = FIT_RECORDS) -> DataFrame:
+def residue_records(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, n_passages, n_residue, max_odds, passage)`` of the records to exclude.
 
     Null, empty and dash-only texts have no passage and are never residue; repeated rows give
     repeated results; an empty table gives an empty result (the model then rests on the
     built-in phrases).
     """
-    model = fit_model(documents, id_col, text_col, fit_records)
+    model = fit_model(documents, id_col, text_col)
     return residue_passages(documents, model, id_col, text_col, threshold).where("n_residue > 0")

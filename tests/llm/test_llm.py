@@ -373,6 +373,18 @@ def test_residue(frame):
     assert rows(residue.residue_records(d.limit(0))) == []
 
 
+def test_model_rests_on_all_records(frame):
+    # a message without a known word, in 30 of 30,000 records beside a known one; of a sample of 12,000 it would be in 12 or so
+    stock = [f"The firm sold {w} pumps to {v} mills." for w in ("old", "new", "red", "big") for v in ("two", "four", "many", "few")]
+    docs = [(i, f"{stock[i % 16]}\n{'home' if i % 50 else 'about us'}\n{stock[i * 7 % 16]}") for i in range(30_000)]
+    docs += [(50_000 + i, f"404 not found. glorp wizzle {i % 3}.") for i in range(30)]
+    d = frame(docs, "doc_id long, text string")
+    want, got = residue.fit([t for _, t in docs]), residue.fit_model(d)
+    assert got.furniture == want.furniture and "about us" in got.furniture
+    assert got.weights.keys() == want.weights.keys() and all(abs(got.weights[f] - w) < 1e-6 for f, w in want.weights.items())
+    assert abs(got.prior - want.prior) < 1e-6 and abs(got.field_prior - want.field_prior) < 1e-6
+
+
 # tables
 
 
