@@ -1,7 +1,7 @@
 """Problem 2: product listings that describe the same item.
 
 Listings are read into tokens of one notation (brand with model name, and brand with each
-measure).  Tokens are weighted by rarity; pairs that share a rare token are verified by their
+measure).  Tokens are weighted by rarity; pairs that share a token of their prefixes are verified by their
 weighted containment over what both state: everything both state must agree, and the agreeing
 tokens must weigh enough for the size of the collection.  Links are clustered by stars.
 """
@@ -22,6 +22,8 @@ from matchloom.llm.name_forms import within
 from matchloom.session import Scratch
 
 ATTRIBUTES = ["mp", "zoom", "screen", "battery", "iso", "fps", "video", "sensor"]
+#: The attributes and the weight's places on two grids.
+MEASURES = [*ATTRIBUTES, "g0", "g1"]
 #: Brands are learnt from the listings: stated in at least this share of them; at most MAX_BRANDS, the most frequent ones.
 BRAND_SHARE = 0.0005
 MAX_BRANDS = 5_000
@@ -75,7 +77,7 @@ def read_listings(listings: DataFrame, id_col: str = "id", title_col: str = "pag
 def weighted(rows: DataFrame, n: int, scratch: Scratch) -> DataFrame:
     """Adds ``w``: a map from token to its weight log(n / listings with it), brand by brand."""
     tokens = F.filter(
-        F.concat(F.array(*[F.col(a) for a in [*ATTRIBUTES, "g0", "g1"]]), F.transform("models", lambda m: F.concat(F.lit("m:"), m))), lambda t: t.isNotNull()
+        F.concat(F.array(*[F.col(a) for a in MEASURES]), F.transform("models", lambda m: F.concat(F.lit("m:"), m))), lambda t: t.isNotNull()
     )
     long = scratch.put("long", rows.select("id", "brand", F.explode(tokens).alias("t")).select("id", "t", F.concat_ws("|", "brand", "t").alias("token")))
     df = scratch.put("df", long.groupBy("token").agg(F.count(F.lit(1)).alias("n")).withColumn("df", F.col("n")))
@@ -85,22 +87,28 @@ def weighted(rows: DataFrame, n: int, scratch: Scratch) -> DataFrame:
     return rows.join(maps, "id")
 
 
-def join_keys() -> Column:
-    """The rare tokens of a listing (column names as in :func:`read_listings`).
+def join_keys(need: float) -> Column:
+    """Model names and the prefix of the measures of a listing (column names as in :func:`weighted`).
 
-    A pair must agree in a model name, in the battery, in the resolution, or in the weight
-    together with zoom or pictures a second; the other tokens alone are too common to prove
-    anything and stay behind the prefix.
+    The measures are ordered by weight, the lightest first; those up to which the weights stay below
+    ``need`` are behind the prefix.  The heaviest measure of a pair whose common ones weigh ``need``
+    is in the prefix of both, so each such pair shares a key.
     """
-    keys = [F.transform("models", lambda m: F.concat(F.lit("m:"), m)), F.array("battery"), F.array("mp")]
-    keys += [F.array(F.when(F.col(g).isNotNull() & F.col(o).isNotNull(), F.concat_ws("/", g, o))) for g in ("g0", "g1") for o in ("zoom", "fps")]
-    return F.filter(F.concat(*keys), lambda k: k.isNotNull())
+    stated = F.filter(F.array(*[F.struct(F.element_at("w", F.col(a)).alias("w"), F.col(a).alias("t")) for a in MEASURES]), lambda e: e["t"].isNotNull())
+
+    def reach(e: Column) -> Column:
+        return F.aggregate(F.filter(stated, lambda o: o <= e), F.lit(0.0), lambda total, o: total + o["w"])
+
+    # sums of another order may differ in the last digits
+    prefix = F.transform(F.filter(stated, lambda e: reach(e) >= need - 1e-6), lambda e: e["t"])
+    return F.concat(F.transform("models", lambda m: F.concat(F.lit("m:"), m)), prefix)
 
 
 def listing_links(rows: DataFrame, n: int, margin: float = MARGIN) -> DataFrame:
     """``(lid, rid)``, lid < rid: listings that agree in all they both state and share enough."""
     body = F.struct("id", "models", *ATTRIBUTES, "g0", "g1", "w")
-    keyed = rows.select("brand", body.alias("a"), F.explode(join_keys()).alias("key"))
+    need = math.log(max(n, 3)) + margin
+    keyed = rows.select("brand", body.alias("a"), F.explode(join_keys(need)).alias("key"))
     other = keyed.select("brand", F.col("a").alias("b"), "key")
     clash = F.lit(False)
     evidence = F.lit(0.0)
@@ -112,8 +120,7 @@ def listing_links(rows: DataFrame, n: int, margin: float = MARGIN) -> DataFrame:
         evidence = evidence + F.when(F.col(f"a.{g}") == F.col(f"b.{g}"), F.element_at("a.w", F.col(f"a.{g}"))).otherwise(0.0)
     pairs = keyed.join(other, ["brand", "key"]).where((F.col("a.id") < F.col("b.id")) & ~clash & ~heavy)
     named = F.size(F.array_intersect("a.models", "b.models")) > 0
-    need = math.log(max(n, 3)) + margin
-    # length and position bounds in one: without a common name the measures alone must reach the bound
+    # without a common name the measures alone must reach the bound
     kept = pairs.withColumn("evidence", evidence).withColumn("named", named).where(F.col("named") | (F.col("evidence") >= need))
     cand = kept.select(F.col("a.id").alias("lid"), F.col("b.id").alias("rid"), "named", F.col("a.models").alias("ma"), F.col("b.models").alias("mb")).dropDuplicates(["lid", "rid"])
 

@@ -75,6 +75,32 @@ def test_listing_pairs(frame):
     assert rows(listings.same_item_pairs(df.limit(0))) == []
 
 
+def test_listing_links_are_complete(spark, frame):
+    from matchloom.session import Scratch
+
+    rng = random.Random(23)
+    measures = listings.MEASURES
+    base = [{a: f"{a}:{rng.randrange(8)}" for a in measures} for _ in range(30)]
+    # one and two share zoom, iso and frame rate alone
+    data = [(1, "x", [], {"zoom": "zoom:z", "iso": "iso:z", "fps": "fps:z", "mp": "mp:1"}), (2, "x", [], {"zoom": "zoom:z", "iso": "iso:z", "fps": "fps:z", "screen": "screen:1"})]
+    for i in range(3, 160):
+        data.append((i, rng.choice("xy"), [f"ab{rng.randrange(1000, 1040)}"] if rng.random() < 0.3 else [], {a: v for a, v in base[i % 30].items() if rng.random() < 0.5}))
+    df = frame([(i, b, m, *[s.get(a) for a in measures]) for i, b, m, s in data], "id long, brand string, models array<string>, " + ", ".join(f"{a} string" for a in measures))
+    n = len(data)
+    rated = listings.weighted(df, n, Scratch(spark, "links"))
+    w = {r["id"]: r["w"] for r in rated.collect()}
+    want = set()
+    for (i, b, m, s), (j, c, o, t) in itertools.combinations(data, 2):
+        both = set(s) & set(t)
+        off = [a for a in both if s[a] != t[a]]
+        if b != c or set(off) & set(listings.ATTRIBUTES) or {"g0", "g1"} <= set(off) or i not in w or j not in w:
+            continue
+        evidence = sum(w[i][s[a]] for a in both if s[a] == t[a])
+        if set(m) & set(o) or (evidence >= np.log(n) + listings.MARGIN and listing_forms.models_agree(m, o, name_forms.within) in ("open", "near")):
+            want.add((i, j))
+    assert set(rows(listings.listing_links(rated, n))) == want and (1, 2) in want
+
+
 # 3 names
 
 
