@@ -148,10 +148,9 @@ def spelling_links(names: DataFrame) -> DataFrame:
     age = segment_join(
         n.where("year is not null").withColumn("y", F.col("year")), lost.where("year is not null").withColumn("y", years), ["context", "y"], 2
     ).where(country_ok)
-    # rows without any shared attribute to compare: one edit at most
+    # rows without any shared attribute to compare, one of them without a place: one edit at most
     bare = (F.col("a.country").isNull() | F.col("b.country").isNull()) & (F.col("a.year").isNull() | F.col("b.year").isNull())
-    poor = n.where("country is null or year is null")
-    alone = segment_join(poor, poor.where("place is null"), ["context"], 1).where(bare)
+    alone = segment_join(n, lost, ["context"], 1).where(bare)
     pairs = same.select("a.id", F.col("b.id").alias("o"))
     for part in (town, land, age, alone):
         pairs = pairs.union(part.select("a.id", F.col("b.id").alias("o")))

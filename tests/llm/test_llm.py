@@ -148,6 +148,19 @@ def test_spellings(frame):
     assert rows(names.spelling_groups(df.limit(0))) == []
 
 
+def test_spellings_meet_under_any_nulls(frame):
+    # every combination of nulls on both sides, each pair with a name of its own; nothing stated contradicts
+    rng = random.Random(24)
+    data, want = [], set()
+    for i, (x, y) in enumerate(itertools.product(itertools.product((True, False), repeat=3), repeat=2)):
+        core = "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(5))
+        for j, (place, country, year) in enumerate((x, y)):
+            data.append((2 * i + j, core if j == 0 else core[:4] + "x" + core[5:], f"Town{i}" if place else None, "GB" if country else None, 1970 if year else None))
+        want.add((2 * i, 2 * i + 1))
+    df = frame([(i, "c", "", p, None, t and t.lower(), c, y) for i, p, t, c, y in data], "id long, context string, given string, p1 string, p2 string, place string, country string, year int")
+    assert set(rows(names.spelling_links(df))) == want
+
+
 # 4 splits
 
 
