@@ -359,6 +359,11 @@ def transitive_pairs_recovery(spark, sf):
     return graph.transitive_pairs(*_graph(spark, sf), most=5, exclusive=True)
 
 
+@query
+def transitive_pairs_recovery_50(spark, sf):
+    return graph.transitive_pairs(*_graph(spark, sf), exclusive=True)
+
+
 @query
 def transitive_pairs_all(spark, sf):
     return graph.transitive_pairs(*_graph(spark, sf), most=None)
@@ -370,6 +375,12 @@ def transitive_pairs_sampled(spark, sf):
     return graph.transitive_pairs(edges, graph.sampled_members(members, 10), None)
 
 
+@query
+def transitive_pairs_sampled_50(spark, sf):
+    edges, members = _graph(spark, sf)
+    return graph.transitive_pairs(edges, graph.sampled_members(members), None)
+
+
 @query
 def augmented_graph(spark, sf):
     return graph.augmented_graph(*_graph(spark, sf))
@@ -477,7 +488,7 @@ def edge_recovery(spark, sf):
 @query
 def clean_match_graph(spark, sf):
     t = Tables(spark, sf)
-    return CleanUp(TokenScorer("name", cut=0.5), t.companies, budget=200, iterations=2).run(t.pairwise_matches_preds.select(*PREDS)).stages
+    return CleanUp(TokenScorer("name", cut=0.5), t.companies).run(t.pairwise_matches_preds.select(*PREDS)).stages
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

@@ -205,10 +205,14 @@ ORACLES = {
     "component_edges": f"WITH RECURSIVE {MEMBERS} SELECT m.component_id, e.lid, e.rid FROM edges e JOIN members m ON m.id = e.lid",
     "transitive_pairs_capped": f"WITH RECURSIVE {MEMBERS}, {transitive('s.size <= 50')} SELECT lid, rid, 'transitive_match' AS match_type FROM transitive",
     "transitive_pairs_recovery": f"WITH RECURSIVE {MEMBERS}, {transitive('s.size < 5')} SELECT lid, rid, 'transitive_match' AS match_type FROM transitive",
+    "transitive_pairs_recovery_50": f"WITH RECURSIVE {MEMBERS}, {transitive('s.size < 50')} SELECT lid, rid, 'transitive_match' AS match_type FROM transitive",
     "transitive_pairs_all": f"WITH RECURSIVE {MEMBERS}, {transitive('true')} SELECT lid, rid, 'transitive_match' AS match_type FROM transitive",
     "transitive_pairs_sampled": f"""
         WITH RECURSIVE {MEMBERS}, part_ AS (SELECT id, component_id FROM members QUALIFY row_number() OVER (PARTITION BY component_id ORDER BY md5(concat_ws('-', CAST(id AS VARCHAR), '42')), id) <= 10),
         {transitive('true', 'part_')} SELECT lid, rid, 'transitive_match' AS match_type FROM transitive""",
+    "transitive_pairs_sampled_50": f"""
+        WITH RECURSIVE {MEMBERS}, part_ AS (SELECT id, component_id FROM members QUALIFY row_number() OVER (PARTITION BY component_id ORDER BY md5(concat_ws('-', CAST(id AS VARCHAR), '42')), id) <= 50),
+        {transitive('true', 'part_')} SELECT lid, rid, 'transitive_match' AS match_type FROM transitive""",
     "augmented_graph": f"WITH RECURSIVE {MEMBERS}, {transitive('s.size <= 50')} SELECT lid, rid, prob, match_type FROM edges UNION ALL SELECT lid, rid, 0.0, 'transitive_match' FROM transitive",
     "big_components": f"WITH RECURSIVE {MEMBERS} SELECT component_id, size FROM sizes WHERE size > 20",
     "transitive_votes": f"WITH RECURSIVE {STATE} SELECT component_id, count(*) FILTER (WHERE prob < 0.999) AS negative, count(*) FILTER (WHERE prob >= 0.999) AS positive FROM scored GROUP BY component_id",

@@ -85,6 +85,36 @@ def test_cap_boundaries(frame):
     assert rows(graph.big_components(m, 50).select("size")) == [(51,)]
 
 
+def test_registered_caps(spark, frame, monkeypatch):
+    from matchloom.plans import catalog
+
+    paths = [(base + i, base + i + 1) for base, n in ((1000, 49), (2000, 50), (3000, 60)) for i in range(n - 1)]
+    e = frame(paths, "lid long, rid long")
+    monkeypatch.setattr(catalog, "_graph", lambda *_: (e, graph.components(e)))
+    got = {b: n for b, n in catalog.QUERIES["transitive_pairs_recovery_50"](spark, "").groupBy(F.floor(F.col("lid") / 1000)).count().collect()}
+    assert got == {1: 49 * 48 // 2 - 48}
+    drawn = catalog.QUERIES["transitive_pairs_sampled_50"](spark, "").where("lid >= 3000")
+    assert drawn.select(F.explode(F.array("lid", "rid"))).distinct().count() == 50
+    ran = []
+
+    class Recorded(catalog.CleanUp):
+        def run(self, predictions):
+            ran.append((self.budget, self.iterations, self.cap))
+            return type("Cleaned", (), {"stages": None})
+
+    class NoTables:
+        companies = None
+        pairwise_matches_preds = frame([], ", ".join(f"{c} string" for c in catalog.PREDS))
+
+        def __init__(self, *_):
+            pass
+
+    monkeypatch.setattr(catalog, "CleanUp", Recorded)
+    monkeypatch.setattr(catalog, "Tables", NoTables)
+    catalog.QUERIES["clean_match_graph"](spark, "")
+    assert ran == [(1000, 5, 50)]
+
+
 def test_minimum_cut_is_minimum():
     rng = random.Random(11)
     for _ in range(60):
