@@ -37,6 +37,26 @@ def lookup_join(rows: DataFrame, table: DataFrame, key: str, n: str, least: int
     return cold.unionByName(warm)
 
 
+#: Rows of a key on the sliced side of a join that one slice takes.
+SLICE_ROWS = 2_000
+
+
+def sliced_join(left: DataFrame, right: DataFrame, keys: list[str], slice_on: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Inner join for keys that meet many rows on both sides.
+
+    The right rows of a key are cut by a hash of ``slice_on`` into slices of about ``slice_rows``; its left rows
+    go to every slice.  A task has a slice of a key, not the whole product.  Both sides are read
+    twice, so they should be written tables.
+    """
+    many = right.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / slice_rows).cast("int").alias("_slices")).where("_slices > 1")
+    if many.isEmpty():
+        return left.join(right, keys)
+    n = F.coalesce("_slices", F.lit(1))
+    spread = right.join(many, keys, "left").withColumn("_slice", F.pmod(F.xxhash64(slice_on), n).cast("int")).drop("_slices")
+    copied = left.join(many, keys, "left").withColumn("_slice", F.explode(F.sequence(F.lit(0), n - 1))).drop("_slices")
+    return copied.join(spread, [*keys, "_slice"]).drop("_slice")
+
+
 def spread_rank(
     df: DataFrame, group: list[str], order: list[Column], name: str, salt_on: Column, salts: int
 ) -> DataFrame:
