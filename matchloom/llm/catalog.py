@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.llm.distinct_terms import log_odds, shared_rare_terms
-from matchloom.llm.groups import consolidate
+from matchloom.llm.groups import consolidate, group_pairs
 from matchloom.llm.listings import same_item_groups, same_item_pairs
 from matchloom.llm.linking import link_sources
 from matchloom.llm.leakage import leak_report, leaked_items
-from matchloom.llm.names import group_pairs, spelling_groups
+from matchloom.llm.names import spelling_groups
 from matchloom.llm.packing import pack_texts
 from matchloom.llm.residue import residue_records
 from matchloom.llm.split_overlap import cross_split_overlaps, overlap_pairs, overlap_report
@@ -62,7 +62,7 @@ def _companies(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     companies, entities = _companies(spark, sf)
     groups = spelling_groups(unmapped(companies, entities).where("data_source_id = '5'"))
-    return group_pairs(Scratch(spark, "p3").put("groups", groups))
+    return group_pairs(groups)
 
 
 def _links(spark: SparkSession, sf: str) -> DataFrame:
@@ -83,7 +83,7 @@ def p6_links(spark: SparkSession, sf: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     parts = [
-        related_keys(Scratch(spark, "p4").put("groups", key_groups(keys(spark, sf), "key", record))).select(F.lit(table).alias("map_table"), "key_a", "key_b")
+        related_keys(key_groups(keys(spark, sf), "key", record)).select(F.lit(table).alias("map_table"), "key_a", "key_b")
         for table, (keys, record) in MAPPINGS.items()
     ]
     return parts[0].unionByName(parts[1])

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.functions.skew import hot_keys
+from matchloom.functions.skew import hot_keys, sliced_join
 from matchloom.session import Scratch
 
 
@@ -78,3 +78,14 @@ def consolidate(matches: DataFrame, threshold: float = 0.999, hot_rows: int = 10
     for nulls, loops and repeated pairs.
     """
     return hash_to_min(match_edges(matches, threshold), hot_rows=hot_rows)
+
+
+def group_pairs(groups: DataFrame, lid: str = "lid", rid: str = "rid") -> DataFrame:
+    """``(lid, rid)``, lid < rid: all pairs of different ids of one group of ``(id, group_id)``, for results that are stated in pairs.
+
+    The rows of ``groups`` (``hash_to_min``, ``key_groups``) hold the same in one row an id.  Members of a
+    large group are cut into slices, so that no task has more than a slice times the group.
+    """
+    g = Scratch(groups.sparkSession, "pairs").put("groups", groups.select("group_id", "id"))
+    a, b = g.select("group_id", F.col("id").alias(lid)), g.select("group_id", F.col("id").alias(rid))
+    return sliced_join(a, b, ["group_id"], rid).where(F.col(lid) < F.col(rid)).select(lid, rid)

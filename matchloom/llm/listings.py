@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.functions.skew import lookup_join
-from matchloom.llm.groups import hash_to_min
+from matchloom.llm.groups import group_pairs, hash_to_min
 from matchloom.llm.listing_forms import models_agree, read_listing, stated_brand
 from matchloom.llm.name_forms import within
 from matchloom.session import Scratch
@@ -174,7 +174,4 @@ def same_item_groups(listings: DataFrame, **columns: str) -> DataFrame:
 
 def same_item_pairs(listings: DataFrame, **columns: str) -> DataFrame:
     """``(lid, rid)``, lid < rid: all pairs of one group."""
-    groups = Scratch(listings.sparkSession, "items").put("groups", same_item_groups(listings, **columns))
-    a = groups.select("group_id", F.col("id").alias("lid"))
-    b = groups.select("group_id", F.col("id").alias("rid"))
-    return a.join(b, "group_id").where("lid < rid").select("lid", "rid")
+    return group_pairs(same_item_groups(listings, **columns))

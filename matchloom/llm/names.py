@@ -167,10 +167,3 @@ def spelling_groups(records: DataFrame, **columns: str) -> DataFrame:
     names = scratch.put("names", read_names(records, **columns))
     links = scratch.put("links", spelling_links(names))
     return hash_to_min(links.select(F.col("lid").alias("a"), F.col("rid").alias("b")))
-
-
-def group_pairs(groups: DataFrame) -> DataFrame:
-    """``(lid, rid)``, lid < rid: all pairs of one group."""
-    a = groups.select("group_id", F.col("id").alias("lid"))
-    b = groups.select("group_id", F.col("id").alias("rid"))
-    return a.join(b, "group_id").where("lid < rid").select("lid", "rid")

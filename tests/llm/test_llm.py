@@ -144,7 +144,7 @@ def test_spellings(frame):
     schema = "id long, name string, city string, country_code string, founded_year int, context string"
     data = [(1, "Querkmurk Services Logistics", "A", "GB", 1970, "c"), (2, "Querkmrk Serv ices Lgstcs Ltd", "a", "GB", 1970, None), (3, "Querkmurk Services Foods", "A", "GB", 1970, "c"), (4, None, "A", None, None, "c"), (5, "", None, None, None, "c"), (6, "P. Veilpeara & Sons Energy", "B", None, 1984, "c"), (7, "Veilpeara, Phil & Sons enrg.", "B", "NL", None, "c"), (8, "Robert Veilpeara & Sons Energy", "B", "NL", 1984, "c"), (9, "x " * 20_000, None, None, None, "c")]
     df = frame([*data, data[0]], schema)
-    assert rows(names.group_pairs(names.spelling_groups(df))) == [(1, 2), (6, 7)]
+    assert rows(groups.group_pairs(names.spelling_groups(df))) == [(1, 2), (6, 7)]
     assert rows(names.spelling_groups(df.limit(0))) == []
 
 
@@ -192,21 +192,42 @@ def test_splits_keep_groups_and_shares(frame):
 def test_greedy_equals_one_by_one():
     rng = random.Random(10)
     parts = {"a": 0.6, "b": 0.2, "c": 0.2}
-    for _ in range(30):
-        sizes = sorted(((s, rng.randrange(1, 9)) for s in rng.sample(range(1, 30), 6)), reverse=True)
+    for _ in range(60):
+        sizes = sorted(((s, rng.randrange(1, 40)) for s in rng.sample(range(1, 30), 6)), reverse=True)
         total = sum(s * n for s, n in sizes)
         gap = {k: v * total for k, v in parts.items()}
+        want = {s: dict.fromkeys(parts, 0) for s, _ in sizes}
         for s, n in sizes:
             for _ in range(n):
-                gap[max(gap, key=gap.get)] -= s
-        runs = splits.greedy_runs(sizes, parts)
-        mine = {k: v * total for k, v in parts.items()}
-        seen = {}
-        for s, lo, hi, k in runs:
-            mine[k] -= s * (hi - lo + 1)
-            seen[s] = seen.get(s, 0) + hi - lo + 1
-        assert seen == dict(sizes)
-        assert max(abs(mine[k] - gap[k]) for k in parts) <= max(s for s, _ in sizes)
+                k = max(gap, key=gap.get)
+                gap[k] -= s
+                want[s][k] += 1
+        assert splits.greedy_shares(sizes, parts) == {s: list(x.values()) for s, x in want.items()}
+
+
+def test_greedy_plan_has_one_entry_a_size():
+    plan = splits.greedy_shares([(1, 10**6)], {"train": 0.6, "validation": 0.2, "test": 0.2})
+    assert plan == {1: [600_000, 200_000, 200_000]}
+    many = splits.greedy_shares([(s, 10**9 // s) for s in range(1, 2_000)], {"train": 0.6, "rest": 0.4})
+    assert len(many) == 1_999 and all(sum(x) == 10**9 // s for s, x in many.items())
+
+
+def test_union_find_spreads_a_giant_star(spark):
+    star = spark.range(1, 30_001).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+    chains = spark.range(0, 3_000).select((F.col("id") + 100_000).alias("a"), (F.col("id") + 100_001).alias("b")).where("id % 10 <> 9")
+    for most in (2_000_000, 4_000):
+        got = splits.union_find(star.union(chains), rows_per_task=most).groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+        assert rows(got.where("root = 0")) == [(0, 30_001)] and got.where("root >= 100000 and n = 10 and root % 10 = 0").count() == 300
+
+
+def test_group_pairs_cut_large_groups(frame):
+    g = frame([(i, 0) for i in range(90)] + [(100, 1), (101, 1), (200, 2)], "id long, group_id long")
+    want = [(i, j) for i in range(90) for j in range(i + 1, 90)] + [(100, 101)]
+    assert rows(groups.group_pairs(g)) == sorted(want)
+    from matchloom.functions.skew import sliced_join
+
+    a, b = g.select("group_id", F.col("id").alias("lid")), g.select("group_id", F.col("id").alias("rid"))
+    assert rows(sliced_join(a, b, ["group_id"], "rid", 7).where("lid < rid").select("lid", "rid")) == sorted(want)
 
 
 # 5 terms
