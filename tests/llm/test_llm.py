@@ -434,15 +434,25 @@ def test_residue(frame):
 
 
 def test_model_rests_on_all_records(frame):
-    # a message without a known word, in 30 of 30,000 records beside a known one; of a sample of 12,000 it would be in 12 or so
+    # wordings that no list holds, in few of 20,000 records, beside sentences that speak about such things without quoting them
     stock = [f"The firm sold {w} pumps to {v} mills." for w in ("old", "new", "red", "big") for v in ("two", "four", "many", "few")]
-    docs = [(i, f"{stock[i % 16]}\n{'home' if i % 50 else 'about us'}\n{stock[i * 7 % 16]}") for i in range(30_000)]
-    docs += [(50_000 + i, f"404 not found. glorp wizzle {i % 3}.") for i in range(30)]
-    d = frame(docs, "doc_id long, text string")
-    want, got = residue.fit([t for _, t in docs]), residue.fit_model(d)
-    assert got.furniture == want.furniture and "about us" in got.furniture
-    assert got.weights.keys() == want.weights.keys() and all(abs(got.weights[f] - w) < 1e-6 for f, w in want.weights.items())
-    assert abs(got.prior - want.prior) < 1e-6 and abs(got.field_prior - want.field_prior) < 1e-6
+    docs = [(i, f"{stock[i % 16]}\n{'home' if i % 50 else 'about us'}\n{stock[i * 7 % 16]}") for i in range(20_000)]
+    known = ["Please enable JavaScript to view this page.", "404 Not Found.", "503 Service Unavailable.", "Lorem ipsum dolor sit amet.", "Your description here.", "Your browser does not support JavaScript."]
+    docs += [(50_000 + i, known[i % 6]) for i in range(60)]
+    new = ["Our booking form needs JavaScript, enable scripts in your browser.", "The page was not found on this server, sorry.", "Lorem sit amet dolor florp elit quis."]
+    docs += [(60_000 + i, f"{stock[i]}\nabout us\n{new[i % 3]}") for i in range(9)]
+    docs += [(70_000 + i, f"{stock[i]} In the audit of {1990 + i} the team counted listings that ask for JavaScript as empty and fixed them with the shop.") for i in range(9)]
+    docs += [(80_000 + i, f"{stock[i]} Tags such as {{{{name}}}} were left by the import of {1990 + i}, and the team fixed them with the shop.") for i in range(9)]
+    docs += [(85_000 + i, f'{stock[i]} The manual shows the pattern "{{{{name}}}}" as something that the team must fix.') for i in range(9)]
+    docs += [(90_000 + i, f"Our shop in {{{{city}}}} sold {i} pumps.") for i in range(9)]
+    got = {r["doc_id"] for r in residue.residue_records(frame(docs, "doc_id long, text string")).collect()}
+    assert got == {50_000 + i for i in range(60)} | {60_000 + i for i in range(9)} | {90_000 + i for i in range(9)}
+
+
+def test_cells_hold_every_feature():
+    row, cell, field = residue.coded(["a b a", "a b a", "{{x}} a b a", "", "word " * 50_000])
+    sets = [set(cell[row == i].tolist()) for i in range(5)]
+    assert sets[0] == sets[1] and not sets[0] & sets[2] and field.tolist() == [False, False, True, False, False] and len(sets[4]) == 4
 
 
 # tables
