@@ -1,14 +1,16 @@
 """Problem 6: matching entities across sources that share no key.
 
-Every record becomes a bag of terms over all its attributes; an inverted index scores pairs of
-different sources by BM25, block by block, over all terms that they share, so the best partners
-are exact.  A pair is kept if each is the other's nearest in its source; its confidence comes from
-the scores, the gaps to the second best and the agreement of attributes by a logistic calibration.
+Every record becomes a bag of terms over all its attributes; an inverted index finds every pair of
+different sources whose BM25 score, over all terms that the two share, reaches a floor.  The index holds of
+each record only the rare terms that an exact upper bound requires.  A pair is kept if each is the
+other's nearest in its source; its confidence comes from the scores, the gaps to the second best
+and the agreement of attributes by a logistic calibration.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,26 +18,23 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchloom.functions.skew import lookup_join
-from matchloom.llm.groups import hash_to_min
+from matchloom.functions.skew import lookup_join, sliced_join
+from matchloom.llm.groups import group_pairs, hash_to_min
 from matchloom.llm.name_forms import plain, read_name
 from matchloom.session import Scratch
 
-import re
-
 _SUFFIX = re.compile(r"\s*(?:\([^()]*\)|\b[A-Z]{2})\s*$")
 _TERM = re.compile(r"[a-z0-9à-ÿ]+")
 _YEAR = re.compile(r"\b(1[89]\d\d|20[0-4]\d)\b")
 K1, B = 1.2, 0.5
-#: A term counts at most this often in a record.
-MOST_TF = 2
-#: Scores are sums of whole units of 1/UNIT, which single precision adds exactly in any order (below 4,096).
+#: Power of a term's idf in its weight; above 1, a rare term that two records share says more than many common ones of the same sum.
+IDF_POWER = 3.0
+#: Score, in units of log(records) (about the idf of a term of one record), below which no pair is an answer.
+FLOOR = 0.6
+#: Weights are whole units of 1/UNIT, so that their sums are the same in any order, and have the lowest WEIGHT_BITS of a term's code.
 UNIT = 4096
-#: Records of an index block (it is broadcast) and queries scored against it at a time.
-BLOCK_RECORDS = 20_000
-ROWS_AT_ONCE = 256
-#: Postings of a term of more than this share of the records are held as a row of a matrix; it bears on time alone.
-DENSE_SHARE = 0.05
+WEIGHT_BITS = 20
+WEIGHT_MASK = (1 << WEIGHT_BITS) - 1
 #: Words of this share of the records make a combination with place and year.
 MID_SHARE = (0.002, 0.06)
 #: At most about this many labelled records (whole entities, by hash) and pairs fit the calibration.
@@ -85,7 +84,7 @@ def deletion_terms(word: Column) -> Column:
 
 
 def terms_of(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(id, src, term, weight, tf)``: the bag of terms of every record, with field weights.
+    """``(id, src, term, weight)``: the terms of every record, with field weights.
 
     Words and towns stand for themselves; words of middling frequency and business words also
     together with place and year.
@@ -108,131 +107,77 @@ def terms_of(rows: DataFrame, scratch: Scratch) -> DataFrame:
     every = combined
     for part in (traded, single, towns, whole, cut):
         every = every.unionByName(part)
-    return every.groupBy("id", "src", "term").agg(F.max("weight").alias("weight"), F.least(F.count(F.lit(1)), F.lit(MOST_TF)).alias("tf"))
+    return every.groupBy("id", "src", "term").agg(F.max("weight").alias("weight"))
 
 
-def rated_terms(terms: DataFrame, n: int, scratch: Scratch) -> tuple[DataFrame, np.ndarray]:
-    """``(id, src, terms, ratings)``: numbered terms of every record and what each adds to the score of this record as an answer.
+def rated_terms(terms: DataFrame, n: int, scratch: Scratch) -> DataFrame:
+    """``(id, src, t, df, w, f)``: the terms of every record as 64-bit hashes with their weights, and the record's length factor.
 
-    A rating is the term's weight x idf x BM25's factor, in whole units of 1/UNIT.  Terms of
-    a single record can't be shared and are not rated; common ones are, their idf makes them small.
-    Beside it the numbers of the terms of more than DENSE_SHARE of the records.
+    ``w`` is field weight x idf^IDF_POWER in whole units of 1/UNIT, the same for a term in all records, and ``f`` the factor
+    of BM25 for a term that is present (attributes are short: a term counts once a record).  The score of a record as
+    an answer is the sum of ``w`` over the shared terms times its ``f``.  Terms of a single record can't be
+    shared and are left out; all others count, however common.
     """
     terms = scratch.put("terms", terms)
-    df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
-    df = scratch.put("df", df.withColumn("df", F.col("n")).withColumn("t", F.monotonically_increasing_id()))
-    idf = F.col("weight") * F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    kept = scratch.put("kept", lookup_join(terms, df, "term", "n").select("id", "src", "t", "tf", idf.alias("idf")))
+    df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.max("weight").alias("weight")).where("n >= 2")
+    unit = math.log(max(n, 3))
+    idf = F.log(1 + (F.lit(float(n)) - F.col("n") + 0.5) / (F.col("n") + 0.5))
+    w = F.round(F.col("weight") * UNIT * idf * F.pow(idf / unit, F.lit(IDF_POWER - 1))).cast("long")
+    df = scratch.put("df", df.select("term", F.xxhash64("term").alias("t"), F.col("n").alias("df"), "n", F.least(w, F.lit(WEIGHT_MASK)).alias("w")))
+    kept = scratch.put("kept", lookup_join(terms.select("id", "src", "term"), df, "term", "n").drop("term"))
+    scratch.drop("terms")
+    lengths = kept.groupBy("id").agg(F.count(F.lit(1)).alias("length"))
     mean = kept.count() / max(1, n)
-    entries = F.sort_array(F.collect_list(F.struct("t", "tf", "idf")))
-    length = F.size("e") / F.lit(mean or 1.0)
-
-    def rating(e: Column) -> Column:
-        return F.round(UNIT * e["idf"] * e["tf"] * (K1 + 1) / (e["tf"] + K1 * (1 - B + B * length))).cast("int")
-
-    rated = kept.groupBy("id", "src").agg(entries.alias("e")).select("id", "src", F.col("e.t").alias("terms"), F.transform("e", rating).alias("ratings"))
-    # at most (terms per record) / DENSE_SHARE of them
-    common = df.where(F.col("df") > DENSE_SHARE * n).select("t").toPandas()["t"]
-    return scratch.put("rated", rated), np.sort(common.to_numpy(np.int64))
-
-
-class Postings:
-    """Inverted index of a block of records: lists of the common terms as rows of a matrix, those of the others as sorted arrays."""
-
-    def __init__(self, block: pd.DataFrame, common: np.ndarray):
-        block = block.sort_values(["src", "id"])
-        self.ids, self.common = block["id"].to_numpy(np.int64), common
-        src = block["src"].to_numpy(object)
-        starts = [k for k in range(len(src)) if k == 0 or src[k] != src[k - 1]]
-        self.sides = [(src[lo], lo, hi) for lo, hi in zip(starts, [*starts[1:], len(src)])]
-        at, term = flat(block["terms"])
-        rating = np.concatenate([np.asarray(r, dtype=np.float32) for r in block["ratings"]])
-        dense, row = self.split(term)
-        self.matrix = np.zeros((len(common), len(src)), dtype=np.float32)
-        self.matrix[row[dense], at[dense]] = rating[dense]
-        order = np.argsort(term[~dense], kind="stable")
-        self.term, self.at, self.rating = term[~dense][order], at[~dense][order], rating[~dense][order]
-
-    def split(self, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        row = np.searchsorted(self.common, term)
-        if not len(self.common):
-            return np.zeros(len(term), dtype=bool), row
-        return self.common[np.minimum(row, len(self.common) - 1)] == term, row
-
-    def scores(self, queries: pd.Series) -> np.ndarray:
-        """Scores of all records of the block (columns) for each query (rows): the sum over all shared terms."""
-        at, term = flat(queries)
-        dense, row = self.split(term)
-        asked = np.zeros((len(queries), len(self.common)), dtype=np.float32)
-        asked[at[dense], row[dense]] = 1.0
-        s = asked @ self.matrix
-        at, term = at[~dense], term[~dense]
-        lo = np.searchsorted(self.term, term, "left")
-        n = np.searchsorted(self.term, term, "right") - lo
-        k = np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
-        np.add.at(s.reshape(-1), np.repeat(at, n) * len(self.ids) + self.at[k], self.rating[k])
-        return s
-
-    def best_two(self, ids: np.ndarray, src: np.ndarray, queries: pd.Series) -> Iterator[pd.DataFrame]:
-        """``(q, side, d, s)``: per query and other source the two best records of the block; ties go to the smaller id."""
-        s = self.scores(queries)
-        rows = np.arange(len(ids))
-        for side, lo, hi in self.sides:
-            part, other = s[:, lo:hi], src != side
-            for _ in range(min(2, hi - lo)):
-                k = part.argmax(axis=1)
-                got = part[rows, k]
-                ok = other & (got > 0)
-                yield pd.DataFrame({"q": ids[ok], "side": side, "d": self.ids[lo:hi][k[ok]], "s": got[ok].astype(float) / UNIT})
-                part[rows, k] = -1.0
-
-
-def flat(lists: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """Position of the list and value, for all values of a column of lists of integers."""
-    return np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate([np.asarray(x, dtype=np.int64) for x in lists])
-
-
-def bm25_nearest(terms: DataFrame, n: int, scratch: Scratch, block_records: int = BLOCK_RECORDS) -> DataFrame:
-    """``(q, side, d, s)``: the best two answers ``d`` of every other source ``side`` to the record ``q``, block by block.
-
-    ``s`` is the BM25 score over all terms that the two share; every pair with a shared term is
-    scored, so the best two of a source are among the rows.
+    f = (K1 + 1) / (1 + K1 * (1 - B + B * F.col("length") / F.lit(mean or 1.0)))
+    return kept.join(lengths.select("id", f.alias("f")), "id").select("id", "src", "t", "df", "w", "f")
+
+
+def bm25_pairs(terms: DataFrame, n: int, scratch: Scratch, floor: float = FLOOR) -> DataFrame:
+    """``(a, b, src_a, src_b, s_ab, s_ba)``, a < b: all pairs of different sources of which both scores reach the floor.
+
+    ``s_ab`` is the score of b as an answer to a, over all terms that they share.  The terms of a record
+    are ordered, the commonest first, in one order for all; those up to which the weights sum to less than the floor are
+    behind its prefix.  The rarest shared term of a pair that reaches the floor is in the prefix of both,
+    so the join of the prefixes finds every such pair, and each pair found is scored over all its terms.
     """
-    spark = terms.sparkSession
-    rated, common = rated_terms(terms, n, scratch)
-    blocks = max(1, math.ceil(n / block_records))
-    # hashed apart from the shuffles
-    block = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(blocks))
-    asking = rated.repartition(4 * spark.sparkContext.defaultParallelism, "id") if n > ROWS_AT_ONCE else rated
-    asking = scratch.put("asking", asking.select("id", "src", "terms"))
-    found = None
-    for i in range(blocks):
-        own = rated.where(block == i).toPandas()
-        if own.empty:
-            continue
-        shared = spark.sparkContext.broadcast(Postings(own, common))
-
-        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                for lo in range(0, len(b), ROWS_AT_ONCE):
-                    x = b.iloc[lo : lo + ROWS_AT_ONCE]
-                    yield from shared.value.best_two(x["id"].to_numpy(np.int64), x["src"].to_numpy(object), x["terms"])
-
-        got = scratch.put(f"near-{i}", asking.mapInPandas(search, "q long, side string, d long, s double"))
-        shared.destroy()
-        found = got if found is None else found.unionByName(got)
-    return found if found is not None else spark.createDataFrame([], "q long, side string, d long, s double")
-
-
-def mutual_nearest(near: DataFrame) -> DataFrame:
+    least = floor * math.log(max(n, 3)) * UNIT
+    by_df = Window.partitionBy("id").orderBy(F.desc("df"), "t").rowsBetween(Window.unboundedPreceding, 0)
+    rated = scratch.put("rated", rated_terms(terms, n, scratch).withColumn("reach", F.sum("w").over(by_df)))
+    scratch.drop("kept")
+    code = F.shiftleft("t", WEIGHT_BITS).bitwiseOR(F.col("w"))
+    bags = scratch.put("bags", rated.groupBy("id").agg(F.collect_list(code).alias("e"), F.first("f").alias("f")))
+    # sums of doubles may differ in the last digits
+    prefix = scratch.put("prefix", rated.where(F.col("reach") * F.col("f") >= least - 1e-6).select("t", "id", "src"))
+    scratch.drop("rated")
+    x, y = (prefix.select("t", F.col("id").alias(i), F.col("src").alias(f"src_{i}")) for i in "ab")
+    met = sliced_join(x, y, ["t"], "b").where((F.col("a") < F.col("b")) & (F.col("src_a") != F.col("src_b")))
+    met = scratch.put("met", met.select("a", "b", "src_a", "src_b").distinct())
+    own = bags.select(F.col("id").alias("a"), F.col("e").alias("x"), F.col("f").alias("f_a"))
+    other = bags.select(F.col("id").alias("b"), F.col("e").alias("y"), F.col("f").alias("f_b"))
+    both = met.join(own, "a").join(other, "b").select("a", "b", "src_a", "src_b", "f_a", "f_b", F.array_intersect("x", "y").alias("shared"))
+    total = F.aggregate("shared", F.lit(0).cast("long"), lambda s, c: s + c.bitwiseAND(F.lit(WEIGHT_MASK)))
+    scored = both.select("a", "b", "src_a", "src_b", (total * F.col("f_b")).alias("s_ab"), (total * F.col("f_a")).alias("s_ba"))
+    return scored.where(F.least("s_ab", "s_ba") >= least).withColumns({c: F.col(c) / UNIT for c in ("s_ab", "s_ba")})
+
+
+def bm25_nearest(terms: DataFrame, n: int, scratch: Scratch, floor: float = FLOOR) -> DataFrame:
+    """``(q, side, d, s, rank)``: the best two answers ``d`` of every other source ``side`` to the record ``q`` that reach the floor; ties go to the smaller id."""
+    pairs = scratch.put("pairs", bm25_pairs(terms, n, scratch, floor))
+    for name in ("bags", "prefix", "met", "df"):
+        scratch.drop(name)
+    there = pairs.select(F.col("a").alias("q"), F.col("src_b").alias("side"), F.col("b").alias("d"), F.col("s_ab").alias("s"))
+    back = pairs.select(F.col("b").alias("q"), F.col("src_a").alias("side"), F.col("a").alias("d"), F.col("s_ba").alias("s"))
+    w = Window.partitionBy("q", "side").orderBy(F.desc("s"), "d")
+    return there.unionByName(back).withColumn("rank", F.row_number().over(w)).where("rank <= 2")
+
+
+def mutual_nearest(near: DataFrame, least: float = 0.0) -> DataFrame:
     """Pairs that are each other's best in the other's source, with the gaps to the second best.
 
-    ``near`` is that of :func:`bm25_nearest`.  Ties go to the smaller partner id, so each record
-    has one best partner per source.
+    ``near`` is that of :func:`bm25_nearest`; where it has no second answer the gap is that to ``least``, the floor.
     """
-    w = Window.partitionBy("q", "side").orderBy(F.desc("s"), "d")
-    two = near.withColumn("rank", F.row_number().over(w)).where("rank <= 2")
-    best = two.groupBy("q", "side").agg(F.max_by("d", -F.col("rank")).alias("d"), F.max("s").alias("s"), F.coalesce(F.min(F.when(F.col("rank") == 2, F.col("s"))), F.lit(0.0)).alias("second"))
+    second = F.coalesce(F.min(F.when(F.col("rank") == 2, F.col("s"))), F.lit(least))
+    best = near.groupBy("q", "side").agg(F.max_by("d", -F.col("rank")).alias("d"), F.max("s").alias("s"), second.alias("second"))
     x = best.where("q < d").select(F.col("q").alias("a"), F.col("d").alias("b"), F.col("s").alias("s_ab"), (F.col("s") - F.col("second")).alias("gap_a"))
     y = best.where("q > d").select(F.col("d").alias("a"), F.col("q").alias("b"), F.col("s").alias("s_ba"), (F.col("s") - F.col("second")).alias("gap_b"))
     return x.join(y, ["a", "b"])
@@ -291,7 +236,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int =
 
 
 #: Coefficients used when there is no labelled pair to fit: intercept, then FEATURES.
-PLAIN_WEIGHTS = np.array([-7.0, 1.5, 1.0, 4.0, 3.0, 2.0, -3.0, 1.5, -3.0, 0.7, -2.0, 0.7, 0.5, -4.0])
+PLAIN_WEIGHTS = np.array([-7.0, 3.0, 1.5, 4.0, 3.0, 2.0, -3.0, 1.5, -3.0, 0.7, -2.0, 0.7, 0.5, -4.0])
 
 
 def candidates(records: DataFrame, label: str) -> DataFrame:
@@ -299,8 +244,13 @@ def candidates(records: DataFrame, label: str) -> DataFrame:
     scratch = Scratch(records.sparkSession, label)
     rows = scratch.put("rows", read_records(records))
     n = rows.count()
-    near = bm25_nearest(terms_of(rows, scratch), n, scratch)
-    return scratch.put("mutual", with_features(mutual_nearest(near), rows, n))
+    near = scratch.put("near", bm25_nearest(terms_of(rows, scratch), n, scratch))
+    scratch.drop("pairs")
+    scratch.drop("mid")
+    out = scratch.put("mutual", with_features(mutual_nearest(near, FLOOR * math.log(max(n, 3))), rows, n))
+    for name in ("rows", "near"):
+        scratch.drop(name)
+    return out
 
 
 def calibrate(labelled: DataFrame, truth: DataFrame, fit_pairs: int = FIT_PAIRS) -> np.ndarray:
@@ -356,9 +306,7 @@ def link_sources(records: DataFrame, labelled: DataFrame, truth: DataFrame, thre
     member = groups.join(src, "id")
     clean = member.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("src").alias("k")).where("n = k and n > 2").select("group_id")
     weakest = direct.join(groups.withColumnRenamed("id", "lid"), "lid").groupBy("group_id").agg(F.min("confidence").alias("confidence"))
-    whole = member.join(clean, "group_id").select("group_id", "id")
-    joined = (
-        whole.withColumnRenamed("id", "lid").join(whole.withColumnRenamed("id", "rid"), "group_id").where("lid < rid").join(weakest, "group_id").select("lid", "rid", "confidence")
-    )
+    ends = group_pairs(member.join(clean, "group_id", "left_semi").select("id", "group_id"))
+    joined = ends.join(groups.withColumnRenamed("id", "lid"), "lid").join(weakest, "group_id").select("lid", "rid", "confidence")
     new = joined.join(direct.select("lid", "rid"), ["lid", "rid"], "left_anti")
     return direct.withColumn("kind", F.lit("direct")).unionByName(new.withColumn("kind", F.lit("joined")))

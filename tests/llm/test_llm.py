@@ -267,41 +267,45 @@ def test_linking_needs_more_than_a_name(frame):
     assert rows(linking.link_sources(df.limit(0), df.limit(0), frame([], "id long, entity long"))) == []
 
 
-@pytest.mark.parametrize("block", [20_000, 7])
-def test_nearest_score_all_shared_terms(spark, frame, block):
+@pytest.mark.parametrize("floor", [0.0, 0.4, 1.0])
+def test_nearest_score_all_shared_terms(spark, frame, floor):
     from collections import Counter
 
     from matchloom.session import Scratch
 
     rng = random.Random(21)
     # common terms (towns), rarer ones and single ones, of unequal weight; no pair is told apart by one rare term alone
-    bags = {i: (str(i % 3), Counter({f"t{min(rng.randrange(40), rng.randrange(40))}": rng.randrange(1, 3) for _ in range(rng.randrange(2, 9))} | {f"u{i}": 1})) for i in range(45)}
+    bags = {i: (str(i % 3), {f"t{min(rng.randrange(40), rng.randrange(40))}" for _ in range(rng.randrange(2, 9))} | {f"u{i}"}) for i in range(45)}
     weight = lambda t: 1.5 if t[-1] in "13579" else 1.0
-    data = [(i, src, t, weight(t), tf) for i, (src, bag) in bags.items() for t, tf in bag.items()]
+    data = [(i, src, t, weight(t)) for i, (src, bag) in bags.items() for t in sorted(bag)]
     n, df = len(bags), Counter(t for _, bag in bags.values() for t in bag)
-    kept = {i: {t: tf for t, tf in bag.items() if df[t] >= 2} for i, (_, bag) in bags.items()}
+    kept = {i: {t for t in bag if df[t] >= 2} for i, (_, bag) in bags.items()}
     mean = sum(map(len, kept.values())) / n
-    score = lambda q, d: sum(weight(t) * np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * kept[d][t] * 2.2 / (kept[d][t] + 1.2 * (0.5 + 0.5 * len(kept[d]) / mean)) for t in kept[q] if t in kept[d])
-    near = linking.bm25_nearest(frame(data, "id long, src string, term string, weight double, tf long"), n, Scratch(spark, "near"), block).collect()
+    rarity = lambda t: np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) ** linking.IDF_POWER / np.log(n) ** (linking.IDF_POWER - 1)
+    score = lambda q, d: sum(weight(t) * rarity(t) * 2.2 / (1 + 1.2 * (0.5 + 0.5 * len(kept[d]) / mean)) for t in kept[q] & kept[d])
+    near = linking.bm25_nearest(frame(data, "id long, src string, term string, weight double"), n, Scratch(spark, "near"), floor).collect()
     got = {}
     for r in near:
         assert abs(r["s"] - score(r["q"], r["d"])) < 0.01 and bags[r["d"]][0] == r["side"] != bags[r["q"]][0]
         got.setdefault((r["q"], r["side"]), []).append(r["s"])
+    least, some = floor * np.log(n), 0
     for q, side in itertools.product(bags, "012"):
         if side != bags[q][0]:
-            want = sorted((score(q, d) for d in bags if bags[d][0] == side), reverse=True)
-            assert np.allclose(sorted(got.get((q, side), []), reverse=True)[:2], [x for x in want[:2] if x > 0], atol=0.01)
+            want = sorted((score(q, d) for d in bags if bags[d][0] == side and kept[q] & kept[d] and min(score(q, d), score(d, q)) >= least), reverse=True)
+            some += len(want)
+            assert np.allclose(sorted(got.get((q, side), []), reverse=True), want[:2], atol=0.01)
+    assert some
 
 
 def test_common_terms_weigh(spark, frame):
     from matchloom.session import Scratch
 
-    # ten words, each known to some 60 of 120 records, more than the 50 from which terms were cut before
+    # ten words, each known to some 60 of 120 records
     rng = random.Random(22)
     bags = [frozenset(rng.sample("abcdefghij", 5)) for _ in range(60)]
-    data = [(2 * i + j, str(j), f"t:{w}", 1.0, 1) for i, bag in enumerate(bags) for j in (0, 1) for w in bag]
-    near = linking.bm25_nearest(frame(data, "id long, src string, term string, weight double, tf long"), 120, Scratch(spark, "common"))
-    best = {r["q"]: r["d"] for r in near.orderBy("s", F.desc("d")).collect()}
+    data = [(2 * i + j, str(j), f"t:{w}", 1.0) for i, bag in enumerate(bags) for j in (0, 1) for w in bag]
+    near = linking.bm25_nearest(frame(data, "id long, src string, term string, weight double"), 120, Scratch(spark, "common"), 0.0)
+    best = {r["q"]: r["d"] for r in near.where("rank = 1").collect()}
     assert len(best) == 120 and all(bags[q // 2] == bags[d // 2] for q, d in best.items())
 
 
