@@ -267,7 +267,7 @@ def test_linking_needs_more_than_a_name(frame):
     assert rows(linking.link_sources(df.limit(0), df.limit(0), frame([], "id long, entity long"))) == []
 
 
-@pytest.mark.parametrize("floor", [0.0, 0.4, 1.0])
+@pytest.mark.parametrize("floor", [0.0, 0.2, 0.4])
 def test_nearest_score_all_shared_terms(spark, frame, floor):
     from collections import Counter
 
