@@ -46,24 +46,59 @@ class TokenScorer:
         return x.select(*PAIR, (value if self.cut is None else (value >= self.cut).cast("double")).alias("prob"))
 
 
+_LOADED: dict[str, object] = {}
+
+
+def loaded(key: str, load: Callable[[], object]):
+    """What ``load`` gives, made once in a Python worker and kept for its later tasks (Spark reuses workers)."""
+    if key not in _LOADED:
+        _LOADED[key] = load()
+    return _LOADED[key]
+
+
 class BatchScorer:
-    """A plug-in model: a function from a frame of pairs with both texts to probabilities, per Arrow batch."""
+    """A plug-in model: a function from a frame of pairs with both texts to probabilities, per Arrow batch.
+
+    With ``load`` the model is made by it in the worker, once, and not sent with every task;
+    ``predict`` then takes the model first.
+    """
 
-    def __init__(self, predict: Callable[[pd.DataFrame], pd.Series], text_col: str, id_col: str = "id"):
-        self.predict, self.text_col, self.id_col = predict, text_col, id_col
+    def __init__(self, predict: Callable[..., pd.Series], text_col: str, id_col: str = "id", load: Callable[[], object] | None = None):
+        self.predict, self.text_col, self.id_col, self.load = predict, text_col, id_col, load
+        self.key = f"{type(self).__name__}-{id(self)}"
 
     def score(self, pairs: DataFrame, records: DataFrame) -> DataFrame:
         t = records.groupBy(F.col(self.id_col).alias("id")).agg(F.min(self.text_col).alias("text"))
         x = distinct_pairs(pairs).join(t.select(F.col("id").alias("lid"), F.col("text").alias("left")), "lid").join(t.select(F.col("id").alias("rid"), F.col("text").alias("right")), "rid")
-        predict = self.predict
+        predict, load, key = self.predict, self.load, self.key
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            first = () if load is None else (loaded(key, load),)
             for b in batches:
-                yield b[PAIR].assign(prob=predict(b).astype(float))
+                yield b[PAIR].assign(prob=predict(*first, b).astype(float))
 
         return x.select(*PAIR, "left", "right").mapInPandas(run, "lid long, rid long, prob double")
 
 
+class HashEncoder:
+    """Records as vectors without a model: every word of the serialised record adds to the dimensions that its hash names, with its sign.
+
+    Any class with ``encode(records, id_col) -> (id, v)`` can stand in its place.
+    """
+
+    def __init__(self, columns: list[str], dims: int = 128):
+        self.columns, self.dims = columns, dims
+
+    def encode(self, records: DataFrame, id_col: str = "id") -> DataFrame:
+        """``(id, v)`` of length one for every record with a word; of several rows of an id the smallest values count."""
+        one = records.groupBy(F.col(id_col).alias("id")).agg(*[F.min(F.col(c).cast("string")).alias(c) for c in self.columns])
+        w = one.select("id", F.explode(F.array_distinct(words(F.concat_ws(" ", *self.columns)))).alias("w")).withColumn("h", F.xxhash64("w"))
+        sums = w.groupBy("id", F.pmod("h", F.lit(self.dims)).cast("int").alias("d")).agg(F.sum(F.when(F.shiftright("h", 40).bitwiseAND(F.lit(1)) == 1, 1.0).otherwise(-1.0)).alias("x"))
+        m = sums.where("x <> 0").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("d", "x"))).alias("m"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+        v = F.transform(F.sequence(F.lit(0), F.lit(self.dims - 1)), lambda d: F.coalesce(F.element_at("m", d), F.lit(0.0)) / F.col("norm"))
+        return m.select("id", v.alias("v"))
+
+
 class LearnedScorer:
     """Logistic regression over token measures; ``fit`` takes labelled pairs, optionally with weights."""
 
