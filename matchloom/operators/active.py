@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.operators.pairs import PAIR, first_per_pair
+from matchloom.session import Scratch
 
 
 def mutual_pseudo_labels(forward: DataFrame, backward: DataFrame, gap: float = 0.01) -> DataFrame:
@@ -44,16 +45,25 @@ def matcher_pseudo_labels(scored: DataFrame, high: float = 0.75, low: float = 0.
 def consistent(labels: DataFrame) -> DataFrame:
     """Pseudo labels whose positives agree: negatives stay, a single positive of a lid stays.
 
-    Of several positives of a lid those rids stay that every lid sharing one of its rids has too.
+    Of several positives of a lid those rids stay that every lid sharing one of its rids has too.  All
+    lids of a rid of this lid are among those, so it is enough to compare the most shared rid of the lid with its
+    others: each of them must have its lids among those of the most shared one, and the rids shared as often stay.
+    Counts of lids per pair of rids tell that; lids are never paired with lids.
     """
-    pos = labels.where("label = 1").select(*PAIR).distinct()
+    scratch = Scratch(labels.sparkSession, "consistent")
+    pos = scratch.put("pos", labels.where("label = 1").select(*PAIR).distinct())
     n = pos.groupBy("lid").agg(F.count(F.lit(1)).alias("n"))
     many = pos.join(n.where("n > 1").select("lid"), "lid", "left_semi")
-    near = many.select(F.col("lid").alias("a"), "rid").join(pos.select(F.col("lid").alias("b"), "rid"), "rid").select("a", "b").distinct()
-    size = near.groupBy("a").agg(F.count(F.lit(1)).alias("k"))
-    held = near.join(pos.select(F.col("lid").alias("b"), "rid"), "b").groupBy("a", "rid").agg(F.countDistinct("b").alias("c"))
-    agreed = held.join(size, "a").where("c = k").select(F.col("a").alias("lid"), "rid")
-    kept = pos.join(n.where("n = 1").select("lid"), "lid", "left_semi").unionByName(many.join(agreed, PAIR, "left_semi"))
+    shared = scratch.put("shared", pos.groupBy("rid").agg(F.count(F.lit(1)).alias("deg")))
+    rated = scratch.put("rated", many.join(shared, "rid"))
+    most = rated.groupBy("lid").agg(F.max_by("rid", F.struct("deg", -F.col("rid"))).alias("top"), F.max("deg").alias("top_deg"))
+    rated = scratch.put("topped", rated.join(most, "lid"))
+    asked = rated.select("rid", "top").distinct()
+    held = asked.join(pos.select("lid", "rid"), "rid").join(pos.select("lid", F.col("rid").alias("top")), ["lid", "top"], "left_semi")
+    inside = rated.join(held.groupBy("rid", "top").agg(F.count(F.lit(1)).alias("both")), ["rid", "top"])
+    sound = inside.groupBy("lid").agg(F.min(F.col("both") == F.col("deg")).alias("ok")).where("ok").select("lid")
+    agreed = rated.where("deg = top_deg").join(sound, "lid", "left_semi").select(*PAIR)
+    kept = pos.join(n.where("n = 1").select("lid"), "lid", "left_semi").unionByName(agreed)
     return labels.join(kept.withColumn("_k", F.lit(True)), PAIR, "left").where((F.col("label") == 0) | F.col("_k")).drop("_k")
 
 
@@ -131,8 +141,6 @@ class ActiveLoop:
 
     def run(self, candidates: DataFrame, first: DataFrame) -> tuple[DataFrame, DataFrame]:
         """``(scores, labelled)`` of the candidates after the last round, from first scores (lid, rid, score)."""
-        from matchloom.session import Scratch
-
         scratch = Scratch(candidates.sparkSession, "active")
         scores, labelled, spent = scratch.put("scores", first.select(*PAIR, "score")), None, 0
         each = max(1, self.budget // self.rounds)

@@ -57,23 +57,29 @@ def lookup_score(pairs: DataFrame, scores: DataFrame, score: str = "prob") -> Da
     return pairs.join(scores.select(*PAIR, score), PAIR, "left")
 
 
-def positional_ids(records: DataFrame, order: list[str], id_col: str = "id") -> DataFrame:
-    """``(id, position)`` from 0 in a stated order.
+def global_rank(rows: DataFrame, order: list[str], name: str = "position") -> DataFrame:
+    """The rows with their position from 0 in a stated order, which must be total.
 
     Positions need one global order: the rows are range-partitioned and numbered inside their
     range, the range starts come from the counts per range.
     """
     from matchloom.session import Scratch
 
-    n_parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = records.select(id_col, *[c for c in order if c != id_col]).repartitionByRange(n_parts, *order).withColumn("_part", F.spark_partition_id())
-    ranged = Scratch(records.sparkSession, "positions").put("ranged", ranged)
+    n_parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(n_parts, *order).withColumn("_part", F.spark_partition_id())
+    ranged = Scratch(rows.sparkSession, "positions").put("ranged", ranged)
     w = Window.partitionBy("_part").orderBy(*order)
     counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     numbered = ranged.withColumn("_at", F.row_number().over(w))
     # one row per range: as many as shuffle partitions
-    return numbered.join(F.broadcast(starts.select("_part", "_start")), "_part").select(id_col, (F.col("_start") + F.col("_at") - 1).cast("long").alias("position"))
+    out = numbered.join(F.broadcast(starts.select("_part", "_start")), "_part").withColumn(name, (F.col("_start") + F.col("_at") - 1).cast("long"))
+    return out.drop("_part", "_start", "_at")
+
+
+def positional_ids(records: DataFrame, order: list[str], id_col: str = "id") -> DataFrame:
+    """``(id, position)`` from 0 in a stated order."""
+    return global_rank(records.select(id_col, *[c for c in order if c != id_col]), order).select(id_col, "position")
 
 
 def translate(pairs: DataFrame, mapping: DataFrame, old: str, new: str) -> DataFrame:

@@ -248,6 +248,77 @@ def random_negatives(spark, sf):
     return splits.random_negatives(t.camera.select("id").distinct(), t.train, 500)
 
 
+@query
+def stratified_split(spark, sf):
+    return splits.stratified_split(Tables(spark, sf).preds().select("lid", "rid", "label"), ["lid", "rid"])
+
+
+def _labelled_splits(spark, sf):
+    t = Tables(spark, sf)
+    return {k: pairs.distinct_pairs(getattr(t, k).where("label = 1")).withColumn("label", F.lit(1)) for k in ("train", "val", "test")}
+
+
+def _by_split(parts):
+    out = None
+    for name, p in parts.items():
+        x = p.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("lid", "rid").alias("n_pairs")).select(F.lit(name).alias("split"), "label", "n", "n_pairs")
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+@query
+def negatives_per_split(spark, sf):
+    return _by_split(splits.with_negatives(Tables(spark, sf).camera.select("id").distinct(), _labelled_splits(spark, sf)))
+
+
+@query
+def hard_negatives(spark, sf):
+    t = Tables(spark, sf)
+    given = pairs.without(pairs.distinct_pairs(t.train.where("label = 0")), t.train.where("label = 1").unionByName(t.val.where("label = 1")).unionByName(t.test.where("label = 1")))
+    return splits.hard_negatives(given, {"train": 6, "test": 2, "val": 2})
+
+
+@query
+def hard_negatives_filled(spark, sf):
+    t = Tables(spark, sf)
+    parts = _labelled_splits(spark, sf)
+    true = parts["train"].unionByName(parts["val"]).unionByName(parts["test"])
+    given = pairs.without(pairs.distinct_pairs(t.train.where("label = 0")), true)
+    return _by_split(splits.splits_with_hard_negatives(t.camera.select("id").distinct(), parts, given)).drop("n_pairs")
+
+
+@query
+def validation_sample(spark, sf):
+    t = Tables(spark, sf)
+    return splits.validation_sample(t.val, t.camera).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def dataset_pairs(spark, sf):
+    t = Tables(spark, sf)
+    entities = t.camera_entity_resolution_gt.select(F.upper(F.trim("entity_id")).alias("entity"), "spec_id").join(t.camera.select("id", "spec_id").distinct(), "spec_id")
+    parts = splits.build_dataset(t.camera, entities)
+    out = None
+    for name in ("train", "val", "test"):
+        x = parts[name].select(F.lit(name).alias("split"), "lid", "rid")
+        out = x if out is None else out.unionByName(x)
+    return out.distinct()
+
+
+@query
+def split_strategies(spark, sf):
+    t = Tables(spark, sf)
+    m = pairs.distinct_pairs(t.train)
+    at = Scratch(spark, "strategy").base
+    dealt = splits.train_val_test(m, ["lid", "rid"], at=f"{at}/random")
+    kept = splits.train_val_test(pairs.distinct_pairs(t.test).withColumn("split", F.lit("test")), ["lid", "rid"], "pre_split")
+    rows = [p.agg(F.count(F.lit(1)).alias("n")).select(F.lit(how).alias("how"), F.lit(name).alias("split"), "n") for how, parts in (("random", dealt), ("pre_split", kept)) for name, p in parts.items()]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
 # blocking
 
 
@@ -292,6 +363,20 @@ def block_cosine_topk(spark, sf):
     return _cosine(spark, sf, 5)
 
 
+@query
+def block_cosine_both(spark, sf):
+    e = Tables(spark, sf).embeddings
+    return blocking.cosine_top_k_both(e.where("vec_id % 2 = 0"), e.where("vec_id % 2 = 1"), 3).withColumn("sim", F.round("sim", 5))
+
+
+@query
+def block_embed_topk(spark, sf):
+    from matchloom.operators.scoring import HashEncoder
+
+    r = Tables(spark, sf).records()
+    return blocking.embed_top_k(r.where("data_source_id = '1'"), r.where("data_source_id = '2'"), HashEncoder(["name", "city"]), 3).withColumn("sim", F.round("sim", 5))
+
+
 @query
 def block_rank_slice(spark, sf):
     return blocking.rank_slice(_cosine(spark, sf, 5), 2, 4)
@@ -339,6 +424,13 @@ def graph_components(spark, sf):
     return _graph(spark, sf)[1]
 
 
+@query
+def graph_components_rounds(spark, sf):
+    """The same by star rounds over the edge rows, as graphs beyond one task are solved."""
+    edges = Scratch(spark, "graph").put("edges", graph_edges(spark, sf))
+    return graph.components(edges, one_task_edges=0)
+
+
 @query
 def component_sizes(spark, sf):
     return graph.components_by_size(_graph(spark, sf)[1])
@@ -405,13 +497,26 @@ def truncate_large_components(spark, sf):
 
 @query
 def min_edge_cut(spark, sf):
-    return graph.minimum_cuts(*_graph(spark, sf))
+    """Per component up to the cap: whether its cut is a single edge, is within the least degree, and leaves more than one part."""
+    edges, members = _graph(spark, sf)
+    cut = Scratch(spark, "cut").put("cut", graph.minimum_cuts(edges, members))
+    rest = edges.select("lid", "rid").join(cut, ["lid", "rid"], "left_anti")
+    parts = members.join(graph.components(rest).select("id", F.col("component_id").alias("part")), "id", "left").groupBy("component_id").agg(F.countDistinct(F.coalesce("part", "id")).alias("parts"))
+    ends = edges.select(F.explode(F.array("lid", "rid")).alias("id"))
+    degree = ends.groupBy("id").agg(F.count(F.lit(1)).alias("d")).join(members, "id").groupBy("component_id").agg(F.min("d").alias("least"))
+    x = cut.groupBy("component_id").agg(F.count(F.lit(1)).alias("k")).join(parts, "component_id").join(degree, "component_id")
+    return x.select("component_id", (F.col("k") == 1).alias("single"), (F.col("k") <= F.col("least")).alias("within_degree"), (F.col("parts") == 2).alias("two_parts"))
 
 
 @query
 def shortest_paths(spark, sf):
+    """Per pair: how many steps its path has, counting only those that are edges and go on from the step before."""
     _, edges, members, scored = Tables(spark, sf).state()
-    return graph.shortest_paths(edges, members, scored.where("prob = 0"))
+    p = Scratch(spark, "paths").put("p", graph.shortest_paths(edges, members, scored.where("prob = 0")))
+    ends = p.groupBy("component_id", "src", "dst").agg(F.collect_list(F.struct("step", "lid", "rid")).alias("s"))
+    walk = F.aggregate(F.array_sort("s"), F.col("src"), lambda at, e: F.when(e["lid"] == at, e["rid"]).when(e["rid"] == at, e["lid"]).otherwise(F.lit(-1)))
+    real = p.join(edges.select("lid", "rid"), ["lid", "rid"], "left_semi").groupBy("component_id", "src", "dst").agg(F.count(F.lit(1)).alias("length"))
+    return ends.withColumn("arrives", walk == F.col("dst")).join(real, ["component_id", "src", "dst"]).select("component_id", "src", "dst", "length", "arrives")
 
 
 # clean-up
@@ -425,14 +530,31 @@ def select_edges_to_label(spark, sf):
 
 @query
 def update_predictions(spark, sf):
-    preds, _, members, scored = Tables(spark, sf).state()
-    return clean.update_predictions(preds, scored, members)
+    """Per component without a checked edge: whether its own edges fell apart."""
+    preds, edges, members, scored = Tables(spark, sf).state()
+    after = Scratch(spark, "update").put("after", clean.update_predictions(preds, scored, members))
+    checked = graph.edges_of(edges.where("manual_check_label >= 0"), members).select("component_id").distinct()
+    open_ = graph.component_sizes(members).where("size <= 50").join(checked, "component_id", "left_anti")
+    left = edges.select("lid", "rid").join(after.where("prob > 0.999").select("lid", "rid"), ["lid", "rid"], "left_semi")
+    parts = members.join(open_, "component_id").join(graph.components(left).select("id", F.col("component_id").alias("part")), "id", "left")
+    return parts.groupBy("component_id").agg((F.countDistinct(F.coalesce("part", "id")) > 1).alias("split"))
 
 
 @query
 def post_cleanup(spark, sf):
-    preds, _, _, scored = Tables(spark, sf).state()
-    return clean.post_cleanup(preds, scored)
+    """One row on the fixpoint: components left that could still be cut, rows added, probs raised, and edges lost by components that nothing spoke against."""
+    preds, edges, members, scored = Tables(spark, sf).state()
+    after = Scratch(spark, "post").put("after", clean.post_cleanup(preds, scored))
+    left = Scratch(spark, "post").put("left", graph.match_graph(after))
+    now = Scratch(spark, "post").put("now", graph.components(left))
+    bad = graph.transitive_votes(scored, now).where("negative > positive")
+    cuts = graph.minimum_cuts(left, now.join(bad.select("component_id"), "component_id", "left_semi"))
+    open_ = cuts.join(after.where("coalesce(manual_check_label, -1) < 0").select("lid", "rid"), ["lid", "rid"], "left_semi").agg(F.countDistinct("component_id").alias("open"))
+    both = preds.select("lid", "rid", F.col("prob").alias("p")).join(after.select("lid", "rid", F.col("prob").alias("q")), ["lid", "rid"], "full_outer")
+    moved = both.agg(F.count(F.when(F.col("q").isNull() != F.col("p").isNull(), 1)).alias("added"), F.count(F.when(F.col("q") > F.col("p"), 1)).alias("raised"))
+    quiet = members.join(graph.transitive_votes(scored, members).where("negative > 0").select("component_id"), "component_id", "left_anti")
+    lost = edges.join(left.select("lid", "rid"), ["lid", "rid"], "left_anti").join(quiet.select(F.col("id").alias("lid")), "lid", "left_semi").agg(F.count(F.lit(1)).alias("lost"))
+    return open_.crossJoin(moved).crossJoin(lost)  # one row each
 
 
 @query
@@ -473,16 +595,32 @@ def stage_counts(spark, sf):
     return clean.stage_counts(Tables(spark, sf).preds())
 
 
-@query
-def edge_recovery(spark, sf):
+def _recovery(spark, sf):
+    """The minimum cut of every component is deleted, then recovered where the closure agrees."""
     t = Tables(spark, sf)
-    preds, _, members, scored = t.state()
+    preds, edges, members, _ = t.state()
     scratch = Scratch(spark, "recover")
-    cut = scratch.put("cut", clean.update_predictions(preds, scored, members))
+    cut = scratch.put("cut", clean.zero_pairs(preds, graph.minimum_cuts(edges, members)))
     scorer = TokenScorer("name", cut=0.5)
     rescored = scratch.put("rescored", scorer.score(cut.where("prob = 0"), t.companies))
     closing = scratch.put("closing", scorer.score(clean.recovery_pairs(cut, rescored.where("prob >= 0.999")), t.companies))
-    return clean.edge_recovery(cut, rescored, closing)
+    return cut, rescored, closing
+
+
+@query
+def edge_recovery(spark, sf):
+    return clean.edge_recovery(*_recovery(spark, sf))
+
+
+@query
+def edge_recovery_checks(spark, sf):
+    """One row: whether edges came back, how many of them the scorer rejects or were no deleted edge, and how many components exceed the cap."""
+    cut, rescored, closing = _recovery(spark, sf)
+    back = Scratch(spark, "recovered").put("back", clean.edge_recovery(cut, rescored, closing))
+    odd = back.join(rescored.where("prob >= 0.999").select("lid", "rid"), ["lid", "rid"], "left_anti").agg(F.count(F.lit(1)).alias("odd"))
+    kept = graph.component_sizes(graph.components(graph.match_graph(cut).select("lid", "rid").unionByName(back)))
+    big = kept.where("size > 50").agg(F.count(F.lit(1)).alias("big"))
+    return back.agg((F.count(F.lit(1)) > 0).alias("some")).crossJoin(odd).crossJoin(big)  # one row each
 
 
 @query
@@ -503,6 +641,17 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES["flagship_report"] = flagship
 
 
+@query
+def clean_from_records(spark, sf):
+    """The whole pipeline from records: candidates, scores, clean-up."""
+    from matchloom.plans.pipeline import match_records
+
+    t = Tables(spark, sf)
+    r = t.records()
+    blocks = {"text_match": blocking.top_token_overlap(r, "name", 5, "data_source_id")}
+    return match_records(r, blocks, TokenScorer("name"), TokenScorer("name", cut=0.5), entities=t.entities()).stages
+
+
 # metrics
 
 

@@ -71,8 +71,9 @@ def jaccard(whole: str) -> str:
     FROM p JOIN t a ON a.id = p.lid JOIN t b ON b.id = p.rid"""
 
 
-COSINE = """unit AS (SELECT vec_id AS id, [x / sqrt(list_sum([y * y for y in CAST(embedding AS DOUBLE[])])) for x in CAST(embedding AS DOUBLE[])] AS v FROM embeddings
-  WHERE embedding IS NOT NULL),
+UNIT = """unit AS (SELECT vec_id AS id, [x / sqrt(list_sum([y * y for y in CAST(embedding AS DOUBLE[])])) for x in CAST(embedding AS DOUBLE[])] AS v FROM embeddings
+  WHERE embedding IS NOT NULL)"""
+COSINE = UNIT + """,
 sims AS (SELECT a.id AS lid, b.id AS rid, round(list_dot_product(a.v, b.v), 9) AS sim FROM unit a JOIN unit b ON a.id <> b.id),
 top AS (SELECT lid, rid, round(sim, 5) AS sim, CAST(row_number() OVER (PARTITION BY lid ORDER BY sim DESC, rid) AS INTEGER) AS rank FROM sims QUALIFY row_number() OVER (PARTITION BY lid ORDER BY sim DESC, rid) <= 5)"""
 SCORES = "scored AS (SELECT lid, rid, prob AS score, label FROM preds WHERE prob IS NOT NULL AND label IS NOT NULL)"
@@ -95,7 +96,7 @@ def _normalize(column: str) -> str:
 
 
 STRIP = r"regexp_replace(name, '[,.;@#?!&$/()\-]+ *', ' ', 'g')"
-HASH = "CAST('0x' || substr(md5(concat_ws('-', CAST(lid AS VARCHAR), CAST(rid AS VARCHAR), '44')), 1, 8) AS BIGINT) / 4294967296.0"
+ORDER = "md5(concat_ws('-', CAST(lid AS VARCHAR), CAST(rid AS VARCHAR), '44'))"
 CONFUSION = f"""WITH {PREDS}, t AS (SELECT lid, rid FROM preds WHERE label = 1), f AS (SELECT lid, rid FROM preds WHERE prob >= 0.999),
 outcomes AS (SELECT coalesce(t.lid, f.lid) AS lid, coalesce(t.rid, f.rid) AS rid, CASE WHEN t.lid IS NOT NULL AND f.lid IS NOT NULL THEN 'tp' WHEN f.lid IS NOT NULL THEN 'fp' ELSE 'fn' END AS outcome
   FROM t FULL OUTER JOIN f ON t.lid = f.lid AND t.rid = f.rid)"""
@@ -165,7 +166,46 @@ ORACLES = {
     "entity_split": """
         WITH e AS (SELECT DISTINCT gen_id AS entity FROM companies_master_mapping_seed_0 WHERE gen_id IS NOT NULL), n AS (SELECT count(*) AS n FROM e)
         SELECT entity, CASE WHEN row_number() OVER (ORDER BY entity) - 1 < floor(n * 0.6) THEN 'train' WHEN row_number() OVER (ORDER BY entity) - 1 < floor(n * 0.8) THEN 'val' ELSE 'test' END AS split FROM e, n""",
-    "random_split": f"SELECT lid, rid, CASE WHEN {HASH} < 0.8 THEN 'train' WHEN {HASH} < 0.9 THEN 'val' ELSE 'test' END AS split FROM ({distinct_pairs('train')})",
+    "random_split": f"""
+        WITH p AS (SELECT *, row_number() OVER (ORDER BY {ORDER}, lid, rid) - 1 AS k, count(*) OVER () AS n FROM ({distinct_pairs('train')})), q AS (SELECT *, floor(n * 0.8 + 0.5) AS t FROM p)
+        SELECT lid, rid, CASE WHEN k < t THEN 'train' WHEN k < t + floor((n - t) / 2) THEN 'val' ELSE 'test' END AS split FROM q""",
+    "stratified_split": f"""
+        WITH {PREDS}, r AS (SELECT lid, rid, label, row_number() OVER (PARTITION BY label ORDER BY {ORDER}, lid, rid) - 1 AS k, count(*) OVER (PARTITION BY label) AS n FROM preds)
+        SELECT lid, rid, label, CASE WHEN k < floor(n * 0.25) THEN 'valid' ELSE 'train' END AS split FROM r""",
+    "random_negatives": f"""
+        WITH u AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS p FROM (SELECT DISTINCT id FROM camera WHERE id IS NOT NULL)), n AS (SELECT count(*) AS n FROM u),
+        d AS (SELECT id, unnest(range(1, CAST(ceil(2000 / n) + 3 AS BIGINT))) AS k, n FROM u, n),
+        drawn AS (SELECT d.id AS a, u.id AS b FROM d JOIN u ON u.p = CAST('0x' || substr(md5(concat_ws('-', CAST(d.id AS VARCHAR), CAST(k AS VARCHAR), '44')), 1, 12) AS BIGINT) % d.n),
+        free AS (SELECT DISTINCT least(a, b) AS lid, greatest(a, b) AS rid FROM drawn WHERE a <> b EXCEPT SELECT least(lid, rid), greatest(lid, rid) FROM train),
+        kept AS (SELECT * FROM free ORDER BY {ORDER}, lid, rid LIMIT 250)
+        SELECT lid, rid, 0 AS label FROM kept UNION ALL SELECT rid, lid, 0 FROM kept""",
+    "negatives_per_split": f"""
+        WITH c AS (SELECT 'train' AS split, count(*) AS n FROM ({distinct_pairs('train', 'label = 1')}) UNION ALL SELECT 'val', count(*) FROM ({distinct_pairs('val', 'label = 1')})
+          UNION ALL SELECT 'test', count(*) FROM ({distinct_pairs('test', 'label = 1')}))
+        SELECT split, 1 AS label, n, n AS n_pairs FROM c WHERE n > 0 UNION ALL SELECT split, 0, 4 * n, 4 * n FROM c WHERE n > 0""",
+    "hard_negatives": f"""
+        WITH true_ AS ({distinct_pairs('train', 'label = 1')} UNION {distinct_pairs('val', 'label = 1')} UNION {distinct_pairs('test', 'label = 1')}),
+        g AS ({distinct_pairs('train', 'label = 0')} EXCEPT SELECT * FROM true_), r AS (SELECT *, row_number() OVER (ORDER BY {ORDER}, lid, rid) - 1 AS k, count(*) OVER () AS n FROM g)
+        SELECT lid, rid, CASE WHEN k < floor(n * 0.6) THEN 'train' WHEN k < floor(n * 0.6) + floor(n * 0.2) THEN 'test' ELSE 'val' END AS split FROM r""",
+    "hard_negatives_filled": f"""
+        WITH c AS (SELECT 'train' AS split, count(*) AS n FROM ({distinct_pairs('train', 'label = 1')}) UNION ALL SELECT 'val', count(*) FROM ({distinct_pairs('val', 'label = 1')})
+          UNION ALL SELECT 'test', count(*) FROM ({distinct_pairs('test', 'label = 1')})),
+        true_ AS ({distinct_pairs('train', 'label = 1')} UNION {distinct_pairs('val', 'label = 1')} UNION {distinct_pairs('test', 'label = 1')}),
+        g AS (SELECT count(*) AS g FROM ({distinct_pairs('train', 'label = 0')} EXCEPT SELECT * FROM true_)),
+        s AS (SELECT split, n, g, CAST(floor(n / (SELECT sum(n) FROM c) * g) AS BIGINT) AS h FROM c, g),
+        d AS (SELECT split, n, CASE WHEN split = 'val' THEN g - (SELECT sum(h) FROM s WHERE split <> 'val') ELSE h END AS h FROM s)
+        SELECT split, 1 AS label, n FROM d WHERE n > 0 UNION ALL SELECT split, 0, CAST(h + greatest(0, 4 * n - h) + greatest(0, 4 * n - h) % 2 AS BIGINT) FROM d WHERE n > 0""",
+    "validation_sample": f"""
+        WITH p AS ({distinct_pairs('val', 'label = 1')}) SELECT 1 AS label, least(count(*), 40) AS n FROM p UNION ALL SELECT 0, 460""",
+    "dataset_pairs": """
+        WITH m AS (SELECT DISTINCT upper(trim(entity_id)) AS entity, c.id FROM camera_entity_resolution_gt g JOIN camera c USING (spec_id) WHERE entity_id IS NOT NULL),
+        e AS (SELECT entity, row_number() OVER (ORDER BY entity) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT entity FROM m)),
+        s AS (SELECT entity, CASE WHEN k < floor(n * 0.6) THEN 'train' WHEN k < floor(n * 0.8) THEN 'val' ELSE 'test' END AS split FROM e)
+        SELECT DISTINCT split, a.id AS lid, b.id AS rid FROM m a JOIN m b ON a.entity = b.entity AND a.id < b.id JOIN s ON s.entity = a.entity""",
+    "split_strategies": f"""
+        WITH n AS (SELECT count(*) AS n FROM ({distinct_pairs('train')})), t AS (SELECT n, CAST(floor(n * 0.8 + 0.5) AS BIGINT) AS t FROM n), v AS (SELECT n, t, CAST(floor((n - t) / 2) AS BIGINT) AS v FROM t)
+        SELECT 'random' AS how, 'train' AS split, t AS n FROM v UNION ALL SELECT 'random', 'val', v FROM v UNION ALL SELECT 'random', 'test', n - t - v FROM v
+        UNION ALL SELECT 'pre_split', 'train', 0 UNION ALL SELECT 'pre_split', 'val', 0 UNION ALL SELECT 'pre_split', 'test', count(*) FROM ({distinct_pairs('test')})""",
     "pairs_within_entity": """
         WITH m AS (SELECT DISTINCT upper(trim(entity_id)) AS entity, c.id FROM camera_entity_resolution_gt g JOIN camera c USING (spec_id) WHERE entity_id IS NOT NULL)
         SELECT a.id AS lid, b.id AS rid, 1 AS label, a.entity FROM m a JOIN m b ON a.entity = b.entity AND a.id < b.id""",
@@ -200,6 +240,28 @@ ORACLES = {
     "score_jaccard": jaccard("len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))"),
     "score_containment": jaccard("least(len(a.w), len(b.w))"),
     "graph_edges": f"WITH {EDGES} SELECT * FROM edges",
+    "block_cosine_both": f"""
+        WITH {UNIT}, sims AS (SELECT a.id AS lid, b.id AS rid, round(list_dot_product(a.v, b.v), 9) AS sim FROM unit a JOIN unit b ON a.id % 2 = 0 AND b.id % 2 = 1),
+        l AS (SELECT lid, rid, sim, row_number() OVER (PARTITION BY lid ORDER BY sim DESC, rid) AS rank FROM sims), r AS (SELECT lid, rid, sim, row_number() OVER (PARTITION BY rid ORDER BY sim DESC, lid) AS rank FROM sims)
+        SELECT lid, rid, round(sim, 5) AS sim, CAST(rank AS INTEGER) AS rank, 'left' AS side FROM l WHERE rank <= 3 UNION ALL SELECT lid, rid, round(sim, 5), CAST(rank AS INTEGER), 'right' FROM r WHERE rank <= 3""",
+    "graph_components_rounds": f"WITH RECURSIVE {MEMBERS} SELECT id, component_id FROM members",
+    "min_edge_cut": f"""
+        WITH RECURSIVE {MEMBERS}, fit AS (SELECT component_id FROM sizes WHERE size <= 50), own AS (SELECT m.component_id, e.lid, e.rid FROM edges e JOIN members m ON m.id = e.lid JOIN fit USING (component_id)),
+        walk(lid, rid, node) AS (
+          SELECT lid, rid, lid FROM own UNION SELECT w.lid, w.rid, b.b FROM walk w JOIN both_ways b ON b.a = w.node WHERE NOT (least(b.a, b.b) = w.lid AND greatest(b.a, b.b) = w.rid)
+        ), bridges AS (SELECT o.component_id, count(*) AS n FROM own o WHERE NOT EXISTS (SELECT 1 FROM walk w WHERE w.lid = o.lid AND w.rid = o.rid AND w.node = o.rid) GROUP BY 1)
+        SELECT component_id, coalesce(n, 0) > 0 AS single, true AS within_degree, true AS two_parts FROM fit LEFT JOIN bridges USING (component_id)""",
+    "shortest_paths": f"""
+        WITH RECURSIVE {STATE}, wanted AS (SELECT component_id, lid AS src, rid AS dst FROM scored WHERE prob = 0), s AS (SELECT DISTINCT src FROM wanted),
+        walk(src, node, d) AS (SELECT src, src, 0 FROM s UNION SELECT w.src, b.b, w.d + 1 FROM walk w JOIN both_ways b ON b.a = w.node WHERE w.d < 50),
+        near AS (SELECT src, node, min(d) AS d FROM walk GROUP BY src, node)
+        SELECT component_id, w.src, dst, d AS length, true AS arrives FROM wanted w JOIN near n ON n.src = w.src AND n.node = w.dst""",
+    "update_predictions": f"""
+        WITH RECURSIVE {STATE}, bad AS (SELECT DISTINCT component_id FROM scored WHERE prob < 0.999),
+        checked AS (SELECT DISTINCT m.component_id FROM edges e JOIN members m ON m.id = e.lid WHERE e.manual_check_label >= 0)
+        SELECT component_id, component_id IN (SELECT component_id FROM bad) AS split FROM sizes WHERE size <= 50 AND component_id NOT IN (SELECT component_id FROM checked)""",
+    "post_cleanup": "SELECT 0 AS open, 0 AS added, 0 AS raised, 0 AS lost",
+    "edge_recovery_checks": "SELECT true AS some, 0 AS odd, 0 AS big",
     "graph_components": f"WITH RECURSIVE {MEMBERS} SELECT id, component_id FROM members",
     "component_sizes": f"WITH RECURSIVE {MEMBERS} SELECT component_id, size FROM sizes",
     "component_edges": f"WITH RECURSIVE {MEMBERS} SELECT m.component_id, e.lid, e.rid FROM edges e JOIN members m ON m.id = e.lid",

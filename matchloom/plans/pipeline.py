@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.operators import clean, graph
+from matchloom.operators.blocking import label_candidates, merge_candidates
 from matchloom.operators.labeling import label_summary, oracle_label
 from matchloom.operators.metrics import pair_scores, purity
 from matchloom.operators.pairs import PAIR, accumulate, dedupe_predictions
@@ -97,6 +98,18 @@ class CleanUp:
         return Cleaned(preds, recovered, every, label_summary(preds), finetuning)
 
 
+def match_records(records: DataFrame, blocks: dict[str, DataFrame], matcher: PairScorer, checker: PairScorer, truth: DataFrame | None = None, entities: DataFrame | None = None, threshold: float = 0.5, **options) -> Cleaned:
+    """From records to a cleaned matching: candidates of several blockings, the matcher's scores, then :class:`CleanUp` with ``checker``.
+
+    ``truth`` (pairs) or ``entities`` (id, entity) answer for the labeller; ``options`` are those of CleanUp.
+    """
+    scratch = Scratch(records.sparkSession, "match")
+    candidates = scratch.put("candidates", label_candidates(merge_candidates(blocks), truth, entities))
+    scored = matcher.score(candidates, records)
+    preds = scratch.put("preds", candidates.join(scored, PAIR).withColumn("manual_check_label", F.lit(-1)))
+    return CleanUp(checker, records, threshold=threshold, **options).run(preds)
+
+
 def report(truth: DataFrame, stages: dict[str, DataFrame], threshold: float = MATCH_THRESHOLD) -> DataFrame:
     """``(stage, tp, fp, fn, precision, recall, f1, purity)`` of several prediction tables."""
     from matchloom.operators.metrics import confusion
