@@ -97,6 +97,18 @@ def p4_splits(spark: SparkSession, sf: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def p4_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Per table: keys, groups, groups in more than one split, and whether no split is further off its share of the rows than the largest group."""
+    x = Scratch(spark, "p4").put("splits", p4_splits(spark, sf))
+    share = F.when(F.col("split") == "train", 0.6).otherwise(0.2)
+    rows = x.groupBy("map_table", "split").agg(F.sum("n_rows").alias("rows"))
+    total = x.groupBy("map_table").agg(F.sum("n_rows").alias("total"))
+    groups = x.groupBy("map_table", "group").agg(F.count(F.lit(1)).alias("k"), F.sum("n_rows").alias("size"), F.countDistinct("split").alias("splits"))
+    sums = groups.groupBy("map_table").agg(F.sum("k").alias("keys"), F.count(F.lit(1)).alias("groups"), F.count(F.when(F.col("splits") > 1, 1)).alias("torn"), F.max("size").alias("largest"))
+    off = rows.join(total, "map_table").groupBy("map_table").agg(F.max(F.abs(F.col("rows") - share * F.col("total"))).alias("off"))
+    return sums.join(off, "map_table").select("map_table", "keys", "groups", "torn", (F.col("off") <= F.col("largest")).alias("on_target"))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return shared_rare_terms(log_odds(_read(spark, sf, "companies")))
 
@@ -123,6 +135,18 @@ def p8_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack_texts(_read(spark, sf, "documents"))
 
 
+def p8_check(spark: SparkSession, sf: str) -> DataFrame:
+    """One row: documents placed, containers beyond their capacity, shorter texts divided, texts whose pieces do not join, and whether 95 percent of the space is used."""
+    x = Scratch(spark, "p8").put("packed", p8_packing(spark, sf))
+    load = x.groupBy("container_id").agg(F.sum("size").alias("load"))
+    text = x.groupBy("id").agg(F.count(F.lit(1)).alias("k"), F.sum("size").alias("n"), F.max(F.col("start") + F.col("size")).alias("end"))
+    a = load.agg(F.count(F.when(F.col("load") > 2048, 1)).alias("over_capacity"), (F.sum("load") >= 0.95 * 2048 * F.count(F.when(F.col("load") > 0, 1))).alias("well_filled"))
+    b = text.agg(
+        F.count(F.lit(1)).alias("documents"), F.count(F.when((F.col("k") > 1) & (F.col("n") <= 2048), 1)).alias("divided_short"), F.count(F.when(F.col("end") != F.col("n"), 1)).alias("with_gaps")
+    )
+    return a.crossJoin(b)  # one row each
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaked_items(_read(spark, sf, "documents"), _read(spark, sf, "eval_items"))
 
@@ -135,4 +159,4 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return residue_records(_read(spark, sf, "documents")).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_groups, p3_found, p4_found, p4_splits, p5_found, p5_scores, p6_found, p6_links, p7_found, p7_report, p8_packing, p9_found, p9_report, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_groups, p3_found, p4_found, p4_splits, p4_check, p5_found, p5_scores, p6_found, p6_links, p7_found, p7_report, p8_packing, p8_check, p9_found, p9_report, p10_found)}

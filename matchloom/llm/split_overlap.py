@@ -1,20 +1,17 @@
 """Problem 7: the same or nearly the same records on both sides of a train/evaluation split.
 
 Evaluation and training records are compared by the hashes of their word n-grams.  Copies of
-one text are one class.  A pair of classes is a candidate if it shares one of the rare n-grams
-that any pair above the containment bound must share (prefix filter, exact), and is kept if
-the words agree.
+one text are one class.  Training classes are scanned for hits of the rare n-grams that any pair above the
+containment bound must share (prefix filter, exact); each hit gets its containment, the share of the evaluation
+record's n-grams that the training record holds, and is kept if the words agree, too.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchloom.functions.skew import sliced_join
 from matchloom.session import Scratch
 
 NGRAM = 3
@@ -63,30 +60,24 @@ def text_classes(records: DataFrame, id_col: str, title_col: str, text_col: str)
     )
 
 
-def _agreement(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Word agreement of each pair: common words (with repetition) over the longer text."""
-    for b in batches:
-        sim = [
-            sum((Counter(x) & Counter(y)).values()) / max(len(x), len(y), 1) for x, y in zip(b["wa"], b["wb"])
-        ]
-        yield pd.DataFrame({"class_a": b["class_a"], "class_b": b["class_b"], "agreement": sim})
+def numbered_words(classes: DataFrame, name: str = "tokens") -> DataFrame:
+    """``(class, <name>)``: hashes of every word with its number among the same words of the record, so that sets of them overlap as bags of words do."""
+    n = classes.select("class", F.explode("words").alias("w")).groupBy("class", "w").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    each = n.select("class", F.explode(F.transform(F.sequence(F.lit(1), F.col("n")), lambda k: F.xxhash64("w", k))).alias("t"))
+    return each.groupBy("class").agg(F.collect_list("t").alias(name))
 
 
 def near_classes(a: DataFrame, b: DataFrame, n: int = NGRAM, containment: float = CONTAINMENT, agreement: float = AGREEMENT) -> DataFrame:
-    """``(class_a, class_b, agreement)``: pairs of different classes of a and b (class, words) that nearly agree.
+    """``(class_a, class_b, containment, agreement)``: pairs of different classes of a and b (class, words) that nearly agree.
 
-    Exact for pairs that share ``containment`` of the larger n-gram set: grams are ordered by rarity
-    in a and b together, and two sets with that overlap share a gram within their first
-    (1 - containment) part.  Size and position bounds cut candidates before the pair is built.
+    ``containment`` is the share of a's n-grams in b.  Exact for pairs that share the bound's part of the larger n-gram set:
+    grams are ordered by rarity in a and b together, and two sets with that overlap share a gram
+    within their first (1 - bound) part.  Size and position bounds cut candidates before the pair is built; a gram of many
+    classes is joined in slices.
     """
-    spark = a.sparkSession
-    scratch = Scratch(spark, "split-overlap")
-    sides = scratch.put(
-        "grams",
-        a.select("class", "words", F.lit(0).alias("side"))
-        .unionByName(b.select("class", "words", F.lit(1).alias("side")))
-        .select("class", "side", F.size("words").alias("len"), F.explode(ngram_hashes(F.col("words"), n)).alias("gram")),
-    )
+    scratch = Scratch(a.sparkSession, "split-overlap")
+    every = a.select("class", "words", F.lit(0).alias("side")).unionByName(b.select("class", "words", F.lit(1).alias("side")))
+    sides = scratch.put("grams", every.select("class", "side", F.size("words").alias("len"), F.explode(ngram_hashes(F.col("words"), n)).alias("gram")))
     df = sides.groupBy("gram").agg(F.count(F.lit(1)).alias("df"), F.max("side").alias("s1"), F.min("side").alias("s0"))
     w = Window.partitionBy("class", "side")
     ranked = (
@@ -96,22 +87,33 @@ def near_classes(a: DataFrame, b: DataFrame, n: int = NGRAM, containment: float
     )
     kept = ranked.where((F.col("at") <= F.col("n") - F.ceil(F.col("n") * containment) + 1) & (F.col("s0") < F.col("s1")))
     kept = scratch.put("prefix", kept.select("class", "side", "len", "gram", "at", "n"))
+    scratch.drop("grams")
     x = kept.where("side = 0").select(F.col("class").alias("class_a"), "gram", F.col("at").alias("at_a"), F.col("n").alias("n_a"), F.col("len").alias("len_a"))
     y = kept.where("side = 1").select(F.col("class").alias("class_b"), "gram", F.col("at").alias("at_b"), F.col("n").alias("n_b"), F.col("len").alias("len_b"))
     need = F.ceil(F.greatest("n_a", "n_b") * containment)
     pairs = (
-        x.join(y, "gram")
+        sliced_join(x, y, ["gram"], "class_b")
         .where(F.col("class_a") != F.col("class_b"))
         .where(F.least("len_a", "len_b") >= agreement * F.greatest("len_a", "len_b"))
         .where(F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) + 1 >= need)
         .select("class_a", "class_b")
         .distinct()
     )
-    worded = pairs.join(a.select(F.col("class").alias("class_a"), F.col("words").alias("wa")), "class_a").join(
-        b.select(F.col("class").alias("class_b"), F.col("words").alias("wb")), "class_b"
+    pairs = scratch.put("pairs", pairs)
+    scratch.drop("prefix")
+
+    def bags(side: DataFrame, mark: str) -> DataFrame:
+        own = side.join(pairs.select(F.col(f"class_{mark}").alias("class")).distinct(), "class", "left_semi")
+        own = scratch.put(f"own-{mark}", own.select("class", "words"))
+        return own.select("class", ngram_hashes(F.col("words"), n).alias(f"grams_{mark}")).join(numbered_words(own, f"words_{mark}"), "class").withColumnRenamed("class", f"class_{mark}")
+
+    both = pairs.join(bags(a, "a"), "class_a").join(bags(b, "b"), "class_b")
+    shared = F.size(F.array_intersect("grams_a", "grams_b"))
+    alike = F.size(F.array_intersect("words_a", "words_b")) / F.greatest(F.size("words_a"), F.size("words_b"))
+    scored = both.select(
+        "class_a", "class_b", (shared / F.size("grams_a")).alias("containment"), (shared / F.greatest(F.size("grams_a"), F.size("grams_b"))).alias("_least"), alike.alias("agreement")
     )
-    scored = worded.select("class_a", "class_b", "wa", "wb").mapInPandas(_agreement, "class_a string, class_b string, agreement double")
-    return scored.where(F.col("agreement") >= agreement)
+    return scored.where((F.col("_least") >= containment) & (F.col("agreement") >= agreement)).drop("_least")
 
 
 def split_ids(pairs: DataFrame) -> DataFrame:
@@ -127,11 +129,12 @@ def cross_split_overlaps(
     title_col: str = "page_title",
     text_col: str = "text",
 ) -> DataFrame:
-    """``(split, eval_id, train_id, kind)``: every evaluation record that also stands in training.
+    """``(split, eval_id, train_id, kind, containment)``: every evaluation record that also stands in training.
 
     ``train`` and the tables of ``evaluation`` are pair tables (lid, rid); ids are compared first
     (kind 'same id', also for ids without a listing), then texts ('same text' for equal words,
-    'near text' otherwise).  Null ids are ignored; empty tables give an empty result; extra
+    'near text' otherwise).  ``containment`` is the share of the evaluation record's word n-grams in the training record.
+    Only the listings that the tables name are read into words.  Null ids are ignored; empty tables give an empty result; extra
     columns are not read.
     """
     spark = listings.sparkSession
@@ -142,23 +145,23 @@ def cross_split_overlaps(
         part = split_ids(pairs).withColumn("split", F.lit(name))
         wanted = part if wanted is None else wanted.unionByName(part)
     wanted = scratch.put("eval", wanted)
-    classes = scratch.put("classes", text_classes(listings, id_col, title_col, text_col))
+    named = trained.unionByName(wanted.select("id")).distinct()
+    own = listings.join(named.withColumnRenamed("id", id_col), id_col, "left_semi")
+    classes = scratch.put("classes", text_classes(own, id_col, title_col, text_col))
     tr = trained.join(classes.select("id", "class"), "id")
     ev = wanted.join(classes.select("id", "class"), "id")
     tr_words = scratch.put("train-words", trained.join(classes, "id").groupBy("class").agg(F.first("words").alias("words")))
     ev_words = scratch.put("eval-words", wanted.select("id").distinct().join(classes, "id").groupBy("class").agg(F.first("words").alias("words")))
-    near = near_classes(ev_words, tr_words).select("class_a", "class_b", F.lit("near text").alias("kind"))
+    near = near_classes(ev_words, tr_words).select("class_a", "class_b", F.lit("near text").alias("kind"), "containment")
     same = ev_words.join(tr_words.select("class"), "class", "left_semi").select(
-        F.col("class").alias("class_a"), F.col("class").alias("class_b"), F.lit("same text").alias("kind")
-    )
-    by_text = (
-        near.unionByName(same)
-        .join(ev.select("split", F.col("id").alias("eval_id"), F.col("class").alias("class_a")), "class_a")
-        .join(tr.select(F.col("id").alias("train_id"), F.col("class").alias("class_b")), "class_b")
-        .where(F.col("eval_id") != F.col("train_id"))
+        F.col("class").alias("class_a"), F.col("class").alias("class_b"), F.lit("same text").alias("kind"), F.lit(1.0).alias("containment")
     )
-    by_id = wanted.join(trained, "id", "left_semi").select("split", F.col("id").alias("eval_id"), F.col("id").alias("train_id"), F.lit("same id").alias("kind"))
-    return by_id.unionByName(by_text.select("split", "eval_id", "train_id", "kind"))
+    found = scratch.put("found", near.unionByName(same).join(ev.select("split", F.col("id").alias("eval_id"), F.col("class").alias("class_a")), "class_a").drop("class_a"))
+    train_ids = scratch.put("train-ids", tr.select(F.col("id").alias("train_id"), F.col("class").alias("class_b")))
+    # copies of one listing may hold a large part of either side
+    by_text = sliced_join(found, train_ids, ["class_b"], "train_id").where(F.col("eval_id") != F.col("train_id"))
+    by_id = wanted.join(trained, "id", "left_semi").select("split", F.col("id").alias("eval_id"), F.col("id").alias("train_id"), F.lit("same id").alias("kind"), F.lit(1.0).alias("containment"))
+    return by_id.unionByName(by_text.select("split", "eval_id", "train_id", "kind", "containment"))
 
 
 def overlap_pairs(overlaps: DataFrame) -> DataFrame:

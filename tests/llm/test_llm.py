@@ -346,7 +346,11 @@ def test_near_classes_match_brute_force(frame):
         gx, gy = ({tuple(w[k : k + 3]) for k in range(28)} for w in (x, y))
         if len(gx & gy) >= 0.6 * max(len(gx), len(gy)) and sum((Counter(x) & Counter(y)).values()) >= 24:
             want.add((f"a{i}", f"b{j}"))
-    assert {(r["class_a"], r["class_b"]) for r in split_overlap.near_classes(a, b).collect()} == want and want
+    found = split_overlap.near_classes(a, b).collect()
+    assert {(r["class_a"], r["class_b"]) for r in found} == want and want
+    for r in found:
+        gx, gy = ({tuple(w[k : k + 3]) for k in range(28)} for w in (base[int(r["class_a"][1:])], other[int(r["class_b"][1:])]))
+        assert abs(r["containment"] - len(gx & gy) / len(gx)) < 1e-9
 
 
 # 8 packing
