@@ -417,6 +417,34 @@ def test_leaks(frame):
     assert rows(leakage.leaked_items(d.limit(0), items)) == rows(leakage.leaked_items(d, items.limit(0))) == []
 
 
+def test_leaks_with_a_word_more_or_less(frame, monkeypatch):
+    w = ITEM.split()
+    more, less, two = w[2:9] + ["indeed"] + w[9:17], w[2:9] + w[10:18], w[2:7] + ["so"] + w[7:12] + ["it"] + w[12:17]
+    docs = [(i, "Here it begins at last. " + " ".join(x) + " and then it ends for good.") for i, x in enumerate((more, less, two, w[2:17], w[2:15]))]
+    d = frame(docs, "doc_id long, text string")
+    items = frame([(10, ITEM), (11, "Quite different words follow in this item, none of which stands in any of the other texts here today.")], "item_id long, text string")
+    assert rows(leakage.leaked_items(d, items)) == [(0, 10), (1, 10), (3, 10)]
+    # more items than one index takes
+    monkeypatch.setattr(leakage, "ITEMS_PER_INDEX", 1)
+    assert rows(leakage.leaked_items(d, items)) == [(0, 10), (1, 10), (3, 10)]
+
+
+def test_alignment_against_edit_distance():
+    rng = np.random.default_rng(6)
+
+    def near(p, item):
+        n = len(item)
+        subs = int((p[1 : n + 1] != item).sum()) <= 1
+        more = any(list(item) == [*p[1 : k + 1], *p[k + 2 : n + 2]] for k in range(n))
+        less = any([*item[:k], *item[k + 1 :]] == list(p[1:n]) for k in range(n))
+        return subs or more or less
+
+    passages = rng.integers(0, 2, size=(4000, 8))
+    items = rng.integers(0, 2, size=(4000, 6))
+    ok, held = leakage.aligned(passages, items, 1)
+    assert ok.tolist() == [near(p, i) for p, i in zip(passages, items)] and held.shape == (4000, 5)
+
+
 def test_hamming_index_is_complete():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, size=400, dtype=np.uint64)
