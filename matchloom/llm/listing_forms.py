@@ -6,6 +6,8 @@ import html
 import math
 import re
 
+from matchloom.llm.name_forms import within
+
 # Keys of a listing's text (in two languages) and the attribute they state.
 KEYS = {
     "brand": "brand make manufacturer hersteller marke",
@@ -39,8 +41,11 @@ for _attr, _names in KEYS.items():
 _ALTS = "|".join(sorted((re.escape(k) for k in _KEY_OF), key=len, reverse=True))
 _FIELD = re.compile(rf"(?<![\w-])({_ALTS})\s*[:=]\s*", re.I)
 _SHOP = re.compile(r"\s+(?:[|@–—]|- )\s*[^\s|@]+\s*$")
-_CODE = re.compile(r"(?<![a-z0-9])([a-z]{2})[ .\-]?(\d{4})(?:[ .\-]{0,2}(s|x|lite|light|pro|professional|plus|max|mini|mark ?ii|mark ?2|mk ?ii|mk ?2|ii|iii|mark ?iii|mk ?3|se))?(?![a-z0-9])")
-_NAME = re.compile(r"(?<![a-z0-9])([a-z]{4,}?)[ .\-]?([a-z]?\d{1,3})(?:[ .\-]{0,2}(s|x|lite|light|pro|professional|plus|max|mini|mark ?ii|mark ?2|mk ?ii|mk ?2|ii|iii|mark ?iii|mk ?3|se))?(?![a-z0-9])")
+# a sister's addition behind a model name: any word of SISTERS, digits and "mark" apart or not
+_ADDITION = r"(?:[ .\-]{0,2}(s|x|lite|light|pro|professional|plus|max|mini|mark ?ii|mark ?2|mk ?ii|mk ?2|ii|iii|mark ?iii|mk ?3|se))?(?![a-z0-9])"
+# a code: few letters with many digits; a name: more letters with fewer digits
+_CODE = re.compile(r"(?<![a-z0-9])([a-z]{1,3})[ .\-]?(\d{4,5})" + _ADDITION)
+_NAME = re.compile(r"(?<![a-z0-9])([a-z]{4,}?)[ .\-]?([a-z]?\d{1,3})" + _ADDITION)
 _NUM = re.compile(r"\d+(?:[.,]\d+)?")
 
 
@@ -73,7 +78,8 @@ def model_names(text: str, skip: set[str]) -> list[str]:
         out.append(base + (f"+{sister}" if sister else ""))
 
     for m in _CODE.finditer(text):
-        add(m[1] + m[2], m[3])
+        if m[1] not in skip:
+            add(m[1] + m[2], m[3])
     rest = _CODE.sub(" ", text)
     for m in _NAME.finditer(rest):
         if m[1] not in skip and m[1] not in SISTERS:
@@ -86,7 +92,7 @@ PLAIN = set(
     "camera cameras kamera digital compact kompaktkamera point shoot action sports system systemkamera mirrorless dslr spiegelreflexkamera spiegelreflex csc zoom optical fach "
     "megapixel megapixels mpix million pixels resolution frames inch zoll black white silver blue red graphite green gold schwarz weiss silber blau rot free shipping official genuine "
     "limited offer best price sale deal great gift seller star rated refurbished with warranty stock neck strap battery type compatible video from only rating item model number part "
-    "body weight lens versandkostenfrei neu used condition video days ships within".split()
+    "for and the set body weight lens versandkostenfrei neu used condition video days ships within".split()
 )
 
 
@@ -147,7 +153,7 @@ def spec_tokens(f: dict[str, list[str]], title: str) -> dict[str, list[str]]:
         if g and g > 1:
             out["weight"] = weight_tokens(g)
     for v in f.get("battery", [])[:1]:
-        if m := re.search(r"[a-z]{2}-?\d+[a-z]?", v.lower()):
+        if m := re.search(r"[a-z]{1,4}-?\d+[a-z]{0,3}", v.lower()):
             out["battery"] = ["bt:" + m[0].replace("-", "")]
     for v in f.get("iso", [])[:1]:
         xs = [int(x.replace(",", "").replace(".", "")) for x in re.findall(r"\d[\d.,]*", v)]
@@ -169,16 +175,32 @@ def spec_tokens(f: dict[str, list[str]], title: str) -> dict[str, list[str]]:
 _SPEC_WORDS = re.compile(r"\d+(?:[.,]\d+)?\s?(?:mpx?|mpix|megapixels?|million|mio)\b|\d+(?:x|-fach)\s*(?:optical\s*|optischer\s*)?(?:zoom)?\b", re.I)
 
 
-def read_listing(title: str | None, text: str | None, brands: set[str]) -> tuple[str | None, list[str], dict[str, list[str]], bool]:
-    """``(brand, models, specs, accessory)`` of a listing."""
-    title = _SHOP.sub("", html.unescape(title or ""))
-    f = fields(text)
+def plain_title(title: str) -> str:
+    return _SHOP.sub("", html.unescape(title or ""))
+
+
+def title_words(title: str) -> list[str]:
+    """Words of a title without the shop and the measures, each once."""
+    return list(dict.fromkeys(re.findall(r"[^\W_]+", _SPEC_WORDS.sub(" , ", plain_title(title)).lower())))
+
+
+def brand_of(stated: list[str], words: list[str], known: dict[str, int]) -> str | None:
+    """The brand a listing states, unless it is a slip of a more frequent one in the title; else the most frequent one there; else what it states."""
+    there = max((w for w in words if w in known), key=lambda w: (known[w], w), default=None)
+    own = next((b for b in stated if b in known), None)
+    if own and not (there and known[there] > known[own] and within(own, there, 2)):
+        return own
+    return there or (stated[0] if stated else None)
+
+
+def read_listing(title: str, f: dict[str, list[str]], known: dict[str, int]) -> tuple[str | None, list[str], dict[str, list[str]], bool]:
+    """``(brand, models, specs, accessory)`` of a listing with the stated values ``f``; known: brands that occur in it and how many listings state them."""
+    title = plain_title(title)
     accessory = bool(ACCESSORY.search(title)) or "compatible" in f
-    stated = [re.sub(r"[^a-z0-9]", "", v.lower()) for v in f.get("brand", [])]
     bare = _SPEC_WORDS.sub(" , ", title)
     words = re.findall(r"[^\W_]+", bare.lower())
-    brand = next((b for b in stated if b in brands), None) or next((w for w in words if w in brands), None) or (stated[0] if stated else None)
-    skip = PLAIN | brands
+    brand = brand_of(stated_brand(f), words, known)
+    skip = PLAIN | known.keys()
     models = set(model_names(bare, skip))
     if brand in words:
         # a name without a number stands right behind the brand
@@ -195,17 +217,17 @@ def read_listing(title: str | None, text: str | None, brands: set[str]) -> tuple
     return brand, sorted(models), spec_tokens(f, title), accessory
 
 
-def stated_brand(text: str | None) -> list[str]:
-    """Brands a text states, in one notation."""
-    return [b for v in fields(text).get("brand", []) if (b := re.sub(r"[^a-z0-9]", "", v.lower())) and len(b) < 30]
+def stated_brand(f: dict[str, list[str]]) -> list[str]:
+    """Brands that the values of a text state, in one notation."""
+    return [b for v in f.get("brand", []) if (b := re.sub(r"[^a-z0-9]", "", v.lower())) and len(b) < 30]
 
 
 def kind(model: str) -> str:
-    """'c' for a code of two letters and four digits, 'n' for a name."""
-    return "c" if re.match(r"[a-z]{2}\d{4}(?:\+|$)", model) else "n"
+    """'c' for a code of few letters and many digits, 'n' for a name."""
+    return "c" if re.match(r"[a-z]{1,3}\d{4,5}(?:\+|$)", model) else "n"
 
 
-def models_agree(a: list[str], b: list[str], within) -> str:
+def models_agree(a: list[str], b: list[str], within=within) -> str:
     """How the model names of two listings relate.
 
     'same' (one in common), 'open' (one side names none, or a code meets a name), 'near' (a

@@ -1,9 +1,9 @@
 """Problem 2: product listings that describe the same item.
 
 Listings are read into tokens of one notation (brand with model name, and brand with each
-measure).  Tokens are weighted by rarity; pairs that share a token of their prefixes are verified by their
-weighted containment over what both state: everything both state must agree, and the agreeing
-tokens must weigh enough for the size of the collection.  Links are clustered by stars.
+measure).  Tokens are ordered by rarity; pairs that share a token of their prefixes are verified by their
+weighted containment, the share of the weight that agrees in all that both state, and
+the agreeing tokens must weigh enough for the size of the collection.  Links are clustered by stars.
 """
 
 from __future__ import annotations
@@ -15,33 +15,30 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.functions.skew import lookup_join
+from matchloom.functions.skew import lookup_join, sliced_join
 from matchloom.llm.groups import group_pairs, hash_to_min
-from matchloom.llm.listing_forms import models_agree, read_listing, stated_brand
+from matchloom.llm.listing_forms import fields, models_agree, read_listing, stated_brand, title_words
 from matchloom.llm.name_forms import within
 from matchloom.session import Scratch
 
 ATTRIBUTES = ["mp", "zoom", "screen", "battery", "iso", "fps", "video", "sensor"]
 #: The attributes and the weight's places on two grids.
 MEASURES = [*ATTRIBUTES, "g0", "g1"]
-#: Brands are learnt from the listings: stated in at least this share of them; at most MAX_BRANDS, the most frequent ones.
-BRAND_SHARE = 0.0005
-MAX_BRANDS = 5_000
+#: A brand that at least so many listings state is looked for in titles.
+BRAND_COUNT = 3
 #: Evidence beyond log(listings) that listings without a common model name need.
 MARGIN = 5.0
+#: Share of the weight of all that both state that must agree.
+CONTAINMENT = 1.0
 
 
-def known_brands(listings: DataFrame, text_col: str) -> set[str]:
-    """The brands that the texts state often enough to be looked for in titles."""
-
-    def brands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"brand": [x for t in b["text"] for x in set(stated_brand(t))]}, dtype=object)
-
-    t = listings.select(F.col(text_col).alias("text")).where("text is not null")
-    n = max(3, BRAND_SHARE * t.count())
-    counts = t.mapInPandas(brands, "brand string").groupBy("brand").agg(F.count(F.lit(1)).alias("n"))
-    return {r["brand"] for r in counts.where(F.col("n") >= n).orderBy(F.desc("n"), "brand").limit(MAX_BRANDS).collect()}
+def known_brands(parsed: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(id, brands)``: the words of a listing's title and statements that are brands, with the number of listings that state them."""
+    brands = parsed.select("id", F.explode("stated").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("stated")).where(F.col("stated") >= BRAND_COUNT)
+    words = scratch.put("words", parsed.select("id", F.explode(F.array_distinct(F.concat("stated", "words"))).alias("word")))
+    table = scratch.put("brands", words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).join(brands, "word"))
+    hits = lookup_join(words, table, "word", "n")
+    return hits.groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct("word", "stated"))).alias("brands"))
 
 
 def read_listings(listings: DataFrame, id_col: str = "id", title_col: str = "page_title", text_col: str = "text") -> DataFrame:
@@ -50,28 +47,35 @@ def read_listings(listings: DataFrame, id_col: str = "id", title_col: str = "pag
     Of several rows of an id the smallest is read.  Listings without a text or a brand, and
     accessories, give no row.
     """
-    brands = known_brands(listings, text_col)
-    shared = listings.sparkSession.sparkContext.broadcast(brands)
+    scratch = Scratch(listings.sparkSession, "read-listings")
     one = (
         listings.select(F.col(id_col).cast("long").alias("id"), F.struct(F.col(text_col).alias("text"), F.col(title_col).alias("title")).alias("r"))
         .where("id is not null and r.text is not null and trim(r.text) <> ''")
         .groupBy("id").agg(F.min("r").alias("r"))
-        .select("id", "r.text", "r.title")
+        .select("id", "r.text", F.coalesce("r.title", F.lit("")).alias("title"))
     )
 
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            f = [fields(t) for t in b["text"]]
+            yield pd.DataFrame({"id": b["id"], "title": b["title"], "keys": [list(x) for x in f], "values": [list(x.values()) for x in f], "stated": [sorted(set(stated_brand(x))) for x in f], "words": [title_words(t) for t in b["title"]]})
+
+    parsed = scratch.put("parsed", one.mapInPandas(parse, "id long, title string, keys array<string>, values array<array<string>>, stated array<string>, words array<string>"))
+    both = parsed.select("id", "title", "keys", "values").join(known_brands(parsed, scratch), "id", "left")
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = shared.value
         for b in batches:
             rows = []
-            for i, text, title in zip(b["id"], b["text"], b["title"]):
-                brand, models, specs, accessory = read_listing(title if isinstance(title, str) else "", text, known)
+            for i, title, keys, values, known in zip(b["id"], b["title"], b["keys"], b["values"], b["brands"]):
+                f = {k: list(v) for k, v in zip(keys, values)}
+                brand, models, specs, accessory = read_listing(title, f, dict(known) if known is not None else {})
                 if brand and not accessory:
                     w = specs.get("weight", [None, None])
                     rows.append((i, brand, models, *[specs.get(a, [None])[0] for a in ATTRIBUTES], w[0], w[1]))
             yield pd.DataFrame(rows, columns=["id", "brand", "models", *ATTRIBUTES, "g0", "g1"])
 
     schema = "id long, brand string, models array<string>, " + ", ".join(f"{a} string" for a in [*ATTRIBUTES, "g0", "g1"])
-    return one.mapInPandas(read, schema)
+    return both.mapInPandas(read, schema)
 
 
 def weighted(rows: DataFrame, n: int, scratch: Scratch) -> DataFrame:
@@ -87,75 +91,74 @@ def weighted(rows: DataFrame, n: int, scratch: Scratch) -> DataFrame:
     return rows.join(maps, "id")
 
 
-def join_keys(need: float) -> Column:
-    """Model names and the prefix of the measures of a listing (column names as in :func:`weighted`).
+def prefix_tokens(need: float) -> Column:
+    """The prefix of a listing (column names as in :func:`weighted`): its model names and its rarest measures as ``(t, reach)``.
 
     The measures are ordered by weight, the lightest first; those up to which the weights stay below
-    ``need`` are behind the prefix.  The heaviest measure of a pair whose common ones weigh ``need``
-    is in the prefix of both, so each such pair shares a key.
+    ``need`` are behind the prefix, so a listing whose measures weigh less has none (length filter).  The heaviest common
+    measure of a pair whose common ones weigh ``need`` is in the prefix of both, so each such pair shares a token.  ``reach`` is
+    the weight up to a token: the most that a pair can have in common if this is its rarest common measure (position filter).
     """
     stated = F.filter(F.array(*[F.struct(F.element_at("w", F.col(a)).alias("w"), F.col(a).alias("t")) for a in MEASURES]), lambda e: e["t"].isNotNull())
 
     def reach(e: Column) -> Column:
         return F.aggregate(F.filter(stated, lambda o: o <= e), F.lit(0.0), lambda total, o: total + o["w"])
 
+    rated = F.transform(stated, lambda e: F.struct(e["t"].alias("t"), reach(e).alias("reach")))
+    named = F.transform("models", lambda m: F.struct(F.concat(F.lit("m:"), m).alias("t"), F.lit(float("inf")).alias("reach")))
     # sums of another order may differ in the last digits
-    prefix = F.transform(F.filter(stated, lambda e: reach(e) >= need - 1e-6), lambda e: e["t"])
-    return F.concat(F.transform("models", lambda m: F.concat(F.lit("m:"), m)), prefix)
+    return F.concat(named, F.filter(rated, lambda e: e["reach"] >= need - 1e-6))
+
 
+def listing_links(rows: DataFrame, n: int, margin: float = MARGIN, containment: float = CONTAINMENT) -> DataFrame:
+    """``(lid, rid)``, lid < rid: listings of which enough agrees in what both state, and that share enough.
 
-def listing_links(rows: DataFrame, n: int, margin: float = MARGIN) -> DataFrame:
-    """``(lid, rid)``, lid < rid: listings that agree in all they both state and share enough."""
-    body = F.struct("id", "models", *ATTRIBUTES, "g0", "g1", "w")
+    The tokens are joined with ids alone, those of many listings in slices; a pair that meets at several tokens is verified once.
+    """
+    scratch = Scratch(rows.sparkSession, "links")
     need = math.log(max(n, 3)) + margin
-    keyed = rows.select("brand", body.alias("a"), F.explode(join_keys(need)).alias("key"))
-    other = keyed.select("brand", F.col("a").alias("b"), "key")
-    clash = F.lit(False)
-    evidence = F.lit(0.0)
-    for a in ATTRIBUTES:
-        clash = clash | F.coalesce(F.col(f"a.{a}") != F.col(f"b.{a}"), F.lit(False))
-        evidence = evidence + F.when(F.col(f"a.{a}") == F.col(f"b.{a}"), F.element_at("a.w", F.col(f"a.{a}"))).otherwise(0.0)
-    heavy = F.coalesce((F.col("a.g0") != F.col("b.g0")) & (F.col("a.g1") != F.col("b.g1")), F.lit(False))
-    for g in ("g0", "g1"):
-        evidence = evidence + F.when(F.col(f"a.{g}") == F.col(f"b.{g}"), F.element_at("a.w", F.col(f"a.{g}"))).otherwise(0.0)
-    pairs = keyed.join(other, ["brand", "key"]).where((F.col("a.id") < F.col("b.id")) & ~clash & ~heavy)
+    keyed = rows.select("id", "brand", F.explode(prefix_tokens(need)).alias("e")).select("id", F.concat_ws("|", "brand", "e.t").alias("key"))
+    keyed = scratch.put("prefix", keyed)
+    met = sliced_join(keyed.select("key", F.col("id").alias("lid")), keyed.select("key", F.col("id").alias("rid")), ["key"], "rid").where("lid < rid")
+    met = scratch.put("met", met.select("lid", "rid").distinct())
+    body = scratch.put("bodies", rows.select("id", "models", *MEASURES, F.array(*[F.element_at("w", F.col(a)) for a in MEASURES]).alias("w")))
+    fields_ = ["models", *MEASURES, "w"]
+    pairs = met.join(body.select(F.col("id").alias("lid"), F.struct(*fields_).alias("a")), "lid").join(body.select(F.col("id").alias("rid"), F.struct(*fields_).alias("b")), "rid")
+    agree, clash = F.lit(0.0), F.lit(0.0)
+    for i, m in enumerate(MEASURES):
+        same = F.col(f"a.{m}") == F.col(f"b.{m}")
+        weight = F.col("a.w")[i]
+        agree = agree + F.when(same, weight).otherwise(0.0)
+        if m in ATTRIBUTES:
+            clash = clash + F.when(~same, F.greatest(weight, F.lit(1e-3))).otherwise(0.0)
+    # two weights that differ on both grids
+    clash = clash + F.when((F.col("a.g0") != F.col("b.g0")) & (F.col("a.g1") != F.col("b.g1")), 1.0).otherwise(0.0)
     named = F.size(F.array_intersect("a.models", "b.models")) > 0
-    # without a common name the measures alone must reach the bound
-    kept = pairs.withColumn("evidence", evidence).withColumn("named", named).where(F.col("named") | (F.col("evidence") >= need))
-    cand = kept.select(F.col("a.id").alias("lid"), F.col("b.id").alias("rid"), "named", F.col("a.models").alias("ma"), F.col("b.models").alias("mb")).dropDuplicates(["lid", "rid"])
+    rated = pairs.select("lid", "rid", named.alias("named"), agree.alias("agree"), clash.alias("clash"), F.col("a.models").alias("ma"), F.col("b.models").alias("mb"))
+    # a common model name stands for all the weight; without one the measures alone must reach the bound
+    kept = rated.where((F.col("agree") >= containment * (F.col("agree") + F.col("clash"))) & (F.col("named") | (F.col("agree") >= need)))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             ok = [x or models_agree(list(p), list(q), within) in ("open", "near") for x, p, q in zip(b["named"], b["ma"], b["mb"])]
             yield b.loc[ok, ["lid", "rid"]]
 
-    return cand.mapInPandas(verify, "lid long, rid long")
+    return kept.select("lid", "rid", "named", "ma", "mb").mapInPandas(verify, "lid long, rid long")
 
 
-def star_clusters(links: DataFrame, rows: DataFrame) -> DataFrame:
-    """``(id, group_id)``: components of the links, those with a contradiction cut into stars.
+def star_clusters(links: DataFrame) -> DataFrame:
+    """``(id, group_id)``: the links clustered by stars.
 
-    In a component whose members state two values of one measure every listing follows its
-    neighbour with most links (ties: smaller id) up to a centre that has none above it; the
-    listings of one centre are a group.
+    Every listing follows its neighbour with most links (ties: smaller id) up to a centre that has none
+    above it; the listings of one centre are a group, named by its smallest id.
     """
     scratch = Scratch(links.sparkSession, "stars")
-    groups = scratch.put("groups", hash_to_min(links.select(F.col("lid").alias("a"), F.col("rid").alias("b"))))
-    member = groups.join(rows.select("id", *ATTRIBUTES), "id")
-    torn = member.groupBy("group_id").agg(F.greatest(*[F.count_distinct(a) for a in ATTRIBUTES]).alias("k")).where("k > 1").select("group_id")
-    torn = scratch.put("torn", torn)
-    inside = groups.join(torn, "group_id", "left_semi")
     both = links.select(F.col("lid").alias("v"), F.col("rid").alias("u")).unionByName(links.select(F.col("rid").alias("v"), F.col("lid").alias("u")))
-    both = scratch.put("both", both.join(inside.select(F.col("id").alias("v")), "v", "left_semi"))
-    degree = both.groupBy("v").agg(F.count(F.lit(1)).alias("d"))
+    both = scratch.put("both", both)
+    degree = scratch.put("degree", both.groupBy("v").agg(F.count(F.lit(1)).alias("d")).withColumn("n", F.col("d")))
     rank = F.struct(F.col("d"), (-F.col("u")).alias("neg"))
-    up = (
-        both.join(degree.withColumnRenamed("v", "u"), "u").select("v", "u", "d")
-        .unionByName(degree.select("v", F.col("v").alias("u"), "d"))
-        .groupBy("v").agg(F.max_by("u", rank).alias("u"))
-    )
-    stars = hash_to_min(up.where("u <> v").select(F.col("v").alias("a"), F.col("u").alias("b")))
-    return groups.join(torn, "group_id", "left_anti").unionByName(stars)
+    up = lookup_join(both, degree.withColumnRenamed("v", "u"), "u", "n").select("v", "u", "d").unionByName(degree.select("v", F.col("v").alias("u"), "d"))
+    return hash_to_min(up.groupBy("v").agg(F.max_by("u", rank).alias("u")).where("u <> v").select(F.col("v").alias("a"), F.col("u").alias("b")))
 
 
 def same_item_groups(listings: DataFrame, **columns: str) -> DataFrame:
@@ -169,7 +172,7 @@ def same_item_groups(listings: DataFrame, **columns: str) -> DataFrame:
     n = rows.count()
     rows = scratch.put("weighted", weighted(rows, n, scratch))
     links = scratch.put("links", listing_links(rows, n))
-    return star_clusters(links, rows)
+    return star_clusters(links)
 
 
 def same_item_pairs(listings: DataFrame, **columns: str) -> DataFrame:

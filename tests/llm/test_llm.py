@@ -52,8 +52,8 @@ def test_consolidate_edge_cases(frame):
 
 
 def test_units_agree_across_notations():
-    a = listing_forms.read_listing("Acmecam AB-1234 Top Seller", "brand: Acmecam weight: 24.8 oz screen: 7.6 cm resolution: 50800000 zoom: 10x", {"acmecam"})
-    b = listing_forms.read_listing("ACMECAM ab1234 50.8 MP | Shop", "Hersteller: Acmecam Gewicht: 703g Bildschirm: 3 in Zoomfaktor: 10x", {"acmecam"})
+    a = listing_forms.read_listing("Acmecam AB-1234 Top Seller", listing_forms.fields("brand: Acmecam weight: 24.8 oz screen: 7.6 cm resolution: 50800000 zoom: 10x"), {"acmecam": 9})
+    b = listing_forms.read_listing("ACMECAM ab1234 50.8 MP | Shop", listing_forms.fields("Hersteller: Acmecam Gewicht: 703g Bildschirm: 3 in Zoomfaktor: 10x"), {"acmecam": 9})
     assert a[0] == b[0] and a[1] == b[1] == ["ab1234"] and a[2]["mp"] == b[2]["mp"] and a[2]["screen"] == b[2]["screen"]
     assert set(a[2]["weight"]) & set(b[2]["weight"])
 
@@ -63,7 +63,9 @@ def test_sisters_and_accessories():
     assert listing_forms.models_agree(["ab1234"], ["ab1234+lite"], near) == "sister"
     assert listing_forms.models_agree(["ab1234+pro"], listing_forms.model_names("AB 1234 professional", set()), near) == "same"
     assert listing_forms.models_agree(["ab1234"], ["ab1243"], near) == "near"
-    assert listing_forms.read_listing("Neck Strap for Acmecam AB-1234", "type: neck strap compatible with: Acmecam AB1234", {"acmecam"})[3]
+    assert listing_forms.read_listing("Neck Strap for Acmecam AB-1234", listing_forms.fields("type: neck strap compatible with: Acmecam AB1234"), {"acmecam": 9})[3]
+    assert listing_forms.brand_of(["acmecm"], ["new", "acmecam"], {"acmecam": 90, "acmecm": 4}) == "acmecam"
+    assert listing_forms.brand_of(["rarecam"], ["like", "acmecam"], {"acmecam": 90, "rarecam": 4}) == "rarecam"
 
 
 def test_listing_pairs(frame):
