@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchloom.functions.skew import sliced_join
 from matchloom.llm.groups import hash_to_min
 from matchloom.llm.name_forms import plain, read_name
 from matchloom.session import Scratch
@@ -78,14 +79,38 @@ def probes(word: Column, k: int) -> Column:
     return F.array_distinct(F.flatten(per_length))
 
 
-def _side(names: DataFrame, keys: list[str], entries, mark: str) -> DataFrame:
-    """Entries of both names proper of every row under its block keys."""
+def _entries(names: DataFrame, keys: list[str], entries, tag: str, mark: str) -> DataFrame:
+    """``(key, <mark>)``: the entries of both names proper of every row, under its block keys, as one hash each, with the row's id."""
     parts = F.filter(F.array("p1", "p2"), lambda p: p.isNotNull() & (F.length(p) > 0))
-    body = F.struct("id", "given", "p1", "p2", "place", "country", "year").alias(mark)
-    x = names.select(*keys, body, F.explode(parts).alias("part"))
-    return x.select(*keys, mark, F.explode(entries(F.col("part"))).alias("e")).select(
-        *keys, mark, F.col("e.len").cast("int").alias("len"), F.col("e.seg").cast("int").alias("seg"), F.col("e.text").alias("text")
-    )
+    x = names.select("id", *keys, F.explode(parts).alias("part")).select("id", *keys, F.explode(entries(F.col("part"))).alias("e"))
+    # rows with a null key meet none
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    key = F.xxhash64(F.lit(tag), *[F.col(k).cast("string") for k in keys], F.col("e.len").cast("int"), F.col("e.seg").cast("int"), "e.text")
+    return x.where(known).select(key.alias("key"), F.col("id").alias(mark))
+
+
+def met_pairs(passes: list[tuple[DataFrame, DataFrame, list[str], int]], more: DataFrame | None = None) -> DataFrame:
+    """``(lid, rid)``, lid < rid: pairs of rows that meet at a segment in one of the passes (left, right, block keys, edits k).
+
+    All passes are one join of an inverted index with its probes, over hashes and ids alone; a segment that very many
+    names have is joined in slices.  ``more`` are further entries (key, id), each both indexed and probed.
+    """
+    index, probe = (more.select("key", F.col("id").alias(m)) if more is not None else None for m in ("a", "b"))
+    for i, (left, right, keys, k) in enumerate(passes):
+        x = _entries(left, keys, lambda p, k=k: segments(p, k), f"{i}", "a")
+        y = _entries(right, keys, lambda p, k=k: probes(p, k), f"{i}", "b")
+        index, probe = x if index is None else index.unionByName(x), y if probe is None else probe.unionByName(y)
+    scratch = Scratch(index.sparkSession, "segments")
+    index, probe = scratch.put("index", index), scratch.put("probe", probe)
+    met = sliced_join(probe, index, ["key"], "a").where("a <> b")
+    return met.select(F.least("a", "b").alias("lid"), F.greatest("a", "b").alias("rid")).distinct()
+
+
+def _with_bodies(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    body = ["id", "context", "given", "p1", "p2", "place", "country", "year"]
+    return pairs.join(left.select(F.col("id").alias("lid"), F.struct(*body).alias("a")), "lid").join(right.select(F.col("id").alias("rid"), F.struct(*body).alias("b")), "rid")
 
 
 def _edits(k: int) -> Column:
@@ -109,52 +134,58 @@ def _given_fits() -> Column:
     return (a == b) | initial
 
 
+def _allowed(k: int) -> Column:
+    """A short name has few letters to spare."""
+    shortest = F.least(F.length("a.p1"), F.length("b.p1"), F.coalesce(F.length("a.p2"), F.lit(99)), F.coalesce(F.length("b.p2"), F.lit(99)))
+    return F.least(F.when(shortest <= 4, 1).when(shortest <= 6, 2).otherwise(k), F.lit(k))
+
+
 def segment_join(left: DataFrame, right: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """Pairs ``(a, b, edits)`` of rows under equal keys with names proper within ``k`` edits; a.id <> b.id.
+    """Pairs ``(a, b, edits)`` of rows under equal keys with names proper within ``k`` edits; a.id < b.id.
 
     No row limit applies: every name within k edits of another under the same keys is found.
     """
-    index = _side(left, keys, lambda p: segments(p, k), "a")
-    probe = _side(right, keys, lambda p: probes(p, k), "b")
-    found = index.join(probe, [*keys, "len", "seg", "text"]).where((F.col("a.id") != F.col("b.id")) & _given_fits())
-    # a short name has few letters to spare
-    shortest = F.least(F.length("a.p1"), F.length("b.p1"), F.coalesce(F.length("a.p2"), F.lit(99)), F.coalesce(F.length("b.p2"), F.lit(99)))
-    allowed = F.when(shortest <= 4, 1).when(shortest <= 6, 2).otherwise(k)
-    return found.withColumn("edits", _edits(k)).where(F.col("edits") <= F.least(allowed, F.lit(k))).select("a", "b", "edits")
+    every = left.unionByName(right).dropDuplicates(["id"])
+    found = _with_bodies(met_pairs([(left, right, keys, k)]), every, every).where(_given_fits())
+    for key in keys:
+        found = found.where(F.col(f"a.{key}") == F.col(f"b.{key}"))
+    return found.withColumn("edits", _edits(k)).where(F.col("edits") <= _allowed(k)).select("a", "b", "edits")
 
 
 def spelling_links(names: DataFrame) -> DataFrame:
-    """``(lid, rid)``, lid < rid: directly linked spellings of one name."""
-    near_year = F.abs(F.col("a.year") - F.col("b.year")) <= 1
-    year_ok = F.coalesce(near_year, F.lit(True))
-    country_ok = F.coalesce(F.col("a.country") == F.col("b.country"), F.lit(True))
-    n = names
-    # equal names proper: only an initial in place of the given name needs the places to agree
-    key = ["context", "p1", "p2k"]
-    keyed = n.withColumn("p2k", F.coalesce("p2", F.lit("")))
-    body = F.struct("id", "given", "p1", "p2", "place", "country", "year")
-    same = (
-        keyed.select(*key, body.alias("a"))
-        .join(keyed.select(*key, body.alias("b")), key)
-        .where((F.col("a.id") < F.col("b.id")) & _given_fits())
-        .where((F.col("a.given") == F.col("b.given")) | F.coalesce(F.col("a.place") == F.col("b.place"), country_ok & year_ok))
-    )
+    """``(lid, rid)``, lid < rid: directly linked spellings of one name.
+
+    Rows meet under their line of business and town, country or year, whatever of these both state; rows without a
+    common attribute under the line of business alone.  Each pair that meets is verified once.
+    """
+    n = names.withColumn("y", F.col("year"))
     placed, lost = n.where("place is not null"), n.where("place is null")
-    town = segment_join(placed, placed, ["context", "place"], 3).where(
-        (F.col("a.id") < F.col("b.id")) & ((F.col("edits") < 3) | F.coalesce(F.col("a.country") == F.col("b.country"), F.lit(False)) | F.coalesce(near_year, F.lit(False)))
-    )
-    land = segment_join(n.where("country is not null"), lost.where("country is not null"), ["context", "country"], 2).where(year_ok)
     years = F.explode(F.array(F.col("year") - 1, F.col("year"), F.col("year") + 1))
-    age = segment_join(
-        n.where("year is not null").withColumn("y", F.col("year")), lost.where("year is not null").withColumn("y", years), ["context", "y"], 2
-    ).where(country_ok)
+    equal = n.select(F.xxhash64(F.lit("same"), "context", "p1", F.coalesce("p2", F.lit(""))).alias("key"), "id")
+    passes = [
+        (placed, placed, ["context", "place"], 3),
+        (n, lost, ["context", "country"], 2),
+        (n, lost.where("year is not null").withColumn("y", years), ["context", "y"], 2),
+        (n, lost, ["context"], 1),
+    ]
+    pairs = _with_bodies(met_pairs(passes, equal), names, names).where((F.col("a.context") == F.col("b.context")) & _given_fits())
+    x = pairs.withColumn("edits", _edits(3))
+    one_lost = F.col("a.place").isNull() | F.col("b.place").isNull()
+    same_place, same_country = (F.coalesce(F.col(f"a.{c}") == F.col(f"b.{c}"), F.lit(False)) for c in ("place", "country"))
+    near_year = F.coalesce(F.abs(F.col("a.year") - F.col("b.year")) <= 1, F.lit(False))
+    no_country = F.col("a.country").isNull() | F.col("b.country").isNull()
+    no_year = F.col("a.year").isNull() | F.col("b.year").isNull()
+    country_ok, year_ok = same_country | no_country, near_year | no_year
+    two = F.col("edits") <= _allowed(2)
+    # equal names proper: only an initial in place of the given name needs the places to agree
+    equal_name = F.col("a.p1").eqNullSafe(F.col("b.p1")) & F.col("a.p2").eqNullSafe(F.col("b.p2"))
+    same = equal_name & ((F.col("a.given") == F.col("b.given")) | F.coalesce(F.col("a.place") == F.col("b.place"), country_ok & year_ok))
+    town = same_place & (F.col("edits") <= _allowed(3)) & ((F.col("edits") < 3) | same_country | near_year)
+    land = one_lost & same_country & two & year_ok
+    age = one_lost & near_year & two & country_ok
     # rows without any shared attribute to compare, one of them without a place: one edit at most
-    bare = (F.col("a.country").isNull() | F.col("b.country").isNull()) & (F.col("a.year").isNull() | F.col("b.year").isNull())
-    alone = segment_join(n, lost, ["context"], 1).where(bare)
-    pairs = same.select("a.id", F.col("b.id").alias("o"))
-    for part in (town, land, age, alone):
-        pairs = pairs.union(part.select("a.id", F.col("b.id").alias("o")))
-    return pairs.select(F.least("id", "o").alias("lid"), F.greatest("id", "o").alias("rid")).distinct()
+    alone = one_lost & no_country & no_year & (F.col("edits") <= 1)
+    return x.where(same | town | land | age | alone).select("lid", "rid")
 
 
 def spelling_groups(records: DataFrame, **columns: str) -> DataFrame:
