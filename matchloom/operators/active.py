@@ -131,19 +131,35 @@ def threshold_scan(scored: DataFrame, score: Column | None = None, steps: int =
 
 
 class ActiveLoop:
-    """Label the uncertain, fit, score again, until the budget is spent.
+    """Active learning of a matcher and, on demand, of the blocker, until the budget is spent.
 
-    ``scorer`` has fit(labelled, records) and score(pairs, records); ``truth`` answers for the labeller.
+    Every round the most uncertain candidates are labelled by ``truth``; the matcher is fitted on them, on its own
+    pseudo labels that are consistent and on those of the blocker that it agrees with, cut to the classes' balance; the blocker, an encoder with
+    ``fit`` and ``encode``, is fitted on the same pairs and finds the candidates anew.  ``scorer`` has fit(labelled, records) and
+    score(pairs, records).
     """
 
-    def __init__(self, scorer, records: DataFrame, truth: DataFrame, budget: int, rounds: int = 10):
+    def __init__(self, scorer, records: DataFrame, truth: DataFrame, budget: int, rounds: int = 10, pseudo: bool = False, encoder=None, sides: tuple[DataFrame, DataFrame] | None = None, top_k: int = 5, gap: float = 0.01):
         self.scorer, self.records, self.truth, self.budget, self.rounds = scorer, records, truth, budget, rounds
+        self.pseudo, self.encoder, self.sides, self.top_k, self.gap = pseudo, encoder, sides, top_k, gap
+
+    def _block(self, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+        """Candidates and the blocker's pseudo labels."""
+        from matchloom.operators.blocking import embed_top_k
+
+        found = scratch.put("found", embed_top_k(*self.sides, self.encoder, self.top_k))
+        there = found.where("side = 'left'")
+        back = found.where("side = 'right'").select(F.col("rid").alias("lid"), F.col("lid").alias("rid"), "sim", "rank")
+        return found.select(*PAIR).distinct(), mutual_pseudo_labels(there.drop("side"), back, self.gap)
 
     def run(self, candidates: DataFrame, first: DataFrame) -> tuple[DataFrame, DataFrame]:
         """``(scores, labelled)`` of the candidates after the last round, from first scores (lid, rid, score)."""
         scratch = Scratch(candidates.sparkSession, "active")
-        scores, labelled, spent = scratch.put("scores", first.select(*PAIR, "score")), None, 0
+        scores, labelled, spent, guesses = scratch.put("scores", first.select(*PAIR, "score")), None, 0, None
         each = max(1, self.budget // self.rounds)
+        if self.encoder is not None:
+            pool, guesses = self._block(scratch)
+            candidates, guesses = scratch.put("pool", pool), scratch.put("guesses", guesses)
         while spent < self.budget:
             todo = scores if labelled is None else scores.join(labelled.select(*PAIR), PAIR, "left_anti")
             new = scratch.put("new", annotate(uncertain(todo, min(each, self.budget - spent)), self.truth))
@@ -154,6 +170,15 @@ class ActiveLoop:
             labelled = scratch.put("labelled", new.select(*PAIR, "label") if labelled is None else labelled.unionByName(new.select(*PAIR, "label")))
             if labelled.select("label").distinct().count() < 2:
                 continue
-            self.scorer.fit(labelled, self.records)
+            training = labelled
+            if self.pseudo:
+                own = scratch.put("own", consistent(matcher_pseudo_labels(scores).select(*PAIR, "label")))
+                picked = agreed_training(own if guesses is None else guesses, scores, own, labelled)
+                training = scratch.put("training", labelled.unionByName(balanced(picked, labelled).select(*PAIR, "label")))
+            self.scorer.fit(training, self.records)
+            if self.encoder is not None:
+                self.encoder.fit(training, self.records)
+                pool, guesses = self._block(scratch)
+                candidates, guesses = scratch.put("pool", pool), scratch.put("guesses", guesses)
             scores = scratch.put("scores", self.scorer.score(candidates, self.records).select(*PAIR, F.col("prob").alias("score")))
         return scores, labelled

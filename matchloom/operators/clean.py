@@ -186,25 +186,31 @@ def recover(edges: list[tuple], deleted: list[tuple], scores: dict, threshold: f
 def edge_recovery(preds: DataFrame, rescored: DataFrame, transitive: DataFrame, threshold: float = MATCH_THRESHOLD, most: int = COMPONENT_CAP) -> DataFrame:
     """``(lid, rid)`` of deleted edges that come back without a labeller.
 
-    Deleted are unchecked rows with prob 0 whose new score reaches the threshold.  Without a budget the
-    components of graph and deleted edges together are independent; those beyond the cap can't
-    bring back an edge across the cap, so each group is bounded by the pieces that still fit.
+    Deleted are unchecked rows with prob 0 whose new score reaches the threshold.  Without a budget an edge comes back only
+    if every transitive score of the merged component is high, and components only grow; so edges between
+    pieces of the graph with a low score between them are out from the start, as are edges whose pieces together exceed
+    the cap.  What is left falls into independent groups of pieces, which are taken in order one by one.
     """
     scratch = Scratch(preds.sparkSession, "recovery")
     gone = preds.where((F.col("prob") == 0) & (F.coalesce("manual_check_label", F.lit(-1)) < 0)).select(*PAIR)
     gone = scratch.put("gone", gone.join(rescored.where(F.col("prob") >= threshold).select(*PAIR), PAIR, "left_semi"))
     edges = scratch.put("edges", match_graph(preds, threshold).select(*PAIR))
     small = scratch.put("small", components(edges))
-    sizes = component_sizes(small)
-    # nodes of pieces already at the cap can't take part
-    full = small.join(sizes.where(F.col("size") >= most).select("component_id"), "component_id", "left_semi").select("id")
-    free = gone.join(full.select(F.col("id").alias("lid")), "lid", "left_anti").join(full.select(F.col("id").alias("rid")), "rid", "left_anti")
-    free = scratch.put("free", free)
-    kept = edges.join(full.select(F.col("id").alias("lid")), "lid", "left_anti")
-    union = scratch.put("union", kept.unionByName(free))
-    whole = scratch.put("whole", components(union))
-    touched = edges_of(free, whole).select("component_id").distinct()
-    e = edges_of(kept, whole).select("component_id", *PAIR, F.lit(0).alias("kind"), F.lit(None).cast("double").alias("prob"))
+    sized = scratch.put("sized", small.join(component_sizes(small), "component_id").select("id", F.col("component_id").alias("piece"), "size"))
+
+    def pieces(pairs: DataFrame) -> DataFrame:
+        out = pairs
+        for end in PAIR:
+            own = sized.select(F.col("id").alias(end), F.col("piece").alias(f"{end}_piece"), F.col("size").alias(f"{end}_size"))
+            out = out.join(own, end, "left").withColumns({f"{end}_piece": F.coalesce(f"{end}_piece", end), f"{end}_size": F.coalesce(f"{end}_size", F.lit(1))})
+        return out.withColumns({"x": F.least("lid_piece", "rid_piece"), "y": F.greatest("lid_piece", "rid_piece")})
+
+    low = pieces(transitive.where(F.col("prob") < threshold).select(*PAIR)).where("x <> y").select("x", "y").distinct()
+    fits = (F.col("x") != F.col("y")) & (F.col("lid_size") + F.col("rid_size") <= most)
+    free = scratch.put("free", pieces(gone).where(fits).join(low, ["x", "y"], "left_anti").select(*PAIR))
+    whole = scratch.put("whole", components(edges.unionByName(free)))
+    touched = scratch.put("touched", edges_of(free, whole).select("component_id").distinct())
+    e = edges_of(edges, whole).select("component_id", *PAIR, F.lit(0).alias("kind"), F.lit(None).cast("double").alias("prob"))
     d = edges_of(free, whole).select("component_id", *PAIR, F.lit(1).alias("kind"), F.lit(None).cast("double").alias("prob"))
     t = inside_components(transitive.where("prob is not null"), whole).select("component_id", *PAIR, F.lit(2).alias("kind"), "prob")
     rows = e.unionByName(d).unionByName(t).join(touched, "component_id", "left_semi")

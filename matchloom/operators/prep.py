@@ -69,6 +69,18 @@ def augment(tokens: DataFrame, kind: str, seed: int = 42) -> DataFrame:
     return tokens.select("id", ways[kind].alias("tokenized"))
 
 
+def training_set(pairs: DataFrame, tokens: DataFrame, kinds: tuple[str, ...] = ("identical", "del_token"), length: int = 128, seed: int = 42) -> DataFrame:
+    """``(lid, rid, label, kind, tokens, segment_ids, mask)``: labelled pairs as a model trains on them, once for each kind of change to the right record."""
+    out = None
+    for k, kind in enumerate(kinds):
+        changed = augment(tokens, kind, seed + k)
+        l, r = tokens.select(F.col("id").alias("lid"), F.col("tokenized").alias("a")), changed.select(F.col("id").alias("rid"), F.col("tokenized").alias("b"))
+        x = pairs.join(l, "lid").join(r, "rid").withColumn("s", build_sequence(F.col("a"), F.col("b"), length))
+        x = x.select(*PAIR, "label", F.lit(kind).alias("kind"), "s.tokens", "s.segment_ids", "s.mask")
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
 def augment_columns(records: DataFrame, columns: list[str], kind: str, seed: int = 42, id_col: str = "id") -> DataFrame:
     """``(id, cols, vals)``: attributes with one column dropped (del_col), two swapped (swap_col) or all shuffled (shuffle_col)."""
     entries = F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("string").alias("v"), F.md5(F.concat_ws("-", F.col(id_col).cast("string"), F.lit(c), F.lit(str(seed)))).alias("h")) for c in columns])

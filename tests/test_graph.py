@@ -190,6 +190,24 @@ def test_recovery_branches():
     assert clean.recover([(1, 2), (3, 4)], [(2, 3)], good, 0.5, 3, budget=4, labels={(1, 2): 1, (2, 3): 1, (3, 4): 1})[0] == [(2, 3)]
 
 
+def test_recovery_frames_match_the_rule(frame):
+    import random
+
+    rng = random.Random(17)
+    for _ in range(6):
+        nodes = range(14)
+        every = {(a, b) for a in nodes for b in nodes if a < b}
+        kept = set(rng.sample(sorted(every), 7))
+        gone = set(rng.sample(sorted(every - kept), 8))
+        scores = {e: float(rng.random() < 0.8) for e in every - kept - gone}
+        preds = frame([(*e, 1.0, "m", 1, -1) for e in kept] + [(*e, 0.0, "m", 1, -1) for e in gone], PREDS)
+        again = frame([(*e, 1.0) for e in gone], "lid long, rid long, prob double")
+        closing = frame([(*e, s) for e, s in scores.items()], "lid long, rid long, prob double")
+        got = {tuple(r) for r in clean.edge_recovery(preds, again, closing, 0.999, 6).collect()}
+        want, _, _ = clean.recover(sorted(kept), sorted(gone), scores, 0.999, 6)
+        assert got == set(want)
+
+
 def test_recovery_on_frames(frame):
     p = frame([(1, 2, 1.0, "x", 1, -1), (3, 4, 1.0, "x", 1, -1), (2, 3, 0.0, "x", 1, -1), (5, 6, 0.0, "x", 0, 0)], PREDS)
     rescored = votes(frame, [(2, 3, 1.0), (5, 6, 1.0)])

@@ -82,9 +82,10 @@ def test_negatives_are_new_distinct_and_both_ways(frame):
     taken = frame([(0, 1, 1), (2, 3, 1)], "lid long, rid long, label int")
     got = rows(splits.random_negatives(ids, taken, 20))
     one = {(a, b) for a, b, _ in got if a < b}
-    assert len(got) == 40 and len(one) == 20 and not one & {(0, 1), (2, 3)} and all((b, a, 0) in got for a, b in one)
+    assert len(got) == 20 and len(one) == 10 and not one & {(0, 1), (2, 3)} and all((b, a, 0) in got for a, b in one)
     out = splits.negatives_per_split(ids, {"train": taken, "test": frame([(4, 5, 1)], "lid long, rid long, label int")}, ratio=3)
-    assert out["test"].count() == 4 and out["train"].count() == 8
+    # two wanted for the one positive of test, four for the two of train
+    assert out["test"].count() == 2 and out["train"].count() == 4
 
 
 def test_entity_split_shares(frame):
@@ -102,6 +103,135 @@ def test_cosine_blocks_agree(frame):
     assert rows(blocking.cosine_top_k(v, v, 3)) == rows(blocking.cosine_top_k(v, v, 3, block=7))
 
 
+@pytest.mark.parametrize("source", [None, "src"])
+def test_top_overlap_matches_brute_force(frame, monkeypatch, source):
+    import itertools
+    import random
+
+    monkeypatch.setattr(blocking, "COMMON_ROWS", 8)
+    monkeypatch.setattr(blocking, "COMMON_SHARE", 0.05)
+    monkeypatch.setattr(blocking, "MOST_COMMON", 3)
+    rng = random.Random(31)
+    # common words a to f that nearly everyone has some of, rare ones, an empty text and a null
+    data = [(i, rng.choice("xyz"), " ".join(rng.sample("abcdef", rng.randrange(0, 6)) + [f"w{rng.randrange(60)}" for _ in range(rng.randrange(0, 3))])) for i in range(120)]
+    data += [(500, "x", None), (501, "y", "")]
+    got = {}
+    for r in blocking.top_token_overlap(frame(data, "id long, src string, t string"), "t", 4, source).collect():
+        got.setdefault(r["lid"], []).append((r["rank"], r["rid"], r["overlap"]))
+    bags = {i: (s, set((t or "").split())) for i, s, t in data}
+    for i, (s, bag) in bags.items():
+        near = sorted((-len(bag & b), j) for j, (o, b) in bags.items() if j != i and (source is None or o != s) and bag & b)[:4]
+        assert sorted(got.get(i, [])) == [(k + 1, j, -n) for k, (n, j) in enumerate(near)]
+
+
+def test_sliced_join_equals_join(frame):
+    from matchloom.functions.skew import sliced_join
+
+    a = frame([("hot", i) for i in range(30)] + [("cold", 1), ("none", 2)], "k string, a long")
+    b = frame([("hot", i) for i in range(40)] + [("cold", 7)], "k string, b long")
+    assert rows(sliced_join(a, b, ["k"], "b", 6)) == rows(a.join(b, "k")) and sliced_join(a, b.limit(0), ["k"], "b").count() == 0
+
+
+def test_cosine_both_sides_with_ties(frame):
+    import numpy as np
+
+    v = [[1.0, 0.0], [1.0, 0.0], [0.0, 1.0], [1.0, 1.0], [0.0, 0.0], None]
+    df = frame(list(enumerate(v)), "vec_id long, embedding array<double>")
+    assert rows(blocking.cosine_top_k(df, df, 1).select("lid", "rid")) == [(0, 1), (1, 0), (2, 3), (3, 0)]
+    both = rows(blocking.cosine_top_k_both(df.where("vec_id < 2"), df.where("vec_id >= 2"), 1).select("side", "lid", "rid"))
+    assert both == [("left", 0, 3), ("left", 1, 3), ("right", 0, 2), ("right", 0, 3)]
+    ids, sim = np.array([7, 3, 5, 1]), np.array([[0.5, 0.5, 0.9, 0.5], [0.1, 0.2, 0.2, 0.2]])
+    assert ids[blocking._block_best(ids, sim, 2)].tolist() == [[5, 1], [1, 3]]
+
+
+def test_splits_have_exact_shares(frame):
+    df = frame([(i, i + 1, i % 3 if i % 7 else None) for i in range(103)], "lid long, rid long, label int")
+    n = {r["split"]: r["count"] for r in splits.random_split(df, ["lid", "rid"]).groupBy("split").count().collect()}
+    assert n == {"train": 82, "val": 10, "test": 11}
+    strata = {(r["label"], r["split"]): r["count"] for r in splits.stratified_split(df, ["lid", "rid"]).groupBy("label", "split").count().collect()}
+    whole = {r["label"]: r["count"] for r in df.groupBy("label").count().collect()}
+    assert all(strata[k, "valid"] == n // 4 and strata[k, "train"] == n - n // 4 for k, n in whole.items())
+    hard = {r["split"]: r["count"] for r in splits.hard_negatives(df, {"train": 6, "test": 2, "val": 0}).groupBy("split").count().collect()}
+    assert hard == {"train": 77, "test": 26}
+
+
+def test_dataset_keeps_entities_apart(frame):
+    records = frame([(i, f"r{i}") for i in range(40)], "id long, name string")
+    parts = splits.build_dataset(records, frame([(i // 4, i) for i in range(36)] + [(None, 38)], "entity long, id long"))
+    assert parts["records"].count() == 36 and sum(parts[k].count() for k in ("train", "val", "test")) == 9 * 6
+    seen = [{i for r in parts[k].collect() for i in (r["lid"], r["rid"])} for k in ("train", "val", "test")]
+    assert not (seen[0] & seen[1] or seen[0] & seen[2] or seen[1] & seen[2])
+    more = splits.with_negatives(records, {k: parts[k] for k in ("train", "val")}, ratio=3)
+    assert more["train"].where("label = 0").count() == 2 * parts["train"].count()
+
+
+def test_consistency_matches_brute_force(frame):
+    import random
+
+    rng = random.Random(5)
+    pairs_ = {(rng.randrange(12), 100 + rng.randrange(9)) for _ in range(34)}
+    got = set(rows(active.consistent(frame([(a, b, 1) for a, b in pairs_] + [(1, 2, 0)], "lid long, rid long, label int")))) - {(1, 2, 0)}
+    own = {a: {b for x, b in pairs_ if x == a} for a, _ in pairs_}
+    want = set()
+    for a, rids in own.items():
+        near = [own[c] for c in own if own[c] & rids]
+        want |= {(a, b, 1) for b in (rids if len(rids) == 1 else set.intersection(*near) & rids)}
+    assert got == want
+
+
+def test_labeller_asks_in_batches_and_again(frame):
+    from matchloom.operators.labeling import FunctionLabeller
+
+    def load():
+        return {"calls": 0}
+
+    def ask(model, prompts):
+        assert len(prompts) <= 2
+        model["calls"] += 1
+        if model["calls"] == 1:
+            raise OSError("busy")
+        return ["Yes." if "same" in p else "no" for p in prompts]
+
+    recs = frame([(1, "same"), (2, "other"), (3, None), (4, "x"), (5, "same")], "id long, text string")
+    p = frame([(1, 2, -1), (3, 4, None), (2, 4, -1), (4, 5, -1), (1, 5, 0), (1, 9, -1)], "lid long, rid long, manual_check_label int")
+    got = FunctionLabeller(ask, "text", batch=2, prompt="{a} or {b}", load=load).label(p.coalesce(1), recs)
+    assert rows(got) == [(1, 2, 1), (2, 4, 0), (3, 4, 0), (4, 5, 1)]
+
+    def broken(prompts):
+        raise OSError("down")
+
+    with pytest.raises(Exception, match="down"):
+        FunctionLabeller(broken, "text").label(p, recs).collect()
+
+
+def test_encoders_and_padding(frame):
+    from matchloom.operators.scoring import HashEncoder, LearnedEncoder, padded
+
+    recs = frame([(i, f"common word{i % 5} noise{i}") for i in range(20)] + [(30, None), (31, "")], "id long, name string")
+    v = {r["id"]: r["v"] for r in HashEncoder(["name"], 64).encode(recs).collect()}
+    assert len(v) == 20 and all(abs(sum(x * x for x in u) - 1) < 1e-9 for u in v.values())
+    e = LearnedEncoder(["name"], 64).fit(frame([(i, i + 5, 1) for i in range(10)] + [(i, i + 6, 0) for i in range(10)], "lid long, rid long, label int"), recs)
+    w = {r["id"]: r["v"] for r in e.encode(recs).collect()}
+    dot = lambda u, a, b: sum(x * y for x, y in zip(u[a], u[b]))
+    assert dot(w, 0, 15) - dot(w, 0, 16) > dot(v, 0, 15) - dot(v, 0, 16)
+    assert padded([[1, 2, 3], [4]]).tolist() == [[1, 2, 3], [4, 0, 0]] and padded([]).shape == (0, 0)
+
+
+def test_active_loop_with_blocker(frame):
+    from matchloom.operators.scoring import LearnedEncoder
+
+    texts = [f"alpha{i} beta{i} {'gamma' if i % 2 else 'delta'}" for i in range(12)]
+    recs = frame([(i, t) for i, t in enumerate(texts)] + [(100 + i, t + " extra") for i, t in enumerate(texts)], "id long, text string")
+    sides = (recs.where("id < 100"), recs.where("id >= 100"))
+    truth = frame([(i, 100 + i, 1) for i in range(12)], "lid long, rid long, label int")
+    pairs_ = frame([(i, 100 + j) for i in range(12) for j in range(12) if (i - j) % 4 == 0], "lid long, rid long")
+    first = TokenScorer("text").score(pairs_, recs).withColumnRenamed("prob", "score")
+    loop = active.ActiveLoop(LearnedScorer("text"), recs, truth, 24, 2, pseudo=True, encoder=LearnedEncoder(["text"], 256), sides=sides, top_k=3)
+    scores, labelled = loop.run(pairs_, first)
+    got = {(r["lid"], r["rid"]): r["score"] for r in scores.collect()}
+    assert labelled.count() <= 24 and min(got[i, 100 + i] for i in range(12)) > max(s for (a, b), s in got.items() if b - a != 100)
+
+
 def test_rules_skip_nulls(frame):
     r = frame([(1, "a b", 2000), (2, "b c", 2000), (3, "d", 2001), (4, None, None)], "id long, t string, y int")
     p = frame([(1, 2), (1, 3), (1, 4)], "lid long, rid long")
