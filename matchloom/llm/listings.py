@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from matchloom.functions.skew import lookup_join, sliced_join
 from matchloom.llm.groups import group_pairs, hash_to_min
 from matchloom.llm.listing_forms import fields, models_agree, read_listing, stated_brand, title_words
-from matchloom.llm.name_forms import within
 from matchloom.session import Scratch
 
 ATTRIBUTES = ["mp", "zoom", "screen", "battery", "iso", "fps", "video", "sensor"]
@@ -26,8 +25,8 @@ ATTRIBUTES = ["mp", "zoom", "screen", "battery", "iso", "fps", "video", "sensor"
 MEASURES = [*ATTRIBUTES, "g0", "g1"]
 #: A brand that at least so many listings state is looked for in titles.
 BRAND_COUNT = 3
-#: Evidence beyond log(listings) that listings without a common model name need.
-MARGIN = 5.0
+#: Evidence beyond log(listings) that listings without a common model name need: chance alone would call for about 5, and measures of one brand go together.
+MARGIN = 8.0
 #: Share of the weight of all that both state that must agree.
 CONTAINMENT = 1.0
 
@@ -113,37 +112,40 @@ def prefix_tokens(need: float) -> Column:
 def listing_links(rows: DataFrame, n: int, margin: float = MARGIN, containment: float = CONTAINMENT) -> DataFrame:
     """``(lid, rid)``, lid < rid: listings of which enough agrees in what both state, and that share enough.
 
-    The tokens are joined with ids alone, those of many listings in slices; a pair that meets at several tokens is verified once.
+    The tokens of the prefixes are joined, those of many listings in slices, with the id and the listing's measures as numbers:
+    most pairs that meet contradict each other and go no further.
     """
     scratch = Scratch(rows.sparkSession, "links")
     need = math.log(max(n, 3)) + margin
-    keyed = rows.select("id", "brand", F.explode(prefix_tokens(need)).alias("e")).select("id", F.concat_ws("|", "brand", "e.t").alias("key"))
-    keyed = scratch.put("prefix", keyed)
-    met = sliced_join(keyed.select("key", F.col("id").alias("lid")), keyed.select("key", F.col("id").alias("rid")), ["key"], "rid").where("lid < rid")
-    met = scratch.put("met", met.select("lid", "rid").distinct())
-    body = scratch.put("bodies", rows.select("id", "models", *MEASURES, F.array(*[F.element_at("w", F.col(a)) for a in MEASURES]).alias("w")))
-    fields_ = ["models", *MEASURES, "w"]
-    pairs = met.join(body.select(F.col("id").alias("lid"), F.struct(*fields_).alias("a")), "lid").join(body.select(F.col("id").alias("rid"), F.struct(*fields_).alias("b")), "rid")
+    codes = [F.xxhash64(m).alias(f"c_{m}") for m in MEASURES]
+    weights = [F.element_at("w", F.col(m)).cast("float").alias(f"w_{m}") for m in MEASURES]
+    coded = [F.when(F.col(m).isNotNull(), c).alias(f"c_{m}") for m, c in zip(MEASURES, codes)]
+    keyed = rows.select("id", "brand", *coded, *weights, F.transform("models", lambda m: F.xxhash64(m)).alias("models"), F.explode(prefix_tokens(need)).alias("e"))
+    keyed = scratch.put("prefix", keyed.withColumn("key", F.xxhash64("brand", "e.t")).drop("brand", "e"))
+    x = keyed.select("key", *[F.col(c).alias(f"a_{c}") for c in keyed.columns if c != "key"])
+    y = keyed.select("key", *[F.col(c).alias(f"b_{c}") for c in keyed.columns if c != "key" and not c.startswith("w_")])
     agree, clash = F.lit(0.0), F.lit(0.0)
-    for i, m in enumerate(MEASURES):
-        same = F.col(f"a.{m}") == F.col(f"b.{m}")
-        weight = F.col("a.w")[i]
+    for m in MEASURES:
+        same, weight = F.col(f"a_c_{m}") == F.col(f"b_c_{m}"), F.col(f"a_w_{m}")
         agree = agree + F.when(same, weight).otherwise(0.0)
         if m in ATTRIBUTES:
             clash = clash + F.when(~same, F.greatest(weight, F.lit(1e-3))).otherwise(0.0)
     # two weights that differ on both grids
-    clash = clash + F.when((F.col("a.g0") != F.col("b.g0")) & (F.col("a.g1") != F.col("b.g1")), 1.0).otherwise(0.0)
-    named = F.size(F.array_intersect("a.models", "b.models")) > 0
-    rated = pairs.select("lid", "rid", named.alias("named"), agree.alias("agree"), clash.alias("clash"), F.col("a.models").alias("ma"), F.col("b.models").alias("mb"))
+    clash = clash + F.when((F.col("a_c_g0") != F.col("b_c_g0")) & (F.col("a_c_g1") != F.col("b_c_g1")), 1.0).otherwise(0.0)
+    met = sliced_join(x, y, ["key"], "b_id").where("a_id < b_id")
+    rated = met.select(F.col("a_id").alias("lid"), F.col("b_id").alias("rid"), agree.alias("agree"), clash.alias("clash"), F.arrays_overlap("a_models", "b_models").alias("named"))
     # a common model name stands for all the weight; without one the measures alone must reach the bound
-    kept = rated.where((F.col("agree") >= containment * (F.col("agree") + F.col("clash"))) & (F.col("named") | (F.col("agree") >= need)))
+    kept = rated.where((F.col("agree") >= containment * (F.col("agree") + F.col("clash"))) & (F.col("named") | (F.col("agree") >= need - 1e-3)))
+    kept = scratch.put("kept", kept.select("lid", "rid", "named").distinct())
+    scratch.drop("prefix")
+    unnamed = kept.where(~F.col("named")).join(rows.select(F.col("id").alias("lid"), F.col("models").alias("ma")), "lid").join(rows.select(F.col("id").alias("rid"), F.col("models").alias("mb")), "rid")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            ok = [x or models_agree(list(p), list(q), within) in ("open", "near") for x, p, q in zip(b["named"], b["ma"], b["mb"])]
+            ok = [models_agree(list(p), list(q)) in ("open", "near") for p, q in zip(b["ma"], b["mb"])]
             yield b.loc[ok, ["lid", "rid"]]
 
-    return kept.select("lid", "rid", "named", "ma", "mb").mapInPandas(verify, "lid long, rid long")
+    return kept.where("named").select("lid", "rid").unionByName(unnamed.select("lid", "rid", "ma", "mb").mapInPandas(verify, "lid long, rid long"))
 
 
 def star_clusters(links: DataFrame) -> DataFrame:
