@@ -93,8 +93,9 @@ class HashEncoder:
     def encode(self, records: DataFrame, id_col: str = "id") -> DataFrame:
         """``(id, v)`` of length one for every record with a word; of several rows of an id the smallest values count."""
         one = records.groupBy(F.col(id_col).alias("id")).agg(*[F.min(F.col(c).cast("string")).alias(c) for c in self.columns])
-        w = one.select("id", F.explode(F.array_distinct(words(F.concat_ws(" ", *self.columns)))).alias("w")).withColumn("h", F.xxhash64("w"))
-        sums = w.groupBy("id", F.pmod("h", F.lit(self.dims)).cast("int").alias("d")).agg(F.sum(F.when(F.shiftright("h", 40).bitwiseAND(F.lit(1)) == 1, 1.0).otherwise(-1.0)).alias("x"))
+        w = one.select("id", F.explode(F.array_distinct(words(F.concat_ws(" ", *self.columns)))).alias("w")).withColumn("h", F.conv(F.substring(F.md5("w"), 1, 8), 16, 10).cast("long"))
+        sign = F.when(F.shiftright("h", 20).bitwiseAND(F.lit(1)) == 1, 1.0).otherwise(-1.0)
+        sums = w.groupBy("id", F.pmod("h", F.lit(self.dims)).cast("int").alias("d")).agg(F.sum(sign).alias("x"))
         m = sums.where("x <> 0").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("d", "x"))).alias("m"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
         v = F.transform(F.sequence(F.lit(0), F.lit(self.dims - 1)), lambda d: F.coalesce(F.element_at("m", d), F.lit(0.0)) / F.col("norm"))
         return m.select("id", v.alias("v"))

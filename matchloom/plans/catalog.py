@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matchloom.functions import text as T
-from matchloom.operators import active, blocking, clean, graph, metrics, pairs, prep, splits
+from matchloom.operators import active, blocking, clean, graph, metrics, pairs, prep, scoring, splits
 from matchloom.operators.labeling import label_summary, oracle_label
 from matchloom.operators.scoring import TokenScorer
 from matchloom.plans.pipeline import CleanUp
@@ -146,6 +146,43 @@ def json_to_text(spark, sf):
     return Tables(spark, sf).events.select("event_id", text.alias("text"))
 
 
+@query
+def sink_round_trip(spark, sf):
+    """Pairs written and read again in each format."""
+    p = pairs.distinct_pairs(Tables(spark, sf).test)
+    at, out = Scratch(spark, "sinks").base, None
+    for fmt in ("csv", "json", "parquet", "orc"):
+        src.write_table(p, f"{at}/{fmt}", fmt)
+        x = src.read_table(spark, f"{at}/{fmt}", fmt, "lid long, rid long").select(F.lit(fmt).alias("fmt"), "lid", "rid")
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+@query
+def stage_resume(spark, sf):
+    """Where a run goes on: behind the iterations of which all parts are complete; a stage that is there is not made again."""
+    p = pairs.distinct_pairs(Tables(spark, sf).test)
+    s = src.Stages(spark, Scratch(spark, "resume").base, ("preds", "edges"))
+    for part, i in (("preds", 0), ("edges", 0), ("preds", 1)):
+        src.write_table(p, s.path(part, i))
+    made = src.materialize(spark, s.path("preds", 0), lambda: p.limit(0))
+    return made.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("next_iteration", F.lit(s.next_iteration(3)))
+
+
+@query
+def first_as_id(spark, sf):
+    return prep.first_as_id(Tables(spark, sf).nation.select("n_nationkey", "n_name"))
+
+
+@query
+def entity_records(spark, sf):
+    """Records of the entities of one split, as a scan of test entities gives them."""
+    t = Tables(spark, sf)
+    members = Scratch(spark, "entities").put("e", t.entities())
+    test = splits.entity_split(members).where("split = 'test'").select("entity")
+    return t.records().join(members.join(test, "entity", "left_semi"), "id").select("entity", "id", "data_source_id", "external_id")
+
+
 # record preparation
 
 
@@ -366,7 +403,7 @@ def block_cosine_topk(spark, sf):
 @query
 def block_cosine_both(spark, sf):
     e = Tables(spark, sf).embeddings
-    return blocking.cosine_top_k_both(e.where("vec_id % 2 = 0"), e.where("vec_id % 2 = 1"), 3).withColumn("sim", F.round("sim", 5))
+    return blocking.cosine_top_k_both(e, e, 3).withColumn("sim", F.round("sim", 5))
 
 
 @query
@@ -374,7 +411,7 @@ def block_embed_topk(spark, sf):
     from matchloom.operators.scoring import HashEncoder
 
     r = Tables(spark, sf).records()
-    return blocking.embed_top_k(r.where("data_source_id = '1'"), r.where("data_source_id = '2'"), HashEncoder(["name", "city"]), 3).withColumn("sim", F.round("sim", 5))
+    return blocking.embed_top_k(r.where("data_source_id = '1'"), r.where("data_source_id <> '1'"), HashEncoder(["name", "city"]), 3).withColumn("sim", F.round("sim", 5))
 
 
 @query
@@ -388,6 +425,26 @@ def mutual_nn_pseudo_labels(spark, sf):
     return active.mutual_pseudo_labels(x, x, 0.02)
 
 
+@query
+def explode_candidates(spark, sf):
+    return blocking.explode_candidates(src.adjacency(Tables(spark, sf).train))
+
+
+@query
+def retire_searches(spark, sf):
+    s = Scratch(spark, "retire").put("s", _cosine(spark, sf, 10))
+    return blocking.retire(s.withColumn("pred", (F.col("sim") >= 0.3).cast("int")), 3, 0.1, 10)
+
+
+@query
+def search_depth(spark, sf):
+    """Per left record: how deep the search went and what it found, for a matcher that accepts a similarity."""
+    t = Tables(spark, sf)
+    ranked = Scratch(spark, "ranked").put("r", blocking.top_token_overlap(t.records(), "name", 10, "data_source_id").withColumn("sim", F.col("overlap").cast("double")))
+    found = blocking.search_depth(ranked, TokenScorer("name"), t.companies, 5, 10, 0.0, 2.0)
+    return found.groupBy("lid").agg(F.count(F.lit(1)).alias("n"), F.max("rank").alias("depth"), F.max("pred").alias("pred"))
+
+
 # scoring
 
 
@@ -406,6 +463,32 @@ def score_containment(spark, sf):
     return _titles(spark, sf, "containment")
 
 
+@query
+def prediction_log(spark, sf):
+    t = Tables(spark, sf)
+    scored = TokenScorer("page_title").score(t.val, t.camera)
+    return scoring.prediction_log(scored, pairs.attach_label(scored, t.val), 0.5).withColumn("prediction_proba", F.round("prediction_proba", 6))
+
+
+@query
+def predictions_from_log(spark, sf):
+    t = Tables(spark, sf)
+    scored = TokenScorer("page_title").score(t.val, t.camera)
+    log = scoring.prediction_log(scored, pairs.attach_label(scored, t.val))
+    return pairs.from_log(log, scored.select("lid", "rid", F.lit("text_match").alias("match_type"))).withColumn("prob", F.round("prob", 6))
+
+
+@query
+def learned_scorer(spark, sf):
+    """One row: whether a scorer learnt from the train pairs puts true pairs of val above wrong ones on average, and its probabilities out of range."""
+    t = Tables(spark, sf)
+    truth = pairs.canonical(t.train.where("label is not null"), drop_loops=True).groupBy("lid", "rid").agg(F.max("label").alias("label"))
+    scorer = scoring.LearnedScorer("page_title").fit(truth, t.camera)
+    s = pairs.attach_label(scorer.score(t.val, t.camera), t.val)
+    mean = lambda y: F.avg(F.when(F.col("label") == y, F.col("prob")))
+    return s.agg((mean(1) > mean(0)).alias("separates"), F.count(F.when(~F.col("prob").between(0, 1), 1)).alias("out_of_range"))
+
+
 # graph
 
 
@@ -524,8 +607,15 @@ def shortest_paths(spark, sf):
 
 @query
 def select_edges_to_label(spark, sf):
-    preds, _, members, scored = Tables(spark, sf).state()
-    return clean.select_edges(preds, scored, members, 100)
+    """One row on the edges chosen for a budget of 100: whether there are some and no more than that, chosen rows that are no edge or in a component without a negative, and places out of order."""
+    preds, edges, members, scored = Tables(spark, sf).state()
+    chosen = Scratch(spark, "chosen").put("chosen", clean.select_edges(preds, scored, members, 100))
+    votes = graph.transitive_votes(scored, members).where("negative > 0")
+    odd = chosen.join(edges.select("lid", "rid"), ["lid", "rid"], "left_anti").agg(F.count(F.lit(1)).alias("not_edges"))
+    quiet = chosen.join(votes, "component_id", "left_anti").agg(F.count(F.lit(1)).alias("without_negative"))
+    w = Window.orderBy("place")
+    order = chosen.join(votes, "component_id").withColumn("before", F.lag("negative").over(w)).agg(F.count(F.when(F.col("before") < F.col("negative"), 1)).alias("out_of_order"))
+    return chosen.agg(F.count(F.lit(1)).between(1, 100).alias("within_budget")).crossJoin(odd).crossJoin(quiet).crossJoin(order)  # one row each
 
 
 @query
@@ -609,11 +699,6 @@ def _recovery(spark, sf):
 
 @query
 def edge_recovery(spark, sf):
-    return clean.edge_recovery(*_recovery(spark, sf))
-
-
-@query
-def edge_recovery_checks(spark, sf):
     """One row: whether edges came back, how many of them the scorer rejects or were no deleted edge, and how many components exceed the cap."""
     cut, rescored, closing = _recovery(spark, sf)
     back = Scratch(spark, "recovered").put("back", clean.edge_recovery(cut, rescored, closing))
@@ -625,8 +710,15 @@ def edge_recovery_checks(spark, sf):
 
 @query
 def clean_match_graph(spark, sf):
+    """The stages of the whole clean-up: rows that count (the same in each), labels beyond the budget of the iterations, and the first stage's counts."""
     t = Tables(spark, sf)
-    return CleanUp(TokenScorer("name", cut=0.5), t.companies).run(t.pairwise_matches_preds.select(*PREDS)).stages
+    cleaned = CleanUp(TokenScorer("name", cut=0.5), t.companies).run(t.pairwise_matches_preds.select(*PREDS))
+    s = Scratch(spark, "stages").put("stages", cleaned.stages)
+    start = s.where("step = 0").select(F.col("labeled_pairs").alias("l0"))
+    early = F.col("stage").startswith("iteration")
+    counted = F.col("true_positives") + F.col("false_positives") + F.col("true_negatives") + F.col("false_negatives")
+    first = {c: F.when(F.col("step") == 0, F.col(c)).alias(c) for c in ("true_positives", "false_positives", "negative_transitive_preds", "positive_transitive_preds")}
+    return s.crossJoin(start).select("step", "stage", counted.alias("counted"), (early & (F.col("labeled_pairs") - F.col("l0") > 500)).alias("over_budget"), *first.values())  # one row
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
@@ -697,6 +789,25 @@ def metrics_candidate_recall(spark, sf):
     return metrics.candidate_recall(t.test.where("label = 1"), t.pairwise_matches_preds)
 
 
+@query
+def metrics_stage_report(spark, sf):
+    from matchloom.plans.pipeline import report
+
+    truth, _, preds = _truth_and_found(spark, sf)
+    return report(truth, {"before": preds})
+
+
+@query
+def metrics_budget_curve(spark, sf):
+    """Budget against score: labels spent at thresholds of the prediction, and the precision left."""
+    preds = Tables(spark, sf).preds().where("label is not null and prob is not null")
+    cut = preds.select("label", "prob", F.explode(F.array(*[F.lit(x / 10) for x in range(5, 10)])).alias("cut"))
+    checked = F.col("prob").between(0.5, F.col("cut"))
+    hit = checked & (F.col("label") == 1) | (F.col("prob") > F.col("cut"))
+    x = cut.groupBy("cut").agg(F.count(F.when(checked, 1)).alias("spent"), F.count(F.when(hit & (F.col("label") == 1), 1)).alias("tp"), F.count(F.when(hit, 1)).alias("kept"))
+    return x.select("cut", "spent", F.round(F.try_divide("tp", "kept"), 6).alias("precision"))
+
+
 @query
 def metrics_threshold_scan(spark, sf):
     return active.threshold_scan(Tables(spark, sf).preds().where("label is not null and prob is not null").select(F.col("prob").alias("score"), "label"), F.col("score"))
@@ -769,6 +880,39 @@ def positive_threshold(spark, sf):
     return active.positive_threshold(_scored(spark, sf).withColumnRenamed("score", "sim")).select(F.round("threshold", 6).alias("threshold"))
 
 
+@query
+def training_rows(spark, sf):
+    from matchloom.operators.labeling import training_rows as rows
+
+    preds = Tables(spark, sf).preds()
+    return rows(oracle_label(preds, preds.where("prob > 0.5 and prob <= 0.999")), True).select("lid", "rid", "label")
+
+
+@query
+def agreed_training(spark, sf):
+    s = _scored(spark, sf)
+    blocker = s.select("lid", "rid", (F.col("score") >= 0.3).cast("int").alias("label"))
+    return active.agreed_training(blocker, s, active.matcher_pseudo_labels(s.drop("label")), s.where("score between 0.45 and 0.55"))
+
+
+@query
+def balanced_training(spark, sf):
+    s = _scored(spark, sf)
+    return active.balanced(active.matcher_pseudo_labels(s.drop("label")).select("lid", "rid", "label"), s.where("score between 0.49 and 0.51").select("lid", "rid", "label"))
+
+
+@query
+def active_loop(spark, sf):
+    """One row: labels spent, whether both classes were met, and candidates left without a score."""
+    t = Tables(spark, sf)
+    candidates = pairs.distinct_pairs(t.val)
+    first = TokenScorer("page_title").score(candidates, t.camera).withColumnRenamed("prob", "score")
+    truth = pairs.canonical(t.val, drop_loops=True)
+    scores, labelled = active.ActiveLoop(scoring.LearnedScorer("page_title"), t.camera, truth, 100, 2, pseudo=True).run(candidates, first)
+    left = first.join(scores.select("lid", "rid"), ["lid", "rid"], "left_anti").agg(F.count(F.lit(1)).alias("unscored"))
+    return labelled.agg(F.count(F.lit(1)).alias("spent"), (F.countDistinct("label") == 2).alias("both_classes")).crossJoin(left)  # one row each
+
+
 @query
 def annotate_samples(spark, sf):
     t = Tables(spark, sf)

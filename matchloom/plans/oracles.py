@@ -64,11 +64,12 @@ def checks(chosen: str) -> str:
       FROM preds p LEFT JOIN members m ON m.id = p.lid) p"""
 
 
-def jaccard(whole: str) -> str:
+def jaccard(whole: str, columns: str = "p.lid, p.rid, round({0}, 6) AS prob", more: str = "") -> str:
+    value = f"coalesce(len(list_intersect(a.w, b.w)) / nullif({whole}, 0), 0)"
     return f"""
     WITH p AS ({distinct_pairs('val')}), t AS (SELECT id, list_distinct({WORDS.format('min(page_title)')}) AS w FROM camera GROUP BY id)
-    SELECT p.lid, p.rid, round(coalesce(len(list_intersect(a.w, b.w)) / nullif({whole}, 0), 0), 6) AS prob
-    FROM p JOIN t a ON a.id = p.lid JOIN t b ON b.id = p.rid"""
+    SELECT {columns.format(value)}
+    FROM p JOIN t a ON a.id = p.lid JOIN t b ON b.id = p.rid {more}"""
 
 
 UNIT = """unit AS (SELECT vec_id AS id, [x / sqrt(list_sum([y * y for y in CAST(embedding AS DOUBLE[])])) for x in CAST(embedding AS DOUBLE[])] AS v FROM embeddings
@@ -241,7 +242,7 @@ ORACLES = {
     "score_containment": jaccard("least(len(a.w), len(b.w))"),
     "graph_edges": f"WITH {EDGES} SELECT * FROM edges",
     "block_cosine_both": f"""
-        WITH {UNIT}, sims AS (SELECT a.id AS lid, b.id AS rid, round(list_dot_product(a.v, b.v), 9) AS sim FROM unit a JOIN unit b ON a.id % 2 = 0 AND b.id % 2 = 1),
+        WITH {UNIT}, sims AS (SELECT a.id AS lid, b.id AS rid, round(list_dot_product(a.v, b.v), 9) AS sim FROM unit a JOIN unit b ON a.id <> b.id),
         l AS (SELECT lid, rid, sim, row_number() OVER (PARTITION BY lid ORDER BY sim DESC, rid) AS rank FROM sims), r AS (SELECT lid, rid, sim, row_number() OVER (PARTITION BY rid ORDER BY sim DESC, lid) AS rank FROM sims)
         SELECT lid, rid, round(sim, 5) AS sim, CAST(rank AS INTEGER) AS rank, 'left' AS side FROM l WHERE rank <= 3 UNION ALL SELECT lid, rid, round(sim, 5), CAST(rank AS INTEGER), 'right' FROM r WHERE rank <= 3""",
     "graph_components_rounds": f"WITH RECURSIVE {MEMBERS} SELECT id, component_id FROM members",
@@ -260,8 +261,67 @@ ORACLES = {
         WITH RECURSIVE {STATE}, bad AS (SELECT DISTINCT component_id FROM scored WHERE prob < 0.999),
         checked AS (SELECT DISTINCT m.component_id FROM edges e JOIN members m ON m.id = e.lid WHERE e.manual_check_label >= 0)
         SELECT component_id, component_id IN (SELECT component_id FROM bad) AS split FROM sizes WHERE size <= 50 AND component_id NOT IN (SELECT component_id FROM checked)""",
+    "select_edges_to_label": "SELECT true AS within_budget, 0 AS not_edges, 0 AS without_negative, 0 AS out_of_order",
+    "clean_match_graph": f"""
+        WITH RECURSIVE {STATE}, c AS (SELECT count(*) FILTER (WHERE prob IS NOT NULL AND label IS NOT NULL) AS counted, count(*) FILTER (WHERE prob >= 0.999 AND label = 1) AS tp, count(*) FILTER (WHERE prob >= 0.999 AND label = 0) AS fp FROM preds),
+        v AS (SELECT count(*) FILTER (WHERE prob < 0.999) AS q, count(*) FILTER (WHERE prob >= 0.999) AS p FROM scored),
+        s AS (SELECT unnest(range(9)) AS step, unnest(['start', 'iteration 1', 'iteration 2', 'iteration 3', 'iteration 4', 'iteration 5', 'post clean-up', 'checks', 'recovery']) AS stage)
+        SELECT step, stage, counted, false AS over_budget, CASE WHEN step = 0 THEN tp END AS true_positives, CASE WHEN step = 0 THEN fp END AS false_positives,
+          CASE WHEN step = 0 THEN q END AS negative_transitive_preds, CASE WHEN step = 0 THEN p END AS positive_transitive_preds FROM s, c, v""",
+    "sink_round_trip": f"SELECT fmt, lid, rid FROM ({distinct_pairs('test')}), (SELECT unnest(['csv', 'json', 'parquet', 'orc']) AS fmt)",
+    "stage_resume": f"SELECT count(*) AS n_rows, 1 AS next_iteration FROM ({distinct_pairs('test')})",
+    "first_as_id": "SELECT n_nationkey AS id, n_name FROM nation",
+    "entity_records": f"""
+        WITH {RECORDS}, e AS (SELECT DISTINCT c.id, m.gen_id AS entity FROM companies c JOIN companies_master_mapping_seed_0 m ON upper(trim(c.external_id)) = upper(trim(m.external_id)) AND c.data_source_id = m.data_source_id WHERE gen_id IS NOT NULL),
+        k AS (SELECT entity, row_number() OVER (ORDER BY entity) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT entity FROM e))
+        SELECT entity, id, data_source_id, external_id FROM records JOIN e USING (id) JOIN k USING (entity) WHERE k >= floor(n * 0.8)""",
+    "explode_candidates": "SELECT lid, rid, CAST(row_number() OVER (PARTITION BY lid ORDER BY rid) AS INTEGER) AS rank FROM (SELECT DISTINCT lid, rid FROM train WHERE lid IS NOT NULL AND rid IS NOT NULL)",
+    "retire_searches": f"""
+        WITH {UNIT}, sims AS (SELECT a.id AS lid, b.id AS rid, round(list_dot_product(a.v, b.v), 9) AS sim FROM unit a JOIN unit b ON a.id <> b.id),
+        s AS (SELECT lid, rid, round(sim, 5) AS sim FROM sims QUALIFY row_number() OVER (PARTITION BY lid ORDER BY sim DESC, rid) <= 10),
+        p AS (SELECT lid, sim, CAST(sim >= 0.3 AS INTEGER) AS pred, row_number() OVER (PARTITION BY lid ORDER BY sim, rid DESC) AS n FROM s),
+        g AS (SELECT lid, max(pred) AS any_, max(CASE WHEN n <= 3 THEN pred END) AS tail, count(*) AS n, min(sim) AS low FROM p GROUP BY lid)
+        SELECT lid AS id FROM g WHERE (any_ = 1 AND tail = 0) OR (any_ = 0 AND (n >= 10 OR low < 0.1))""",
+    "search_depth": f"""
+        WITH {RECORDS}, r AS (SELECT * FROM records), tokens AS (SELECT DISTINCT id, data_source_id AS s, unnest({WORDS.format('name')}) AS token FROM r),
+        counts AS (SELECT a.id AS lid, b.id AS rid, count(*) AS overlap FROM tokens a JOIN tokens b ON a.token = b.token AND a.id <> b.id AND a.s <> b.s GROUP BY ALL),
+        t AS (SELECT lid, row_number() OVER (PARTITION BY lid ORDER BY overlap DESC, rid) AS rank FROM counts QUALIFY row_number() OVER (PARTITION BY lid ORDER BY overlap DESC, rid) <= 10)
+        SELECT lid, count(*) AS n, CAST(max(rank) AS INTEGER) AS depth, 0 AS pred FROM t GROUP BY lid""",
+    "prediction_log": jaccard("len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))", "p.lid AS lids, p.rid AS rids, coalesce(y.label, 0) AS labels, CAST({0} >= 0.5 AS INTEGER) AS predictions, round({0}, 6) AS prediction_proba",
+        "LEFT JOIN (SELECT least(lid, rid) AS lid, greatest(lid, rid) AS rid, max(label) AS label FROM val GROUP BY 1, 2) y ON y.lid = p.lid AND y.rid = p.rid"),
+    "predictions_from_log": jaccard("len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))", "p.lid, p.rid, round({0}, 6) AS prob, 'text_match' AS match_type"),
+    "learned_scorer": "SELECT true AS separates, 0 AS out_of_range",
+    "active_loop": "SELECT 100 AS spent, true AS both_classes, 0 AS unscored",
+    "training_rows": f"WITH {PREDS} SELECT lid, rid, label FROM preds WHERE CASE WHEN prob > 0.5 AND prob <= 0.999 AND label IS NOT NULL THEN label ELSE coalesce(manual_check_label, -1) END = 0",
+    "agreed_training": PSEUDO + """, b AS (SELECT lid, rid, CAST(score >= 0.3 AS INTEGER) AS label FROM scored WHERE CAST(score > 0.5 AS INTEGER) = CAST(score >= 0.3 AS INTEGER)),
+        u AS (SELECT lid, rid, label, 0 AS p FROM b UNION ALL SELECT lid, rid, label, 1 FROM pseudo WHERE label IS NOT NULL),
+        o AS (SELECT lid, rid, label FROM u QUALIFY row_number() OVER (PARTITION BY lid, rid ORDER BY p) = 1)
+        SELECT o.lid, o.rid, o.label FROM o WHERE NOT EXISTS (SELECT 1 FROM scored s WHERE s.lid = o.lid AND s.rid = o.rid AND s.score BETWEEN 0.45 AND 0.55)""",
+    "balanced_training": PSEUDO + """, c AS (SELECT count(*) FILTER (WHERE label = 1) AS p, count(*) FILTER (WHERE label = 0) AS q FROM scored WHERE score BETWEEN 0.49 AND 0.51),
+        r AS (SELECT lid, rid, label, row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws('-', CAST(lid AS VARCHAR), CAST(rid AS VARCHAR))), lid, rid) AS n FROM pseudo WHERE label IS NOT NULL)
+        SELECT lid, rid, label FROM r, c WHERE (label = 1 AND n <= 3 * p) OR (label = 0 AND p > 0 AND n <= 3 * q)""",
+    "metrics_stage_report": CONFUSION.replace("WITH ", "WITH RECURSIVE ", 1).replace(PREDS, MEMBERS)
+    + """, c AS (SELECT count(*) FILTER (WHERE outcome = 'tp') AS tp, count(*) FILTER (WHERE outcome = 'fp') AS fp, count(*) FILTER (WHERE outcome = 'fn') AS fn FROM outcomes),
+        r AS (SELECT *, round(tp * 100.0 / nullif(tp + fp, 0), 2) AS precision, round(tp * 100.0 / nullif(tp + fn, 0), 2) AS recall FROM c),
+        h AS (SELECT a.component_id, count(*) AS hits FROM preds p JOIN members a ON a.id = p.lid JOIN members b ON b.id = p.rid AND a.component_id = b.component_id WHERE p.label = 1 GROUP BY 1),
+        u AS (SELECT round(sum(coalesce(hits, 0) / (size * (size - 1) / 2) * size) / sum(size), 6) AS purity FROM sizes LEFT JOIN h USING (component_id) WHERE size > 1)
+        SELECT 'before' AS stage, r.*, round(2 * precision * recall / nullif(precision + recall, 0), 2) AS f1, purity FROM r, u""",
+    "metrics_budget_curve": f"""
+        WITH {PREDS}, p AS (SELECT label, prob, c / 10.0 AS cut FROM preds, range(5, 10) r(c) WHERE label IS NOT NULL AND prob IS NOT NULL),
+        x AS (SELECT CAST(cut AS DOUBLE) AS cut, count(*) FILTER (WHERE prob BETWEEN 0.5 AND cut) AS spent, count(*) FILTER (WHERE prob >= 0.5 AND label = 1 AND (prob <= cut OR prob > cut)) AS tp,
+          count(*) FILTER (WHERE (prob BETWEEN 0.5 AND cut AND label = 1) OR prob > cut) AS kept FROM p GROUP BY cut)
+        SELECT cut, spent, round(tp / nullif(kept, 0), 6) AS precision FROM x""",
+    "block_embed_topk": f"""
+        WITH {RECORDS}, w AS (SELECT id, unnest(list_distinct({WORDS.format("concat_ws(' ', name, city)")})) AS w FROM records), h AS (SELECT id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) AS h FROM w),
+        x AS (SELECT id, h % 128 AS d, sum(CASE WHEN (h >> 20) & 1 = 1 THEN 1.0 ELSE -1.0 END) AS x FROM h GROUP BY ALL), n AS (SELECT id, sqrt(sum(x * x)) AS n FROM x GROUP BY id),
+        u AS (SELECT x.id, d, CAST(x AS DOUBLE) / n AS x FROM x JOIN n USING (id) WHERE n > 0),
+        l AS (SELECT DISTINCT n.id FROM n JOIN records r USING (id) WHERE data_source_id = '1' AND n > 0), r AS (SELECT DISTINCT n.id FROM n JOIN records r USING (id) WHERE data_source_id <> '1' AND n > 0),
+        dots AS (SELECT a.id AS lid, b.id AS rid, sum(a.x * b.x) AS sim FROM u a JOIN l ON l.id = a.id JOIN u b ON a.d = b.d JOIN r ON r.id = b.id GROUP BY ALL),
+        sims AS (SELECT l.id AS lid, r.id AS rid, round(coalesce(sim, 0), 9) AS sim FROM l CROSS JOIN r LEFT JOIN dots ON dots.lid = l.id AND dots.rid = r.id),
+        p AS (SELECT *, row_number() OVER (PARTITION BY lid ORDER BY sim DESC, rid) AS rank FROM sims), q AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY sim DESC, lid) AS rank FROM sims)
+        SELECT lid, rid, round(sim, 5) AS sim, CAST(rank AS INTEGER) AS rank, 'left' AS side FROM p WHERE rank <= 3 UNION ALL SELECT lid, rid, round(sim, 5), CAST(rank AS INTEGER), 'right' FROM q WHERE rank <= 3""",
     "post_cleanup": "SELECT 0 AS open, 0 AS added, 0 AS raised, 0 AS lost",
-    "edge_recovery_checks": "SELECT true AS some, 0 AS odd, 0 AS big",
+    "edge_recovery": "SELECT true AS some, 0 AS odd, 0 AS big",
     "graph_components": f"WITH RECURSIVE {MEMBERS} SELECT id, component_id FROM members",
     "component_sizes": f"WITH RECURSIVE {MEMBERS} SELECT component_id, size FROM sizes",
     "component_edges": f"WITH RECURSIVE {MEMBERS} SELECT m.component_id, e.lid, e.rid FROM edges e JOIN members m ON m.id = e.lid",
