@@ -100,7 +100,8 @@ def test_registered_caps(spark, frame, monkeypatch):
     class Recorded(catalog.CleanUp):
         def run(self, predictions):
             ran.append((self.budget, self.iterations, self.cap))
-            return type("Cleaned", (), {"stages": None})
+            counts = ("true_positives", "false_positives", "true_negatives", "false_negatives", "labeled_pairs", "negative_transitive_preds", "positive_transitive_preds")
+            return type("Cleaned", (), {"stages": frame([], "step int, stage string, " + ", ".join(f"{c} long" for c in counts))})
 
     class NoTables:
         companies = None
