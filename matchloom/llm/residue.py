@@ -234,6 +234,7 @@ META = set(
 #: So many words before a field a word of META counts as one about the field.
 META_REACH = 4
 _QUOTED = re.compile(r"[\"“„«'‘]([^\"”“»]{1,80})[\"”“»'’]")
+_QUOTES = "\"“„«'‘"
 _ENDS = re.compile(r"(?<=[.!?…])[\"”»)]*\s+|\n+")
 _TAG = re.compile(r"</?(?:p|b|i|em|strong|br|div|span|li|ul|h\d)\s*/?>", re.I)
 _WORD = re.compile(r"\d+|[^\W\d_]+|[|@{}\[\]<>%$#~*!?]")
@@ -278,7 +279,7 @@ def fields_in(passage: str) -> tuple[str, list[str]]:
 
 def unquoted(passage: str) -> str:
     """A sentence of eight words or more with a mark in place of what it quotes, if that is its smaller part."""
-    if not any(c in passage for c in "\"“„«'‘") or passage.count(" ") < 7:
+    if not any(c in passage for c in _QUOTES) or passage.count(" ") < 7:
         return passage
     return _QUOTED.sub(lambda m: " zquotez " if 2 * len(m[0]) < len(passage) else m[0], passage)
 
@@ -303,6 +304,8 @@ def trusted_label(passage: str, record_chars: int) -> float | None:
     0: a sentence of eight words or more that quotes a field or a known wording.  1: an unfilled field that
     nothing speaks about; a passage of a short record that a known wording covers.
     """
+    if record_chars > TRUSTED_CHARS and not _FIELD_HINT.search(passage) and not any(c in passage for c in _QUOTES):
+        return None
     words, field = words_of(passage)
     if "zquotez" in words and any(fields_in(q)[1] or _pairs(q) & _SEED_PAIRS for q in _QUOTED.findall(passage)):
         return 0.0
@@ -354,7 +357,8 @@ def coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     one = ~first & ~last
     two = ~last[:-1]
     cells = np.concatenate([cell(ids[one]) + half[one], cell((ids[:-1] << np.uint64(17) ^ ids[1:] * np.uint64(31))[two]) + half[:-1][two]])
-    keys = np.unique(np.concatenate([row[one], row[:-1][two]]) * _CELLS + cells)
+    keys = np.sort(np.concatenate([row[one], row[:-1][two]]) * _CELLS + cells)
+    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
     return keys // _CELLS, keys % _CELLS, field
 
 
