@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchloom.session import Scratch
+
 #: No more than this many keys are ever treated as hot: a key is hot when it holds
 #: at least 1/HOT_KEYS of all rows, so there cannot be more of them.
 HOT_KEYS = 500
@@ -46,9 +48,11 @@ def sliced_join(left: DataFrame, right: DataFrame, keys: list[str], slice_on: st
 
     The right rows of a key are cut by a hash of ``slice_on`` into slices of about ``slice_rows``; its left rows
     go to every slice.  A task has a slice of a key, not the whole product.  Both sides are read
-    twice, so they should be written tables.
+    twice, so they should be written tables.  The sliced keys, at most (right rows) / ``slice_rows``, are written, so
+    that Spark knows their size and broadcasts them only where that is small.
     """
     many = right.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / slice_rows).cast("int").alias("_slices")).where("_slices > 1")
+    many = Scratch(right.sparkSession, "slices").put("many", many)
     if many.isEmpty():
         return left.join(right, keys)
     n = F.coalesce("_slices", F.lit(1))
