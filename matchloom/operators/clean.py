@@ -62,16 +62,16 @@ def update_predictions(preds: DataFrame, scored: DataFrame, members: DataFrame,
     return apply_checks(zero_pairs(preds, minimum_cuts(match_graph(preds, threshold), bad, most)))
 
 
-def post_cleanup(preds: DataFrame, scored: DataFrame, threshold: float = MATCH_THRESHOLD, most: int = COMPONENT_CAP, max_rounds: int = 50) -> DataFrame:
+def post_cleanup(preds: DataFrame, scored: DataFrame, threshold: float = MATCH_THRESHOLD, most: int = COMPONENT_CAP) -> DataFrame:
     """Cuts components with more negative than positive transitive predictions until nothing is left to cut.
 
     Scores stay those given; only membership is computed anew.  A component of which all cut edges are
-    checked is left alone, so the rounds end.
+    checked is left alone, and each round deletes an edge, so the rounds end.
     """
     scratch = Scratch(preds.sparkSession, "post-cleanup")
     preds = scratch.put("preds", preds)
     scored = scratch.put("scored", scored)
-    for _ in range(max_rounds):
+    while True:
         edges = scratch.put("edges", match_graph(preds, threshold))
         members = scratch.put("members", components(edges))
         bad = transitive_votes(scored, members, threshold).where("negative > positive").select("component_id")
@@ -80,7 +80,6 @@ def post_cleanup(preds: DataFrame, scored: DataFrame, threshold: float = MATCH_T
         if open_.isEmpty():
             return preds
         preds = scratch.put("preds", zero_pairs(preds, open_))
-    raise RuntimeError(f"clean-up did not settle in {max_rounds} rounds")
 
 
 def check_large(preds: DataFrame, members: DataFrame, threshold: float = MATCH_THRESHOLD, most: int = COMPONENT_CAP) -> DataFrame:

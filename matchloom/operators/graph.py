@@ -43,19 +43,19 @@ def _union_find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"id": pd.Series(ids, dtype="int64"), "component_id": pd.Series([find(i) for i in ids], dtype="int64")})
 
 
-def components(edges: DataFrame, max_rounds: int = 60, one_task_edges: int = ONE_TASK_EDGES) -> DataFrame:
+def components(edges: DataFrame, one_task_edges: int = ONE_TASK_EDGES) -> DataFrame:
     """``(id, component_id)`` of every end of an edge; component_id is the smallest id.
 
     Small graphs are solved in one task.  Else large-star and small-star rounds in turn over edge rows, so no node's neighbourhood is ever
-    collected; each round's edges are written to the shared folder.  Ends when a round changes
-    nothing.  Nodes with very many neighbours find their minimum by a broadcast of at most 500 rows.
+    collected; each round's edges are written to the shared folder.  Ends when the edges are a flat
+    forest, after rounds that grow with the square of the logarithm of the nodes at most.  Nodes with very many neighbours find their minimum by a broadcast of at most 500 rows.
     """
     spark = edges.sparkSession
     scratch = Scratch(spark, "components")
     e = scratch.put("edges", distinct_pairs(edges))
     if e.count() <= one_task_edges:
         return e.coalesce(1).mapInPandas(_union_find, "id long, component_id long")
-    for _ in range(max_rounds):
+    while True:
         # large star: every neighbour above v meets the smallest of v and its neighbours
         both = e.select(F.col("lid").alias("v"), F.col("rid").alias("u")).unionByName(e.select(F.col("rid").alias("v"), F.col("lid").alias("u")))
         large = scratch.put("large", _star(both, scratch).where("u > v").select(F.col("m").alias("lid"), F.col("u").alias("rid")).where("lid <> rid").distinct())
@@ -71,7 +71,6 @@ def components(edges: DataFrame, max_rounds: int = 60, one_task_edges: int = ONE
         if loose.isEmpty() and chained.isEmpty():
             roots = new.select(F.col("lid").alias("id")).distinct()
             return new.select(F.col("rid").alias("id"), F.col("lid").alias("component_id")).unionByName(roots.select("id", F.col("id").alias("component_id")))
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def _star(both: DataFrame, scratch: Scratch) -> DataFrame:
