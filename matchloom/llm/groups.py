@@ -29,20 +29,20 @@ def match_edges(matches: DataFrame, threshold: float, lid: str = "lid", rid: str
     )
 
 
-def hash_to_min(edges: DataFrame, max_rounds: int = 60, hot_rows: int = 100_000) -> DataFrame:
+def hash_to_min(edges: DataFrame, hot_rows: int = 100_000) -> DataFrame:
     """``(id, group_id)`` for every end of ``edges`` (a, b); ``group_id`` is the group's smallest id.
 
     Empty input gives an empty result; null ends and loops are ignored; repeated edges
     count once.  Vertices with very many members (hot) meet their minimum by a broadcast of
     at most 500 rows instead of a shuffle, so no task receives a whole giant group.
-    Raises RuntimeError if ``max_rounds`` do not suffice (the count grows with the
-    logarithm of the longest path).
+    The rounds go on until every group is a star; every one brings minima nearer, and their count grows
+    with the logarithm of the longest path.
     """
     spark = edges.sparkSession
     scratch = Scratch(spark, "hash-to-min")
     e = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where(F.col("a") != F.col("b"))
     sets = scratch.put("sets", e.select("a", "b").union(e.select("b", "a")).toDF("v", "u").distinct())
-    for _ in range(max_rounds):
+    while True:
         # partial aggregation runs before the shuffle, so a hot v costs one row per task
         mins = scratch.put(
             "mins",
@@ -51,7 +51,6 @@ def hash_to_min(edges: DataFrame, max_rounds: int = 60, hot_rows: int = 100_000)
         if mins.where((F.col("m") < F.col("v")) & (F.col("n") > 1)).isEmpty():
             return mins.select(F.col("v").alias("id"), F.col("m").alias("group_id"))
         sets = scratch.put("sets", _round(sets, mins, hot_rows))
-    raise RuntimeError(f"hash-to-min did not settle in {max_rounds} rounds")
 
 
 def _round(sets: DataFrame, mins: DataFrame, hot_rows: int) -> DataFrame:
