@@ -67,7 +67,7 @@ def numbered_words(classes: DataFrame, name: str = "tokens") -> DataFrame:
     return each.groupBy("class").agg(F.collect_list("t").alias(name))
 
 
-def near_classes(a: DataFrame, b: DataFrame, n: int = NGRAM, containment: float = CONTAINMENT, agreement: float = AGREEMENT) -> DataFrame:
+def near_classes(a: DataFrame, b: DataFrame, n: int = NGRAM, containment: float = CONTAINMENT, agreement: float = AGREEMENT, scratch: Scratch | None = None) -> DataFrame:
     """``(class_a, class_b, containment, agreement)``: pairs of different classes of a and b (class, words) that nearly agree.
 
     ``containment`` is the share of a's n-grams in b.  Exact for pairs that share the bound's part of the larger n-gram set:
@@ -75,7 +75,7 @@ def near_classes(a: DataFrame, b: DataFrame, n: int = NGRAM, containment: float
     within their first (1 - bound) part.  Size and position bounds cut candidates before the pair is built; a gram of many
     classes is joined in slices.
     """
-    scratch = Scratch(a.sparkSession, "split-overlap")
+    scratch = scratch or Scratch(a.sparkSession, "split-overlap")
     every = a.select("class", "words", F.lit(0).alias("side")).unionByName(b.select("class", "words", F.lit(1).alias("side")))
     sides = scratch.put("grams", every.select("class", "side", F.size("words").alias("len"), F.explode(ngram_hashes(F.col("words"), n)).alias("gram")))
     df = sides.groupBy("gram").agg(F.count(F.lit(1)).alias("df"), F.max("side").alias("s1"), F.min("side").alias("s0"))
@@ -152,12 +152,14 @@ def cross_split_overlaps(
     ev = wanted.join(classes.select("id", "class"), "id")
     tr_words = scratch.put("train-words", trained.join(classes, "id").groupBy("class").agg(F.first("words").alias("words")))
     ev_words = scratch.put("eval-words", wanted.select("id").distinct().join(classes, "id").groupBy("class").agg(F.first("words").alias("words")))
-    near = near_classes(ev_words, tr_words).select("class_a", "class_b", F.lit("near text").alias("kind"), "containment")
+    near = near_classes(ev_words, tr_words, scratch=scratch).select("class_a", "class_b", F.lit("near text").alias("kind"), "containment")
     same = ev_words.join(tr_words.select("class"), "class", "left_semi").select(
         F.col("class").alias("class_a"), F.col("class").alias("class_b"), F.lit("same text").alias("kind"), F.lit(1.0).alias("containment")
     )
     found = scratch.put("found", near.unionByName(same).join(ev.select("split", F.col("id").alias("eval_id"), F.col("class").alias("class_a")), "class_a").drop("class_a"))
     train_ids = scratch.put("train-ids", tr.select(F.col("id").alias("train_id"), F.col("class").alias("class_b")))
+    for name in ("classes", "train-words", "eval-words", "pairs", "own-a", "own-b"):
+        scratch.drop(name)
     # copies of one listing may hold a large part of either side
     by_text = sliced_join(found, train_ids, ["class_b"], "train_id").where(F.col("eval_id") != F.col("train_id"))
     by_id = wanted.join(trained, "id", "left_semi").select("split", F.col("id").alias("eval_id"), F.col("id").alias("train_id"), F.lit("same id").alias("kind"), F.lit(1.0).alias("containment"))
