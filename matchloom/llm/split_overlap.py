@@ -102,18 +102,25 @@ def near_classes(a: DataFrame, b: DataFrame, n: int = NGRAM, containment: float
     pairs = scratch.put("pairs", pairs)
     scratch.drop("prefix")
 
-    def bags(side: DataFrame, mark: str) -> DataFrame:
-        own = side.join(pairs.select(F.col(f"class_{mark}").alias("class")).distinct(), "class", "left_semi")
-        own = scratch.put(f"own-{mark}", own.select("class", "words"))
-        return own.select("class", ngram_hashes(F.col("words"), n).alias(f"grams_{mark}")).join(numbered_words(own, f"words_{mark}"), "class").withColumnRenamed("class", f"class_{mark}")
+    def own(side: DataFrame, of: DataFrame, mark: str) -> DataFrame:
+        return side.join(of.select(F.col(f"class_{mark}").alias("class")).distinct(), "class", "left_semi").select("class", "words")
+
+    def grams(side: DataFrame, mark: str) -> DataFrame:
+        return own(side, pairs, mark).select(F.col("class").alias(f"class_{mark}"), ngram_hashes(F.col("words"), n).alias(f"grams_{mark}"))
 
-    both = pairs.join(bags(a, "a"), "class_a").join(bags(b, "b"), "class_b")
+    both = pairs.join(grams(a, "a"), "class_a").join(grams(b, "b"), "class_b")
     shared = F.size(F.array_intersect("grams_a", "grams_b"))
+    held = both.select("class_a", "class_b", (shared / F.size("grams_a")).alias("containment"), (shared / F.greatest(F.size("grams_a"), F.size("grams_b"))).alias("_least"))
+    # the words of the few pairs that hold enough of each other's n-grams
+    close = scratch.put("close", held.where(F.col("_least") >= containment).drop("_least"))
+    scratch.drop("pairs")
+
+    def bags(side: DataFrame, mark: str) -> DataFrame:
+        return numbered_words(own(side, close, mark), f"words_{mark}").withColumnRenamed("class", f"class_{mark}")
+
+    worded = close.join(bags(a, "a"), "class_a").join(bags(b, "b"), "class_b")
     alike = F.size(F.array_intersect("words_a", "words_b")) / F.greatest(F.size("words_a"), F.size("words_b"))
-    scored = both.select(
-        "class_a", "class_b", (shared / F.size("grams_a")).alias("containment"), (shared / F.greatest(F.size("grams_a"), F.size("grams_b"))).alias("_least"), alike.alias("agreement")
-    )
-    return scored.where((F.col("_least") >= containment) & (F.col("agreement") >= agreement)).drop("_least")
+    return worded.select("class_a", "class_b", "containment", alike.alias("agreement")).where(F.col("agreement") >= agreement)
 
 
 def split_ids(pairs: DataFrame) -> DataFrame:
@@ -158,7 +165,7 @@ def cross_split_overlaps(
     )
     found = scratch.put("found", near.unionByName(same).join(ev.select("split", F.col("id").alias("eval_id"), F.col("class").alias("class_a")), "class_a").drop("class_a"))
     train_ids = scratch.put("train-ids", tr.select(F.col("id").alias("train_id"), F.col("class").alias("class_b")))
-    for name in ("classes", "train-words", "eval-words", "pairs", "own-a", "own-b"):
+    for name in ("classes", "train-words", "eval-words", "close"):
         scratch.drop(name)
     # copies of one listing may hold a large part of either side
     by_text = sliced_join(found, train_ids, ["class_b"], "train_id").where(F.col("eval_id") != F.col("train_id"))
