@@ -2,13 +2,19 @@
 
 Evaluation and training records are compared by the hashes of their word n-grams.  Copies of
 one text are one class.  Training classes are scanned for hits of the rare n-grams that any pair above the
-containment bound must share (prefix filter, exact); each hit gets its containment, the share of the evaluation
-record's n-grams that the training record holds, and is kept if the words agree, too.
+containment bound must share (prefix filter, exact), unless their words are seen to differ too much; each hit gets its
+containment, the share of the evaluation record's n-grams that the training record holds, and is kept if the words agree, too.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import functools
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.functions.skew import sliced_join
@@ -19,6 +25,11 @@ NGRAM = 3
 CONTAINMENT = 0.6
 #: Share of the longer record's words that must agree.
 AGREEMENT = 0.8
+#: Against products that rounding lifts above a whole number.
+SLACK = 1e-9
+#: Prefix grams that one round joins, and the most rounds.
+ROUND_GRAMS = 4_000_000
+ROUNDS = 8
 
 
 def plain_words(text: Column) -> Column:
@@ -67,58 +78,177 @@ def numbered_words(classes: DataFrame, name: str = "tokens") -> DataFrame:
     return each.groupBy("class").agg(F.collect_list("t").alias(name))
 
 
+class GramCounts:
+    """About how many records of either side hold a gram: a byte per slot of its hash, 8 log2(1 + grams in the slot).  No more than 2 x 2^24 bytes, whatever the input."""
+
+    CHUNK = 1 << 18
+
+    def __init__(self, slots: int, chunks: dict[int, bytes]):
+        self.slots, self.chunks, self.table = slots, chunks, None
+
+    @classmethod
+    def of(cls, sides: DataFrame, n: int, scratch: Scratch) -> GramCounts:
+        """From ``(side, len, hashes)``; what is shuffled is the slots, packed."""
+        total = sides.agg(F.sum(F.greatest(F.lit(1), F.col("len") - (n - 1)))).first()[0] or 0
+        slots = 1 << min(24, max(12, int(total).bit_length()))
+        size, chunks = cls.CHUNK, -(-2 * slots // cls.CHUNK)
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                gram, row = _grams(*_lists(b.column("hashes")), n)
+                spot = np.sort((gram & (slots - 1)) * 2 + b.column("side").to_numpy()[row])
+                ends = np.searchsorted(spot, np.arange(chunks + 1) * size)
+                held = [k for k in range(chunks) if ends[k] < ends[k + 1]]
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array(held, pa.int32()), "at": pa.array([(spot[ends[k] : ends[k + 1]] - k * size).astype(np.uint32).tobytes() for k in held], pa.binary())})
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, np.ndarray] = {}
+            for b in batches:
+                for k, at in zip(b.column("chunk").to_pylist(), b.column("at").to_pylist()):
+                    held.setdefault(k, np.zeros(size, np.int64))
+                    held[k] += np.bincount(np.frombuffer(at, np.uint32), minlength=size)
+            codes = [zlib.compress(np.minimum(255, np.ceil(8 * np.log2(1 + x))).astype(np.uint8).tobytes(), 1) for x in held.values()]
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array(held.keys(), pa.int32()), "codes": pa.array(codes, pa.binary())})
+
+        packed = sides.select("side", "hashes").mapInArrow(pack, "chunk int, at binary").repartition(chunks, "chunk")
+        told = scratch.put("gram-counts", packed.mapInArrow(count, "chunk int, codes binary"))
+        counts = cls(slots, {r["chunk"]: bytes(r["codes"]) for r in told.collect()})
+        scratch.drop("gram-counts")
+        return counts
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"table": None}
+
+    def cost(self, grams: np.ndarray) -> np.ndarray:
+        """The log of the pairs that the gram may bring, 0 if one side has none."""
+        if self.table is None:
+            none = bytes(self.CHUNK)
+            held = [zlib.decompress(self.chunks[k]) if k in self.chunks else none for k in range(-(-2 * self.slots // self.CHUNK))]
+            self.table = np.frombuffer(b"".join(held), np.uint8).astype(np.uint8)
+        spot = (grams & (self.slots - 1)) * 2
+        a, b = self.table[spot].astype(np.int16), self.table[spot + 1].astype(np.int16)
+        return np.where((a > 0) & (b > 0), a + b, 0)
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _grams(hashes: np.ndarray, sizes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the word n-grams, from those of the words, and the row of each; as :func:`ngram_hashes` a shorter text is one gram."""
+    many, ends = np.maximum(1, sizes - (n - 1)), np.cumsum(sizes)
+    row = np.repeat(np.arange(len(sizes)), many)
+    first = (ends - sizes)[row] + np.arange(len(row)) - (np.cumsum(many) - many)[row]
+    words, gram = np.append(hashes, 0).view(np.uint64), np.zeros(len(row), np.uint64)
+    for j in range(n):
+        gram = (gram ^ np.where(first + j < ends[row], words[np.minimum(first + j, len(hashes))], np.uint64(0))) * np.uint64(0x9E3779B97F4A7C15)
+        gram ^= gram >> np.uint64(32)
+    return gram.view(np.int64), row
+
+
+def _parity(hashes: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """128 bits a list in two numbers: each element turns one bit over."""
+    bit, starts, out = np.left_shift(np.int64(1), hashes & 63), np.cumsum(sizes) - sizes, []
+    for k in (0, 1):
+        x = np.bitwise_xor.reduceat(np.append(np.where((hashes >> 6) & 1 == k, bit, 0), 0), starts)
+        out.append(np.where(sizes > 0, x, 0))
+    return out
+
+
+def prefixes(sides: DataFrame, n: int, containment: float, scratch: Scratch) -> DataFrame:
+    """A written table ``(class, side, len, n, s0, s1, grams, at)``: of the records ``(class, side, len, hashes of the words)`` the grams that a partner must share one of, with their places from the rarest on.
+
+    ``s0`` and ``s1`` hold the parity of the words' hashes: of two records no more bits differ than words.
+    """
+    shared = sides.sparkSession.sparkContext.broadcast(GramCounts.of(sides, n, scratch))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            words = _lists(b.column("hashes"))
+            gram, row = _grams(*words, n)
+            key = row * 1024 + shared.value.cost(gram)
+            order = np.lexsort((gram, key))
+            gram, key = gram[order], key[order]
+            once = np.append(True, (gram[1:] != gram[:-1]) | (key[1:] != key[:-1]))
+            gram, cost, row = gram[once], key[once] % 1024, row[once]  # row is in order and stays so
+            held = np.bincount(row, minlength=b.num_rows)
+            at = np.arange(len(gram)) - (np.cumsum(held) - held)[row] + 1
+            keep = (at <= (held - np.ceil(held * containment - SLACK).astype(np.int64) + 1)[row]) & (cost > 0)
+            left = np.bincount(row[keep], minlength=b.num_rows)
+            some = pa.array(left > 0)
+            offsets = pa.array(np.append(0, np.cumsum(left[left > 0])).astype(np.int32))
+            parity = [pa.array(x).filter(some) for x in _parity(*words)]
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (gram[keep], at[keep].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("class").filter(some), b.column("side").filter(some), b.column("len").filter(some), pa.array(held.astype(np.int32)).filter(some), *parity, *lists],
+                names=["class", "side", "len", "n", "s0", "s1", "grams", "at"],
+            )
+
+    kind = sides.schema["class"].dataType.simpleString()
+    kept = scratch.put("prefix", sides.mapInArrow(cut, f"class {kind}, side int, len int, n int, s0 long, s1 long, grams array<long>, at array<int>"))
+    shared.destroy()
+    return kept
+
+
 def near_classes(a: DataFrame, b: DataFrame, n: int = NGRAM, containment: float = CONTAINMENT, agreement: float = AGREEMENT, scratch: Scratch | None = None) -> DataFrame:
     """``(class_a, class_b, containment, agreement)``: pairs of different classes of a and b (class, words) that nearly agree.
 
     ``containment`` is the share of a's n-grams in b.  Exact for pairs that share the bound's part of the larger n-gram set:
     grams are ordered by rarity in a and b together, and two sets with that overlap share a gram
-    within their first (1 - bound) part.  Size and position bounds cut candidates before the pair is built; a gram of many
-    classes is joined in slices.
+    within their first (1 - bound) part.  The order may be any that both sides use, so rarity is taken from counts of hash
+    slots.  Bounds by size, position and differing words cut candidates inside the join, so that what is written doesn't grow with
+    the candidates; a gram of many classes is joined in slices, and the grams are joined in rounds, a part of them at a time.
     """
-    scratch = scratch or Scratch(a.sparkSession, "split-overlap")
-    every = a.select("class", "words", F.lit(0).alias("side")).unionByName(b.select("class", "words", F.lit(1).alias("side")))
-    sides = scratch.put("grams", every.select("class", "side", F.size("words").alias("len"), F.explode(ngram_hashes(F.col("words"), n)).alias("gram")))
-    df = sides.groupBy("gram").agg(F.count(F.lit(1)).alias("df"), F.max("side").alias("s1"), F.min("side").alias("s0"))
-    w = Window.partitionBy("class", "side")
-    ranked = (
-        sides.join(df, "gram")
-        .withColumn("at", F.row_number().over(w.orderBy("df", "gram")))
-        .withColumn("n", F.count(F.lit(1)).over(w))
-    )
-    kept = ranked.where((F.col("at") <= F.col("n") - F.ceil(F.col("n") * containment) + 1) & (F.col("s0") < F.col("s1")))
-    kept = scratch.put("prefix", kept.select("class", "side", "len", "gram", "at", "n"))
-    scratch.drop("grams")
-    x = kept.where("side = 0").select(F.col("class").alias("class_a"), "gram", F.col("at").alias("at_a"), F.col("n").alias("n_a"), F.col("len").alias("len_a"))
-    y = kept.where("side = 1").select(F.col("class").alias("class_b"), "gram", F.col("at").alias("at_b"), F.col("n").alias("n_b"), F.col("len").alias("len_b"))
-    need = F.ceil(F.greatest("n_a", "n_b") * containment)
-    pairs = (
-        sliced_join(x, y, ["gram"], "class_b")
-        .where(F.col("class_a") != F.col("class_b"))
-        .where(F.least("len_a", "len_b") >= agreement * F.greatest("len_a", "len_b"))
-        .where(F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) + 1 >= need)
-        .select("class_a", "class_b")
-        .distinct()
-    )
-    pairs = scratch.put("pairs", pairs)
+    scratch = scratch or Scratch(a.sparkSession, "split-overlap", lean=True)
+    every = a.select("class", "words", F.lit(0).alias("side")).unionByName(b.select("class", "words", F.lit(1).alias("side"))).where(F.size("words") > 0)
+    sides = every.select("class", "side", F.size("words").alias("len"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    kept = prefixes(sides, n, containment, scratch)
+    rounds = min(ROUNDS, -(-(kept.agg(F.sum(F.size("grams"))).first()[0] or 1) // ROUND_GRAMS))
+    need = F.ceil(F.greatest("n_a", "n_b") * containment - SLACK)
+    # words that may differ: both lengths less twice what must agree
+    may = F.col("len_a") + F.col("len_b") - 2 * F.ceil(F.greatest("len_a", "len_b") * agreement - SLACK)
+    differ = F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))) + F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b")))
+
+    def part(side: int, mark: str, k: int) -> DataFrame:
+        x = kept.where(F.col("side") == side).select(*(F.col(c).alias(f"{c}_{mark}") for c in ("class", "len", "n", "s0", "s1")), F.explode(F.arrays_zip("grams", "at")).alias("x"))
+        x = x.select("*", F.col("x.grams").alias("gram"), F.col("x.at").alias(f"at_{mark}")).drop("x")
+        return x.where(F.pmod("gram", F.lit(rounds)) == k) if rounds > 1 else x
+
+    parts = []
+    for k in range(rounds):
+        met = (
+            sliced_join(part(0, "a", k), part(1, "b", k), ["gram"], "class_b", scratch=scratch)
+            .where(F.col("class_a") != F.col("class_b"))
+            .where(differ <= may)
+            .where(F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) + 1 >= need)
+        )
+        parts.append(scratch.put(f"pairs-{k}", met.select("class_a", "class_b").distinct()))
     scratch.drop("prefix")
-
-    def own(side: DataFrame, of: DataFrame, mark: str) -> DataFrame:
-        return side.join(of.select(F.col(f"class_{mark}").alias("class")).distinct(), "class", "left_semi").select("class", "words")
-
-    def grams(side: DataFrame, mark: str) -> DataFrame:
-        return own(side, pairs, mark).select(F.col("class").alias(f"class_{mark}"), ngram_hashes(F.col("words"), n).alias(f"grams_{mark}"))
-
-    both = pairs.join(grams(a, "a"), "class_a").join(grams(b, "b"), "class_b")
+    pairs = parts[0] if rounds == 1 else scratch.put("pairs", functools.reduce(DataFrame.unionByName, parts).distinct())
+    if rounds > 1:
+        for k in range(rounds):
+            scratch.drop(f"pairs-{k}")
+    paired = pairs.select(F.col("class_a").alias("class"), F.lit(0).alias("side")).unionByName(pairs.select(F.col("class_b").alias("class"), F.lit(1).alias("side"))).distinct()
+    # one string takes half the room of an array in a shuffle
+    joined = every.select("class", "side", F.concat_ws("\n", "words").alias("text")).join(paired, ["class", "side"], "left_semi")
+    own = scratch.put("own", joined.select("class", "side", F.split("text", "\n").alias("words")))
+
+    def grams(side: int, mark: str) -> DataFrame:
+        return own.where(F.col("side") == side).select(F.col("class").alias(f"class_{mark}"), ngram_hashes(F.col("words"), n).alias(f"grams_{mark}"))
+
+    both = pairs.join(grams(0, "a"), "class_a").join(grams(1, "b"), "class_b")
     shared = F.size(F.array_intersect("grams_a", "grams_b"))
     held = both.select("class_a", "class_b", (shared / F.size("grams_a")).alias("containment"), (shared / F.greatest(F.size("grams_a"), F.size("grams_b"))).alias("_least"))
     # the words of the few pairs that hold enough of each other's n-grams
     close = scratch.put("close", held.where(F.col("_least") >= containment).drop("_least"))
-    scratch.drop("pairs")
 
-    def bags(side: DataFrame, mark: str) -> DataFrame:
-        return numbered_words(own(side, close, mark), f"words_{mark}").withColumnRenamed("class", f"class_{mark}")
+    def bags(side: int, mark: str) -> DataFrame:
+        some = own.where(F.col("side") == side).join(close.select(F.col(f"class_{mark}").alias("class")).distinct(), "class", "left_semi")
+        return numbered_words(some, f"words_{mark}").withColumnRenamed("class", f"class_{mark}")
 
-    worded = close.join(bags(a, "a"), "class_a").join(bags(b, "b"), "class_b")
+    worded = close.join(bags(0, "a"), "class_a").join(bags(1, "b"), "class_b")
     alike = F.size(F.array_intersect("words_a", "words_b")) / F.greatest(F.size("words_a"), F.size("words_b"))
     return worded.select("class_a", "class_b", "containment", alike.alias("agreement")).where(F.col("agreement") >= agreement)
 
@@ -144,31 +274,33 @@ def cross_split_overlaps(
     Only the listings that the tables name are read into words.  Null ids are ignored; empty tables give an empty result; extra
     columns are not read.
     """
-    spark = listings.sparkSession
-    scratch = Scratch(spark, "cross-split")
+    scratch = Scratch(listings.sparkSession, "cross-split", lean=True)
     trained = scratch.put("train", split_ids(train))
     wanted = None
     for name, pairs in evaluation.items():
         part = split_ids(pairs).withColumn("split", F.lit(name))
         wanted = part if wanted is None else wanted.unionByName(part)
     wanted = scratch.put("eval", wanted)
-    named = trained.unionByName(wanted.select("id")).distinct()
-    own = listings.join(named.withColumnRenamed("id", id_col), id_col, "left_semi")
-    classes = scratch.put("classes", text_classes(own, id_col, title_col, text_col))
-    tr = trained.join(classes.select("id", "class"), "id")
-    ev = wanted.join(classes.select("id", "class"), "id")
-    tr_words = scratch.put("train-words", trained.join(classes, "id").groupBy("class").agg(F.first("words").alias("words")))
-    ev_words = scratch.put("eval-words", wanted.select("id").distinct().join(classes, "id").groupBy("class").agg(F.first("words").alias("words")))
-    near = near_classes(ev_words, tr_words, scratch=scratch).select("class_a", "class_b", F.lit("near text").alias("kind"), "containment")
-    same = ev_words.join(tr_words.select("class"), "class", "left_semi").select(
+    named = trained.select("id", F.lit(1).alias("tr"), F.lit(0).alias("ev")).unionByName(wanted.select("id", F.lit(0).alias("tr"), F.lit(1).alias("ev")))
+    named = scratch.put("named", named.groupBy("id").agg(F.max("tr").alias("tr"), F.max("ev").alias("ev")))
+    own = listings.join(named.select(F.col("id").alias(id_col)), id_col, "left_semi")
+    listed = scratch.put("listed", text_classes(own, id_col, title_col, text_col).select("id", F.unhex("class").alias("class"), F.concat_ws(" ", "words").alias("text")).join(named, "id"))
+    # from here on a class goes by its smallest id, which takes less room than the md5
+    texts = scratch.put("texts", listed.groupBy("class").agg(F.min("id").alias("rep"), F.first("text").alias("text"), F.max("tr").alias("tr"), F.max("ev").alias("ev")))
+    members = scratch.put("members", listed.select("id", "class", "tr", "ev").join(texts.select("class", "rep"), "class").select("id", F.col("rep").alias("class"), "tr", "ev"))
+    scratch.drop("listed")
+    texts = texts.select(F.col("rep").alias("class"), F.split("text", " ").alias("words"), "tr", "ev")
+    near = near_classes(texts.where("ev = 1"), texts.where("tr = 1"), scratch=scratch).select("class_a", "class_b", F.lit("near text").alias("kind"), "containment")
+    same = texts.where("ev = 1 and tr = 1").select(
         F.col("class").alias("class_a"), F.col("class").alias("class_b"), F.lit("same text").alias("kind"), F.lit(1.0).alias("containment")
     )
-    found = scratch.put("found", near.unionByName(same).join(ev.select("split", F.col("id").alias("eval_id"), F.col("class").alias("class_a")), "class_a").drop("class_a"))
-    train_ids = scratch.put("train-ids", tr.select(F.col("id").alias("train_id"), F.col("class").alias("class_b")))
-    for name in ("classes", "train-words", "eval-words", "close"):
+    ev = wanted.join(members.where("ev = 1").select("id", "class"), "id").select("split", F.col("id").alias("eval_id"), F.col("class").alias("class_a"))
+    found = scratch.put("found", near.unionByName(same).join(ev, "class_a").drop("class_a"))
+    train_ids = scratch.put("train-ids", members.where("tr = 1").select(F.col("id").alias("train_id"), F.col("class").alias("class_b")))
+    for name in ("named", "texts", "members", "pairs", "pairs-0", "own", "close"):
         scratch.drop(name)
     # copies of one listing may hold a large part of either side
-    by_text = sliced_join(found, train_ids, ["class_b"], "train_id").where(F.col("eval_id") != F.col("train_id"))
+    by_text = sliced_join(found, train_ids, ["class_b"], "train_id", scratch=scratch).where(F.col("eval_id") != F.col("train_id"))
     by_id = wanted.join(trained, "id", "left_semi").select("split", F.col("id").alias("eval_id"), F.col("id").alias("train_id"), F.lit("same id").alias("kind"), F.lit(1.0).alias("containment"))
     return by_id.unionByName(by_text.select("split", "eval_id", "train_id", "kind", "containment"))
 

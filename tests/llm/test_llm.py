@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -355,6 +356,52 @@ def test_near_classes_match_brute_force(frame):
         assert abs(r["containment"] - len(gx & gy) / len(gx)) < 1e-9
 
 
+@pytest.mark.parametrize("round_grams", [4_000_000, 40])
+def test_near_classes_in_rounds(frame, monkeypatch, round_grams):
+    from collections import Counter
+
+    monkeypatch.setattr(split_overlap, "ROUND_GRAMS", round_grams)
+    rng = random.Random(23)
+    texts = [[f"w{rng.randrange(9)}" for _ in range(rng.choice([0, 1, 2, 3, 5, 12, 200]))] for _ in range(40)]
+    texts += [[w if rng.random() > 0.04 else "zz" for w in t] for t in texts]
+    data = [(i, t) for i, t in enumerate(texts)]
+    want = set()
+    for (i, x), (j, y) in itertools.product(data, data):
+        gx, gy = ({tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))} for w in (x, y))
+        if i != j and x and y and 5 * len(gx & gy) >= 3 * max(len(gx), len(gy)) and 5 * sum((Counter(x) & Counter(y)).values()) >= 4 * max(len(x), len(y)):
+            want.add((i, j))
+    a = frame(data, "class long, words array<string>")
+    assert {(r["class_a"], r["class_b"]) for r in split_overlap.near_classes(a, a).collect()} == want and want
+
+
+def test_near_classes_write_no_candidates(frame, monkeypatch):
+    """90,000 pairs share enough grams, but their words differ: they must not reach the disk, nor must each gram's row."""
+    from matchloom.session import Scratch
+
+    written, put = [], Scratch.put
+    monkeypatch.setattr(Scratch, "put", lambda self, name, df: written.append((name, (t := put(self, name, df)).count())) or t)
+    common = [f"c{k}" for k in range(20)]
+    a = frame([(f"a{i}", common + [f"a{i}x{k}" for k in range(10)]) for i in range(300)], "class string, words array<string>")
+    b = frame([(f"b{i}", common + [f"{'a' if i == 7 else 'b'}{i}x{k}" for k in range(10)]) for i in range(300)], "class string, words array<string>")
+    assert [(r["class_a"], r["class_b"]) for r in split_overlap.near_classes(a, b).collect()] == [("a7", "b7")]
+    assert max(n for _, n in written) < 10_000, written
+
+
+def test_lean_scratch_leaves_no_shuffle_files(spark):
+    from matchloom.session import FILE_CLEANUP, Scratch
+
+    kept = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(",").count("shuffle_")
+    spark._jvm.System.gc()
+    before = kept()
+    t = Scratch(spark, "lean", lean=True).put("t", spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(50):
+        if kept() <= before:
+            break
+        time.sleep(0.1)
+    assert kept() <= before and t.count() == 7
+    assert spark.conf.get(FILE_CLEANUP, "false") == "false"
+
+
 # 8 packing
 
 
