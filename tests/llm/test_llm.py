@@ -246,6 +246,17 @@ def test_terms(frame):
     assert rows(log_odds(df.limit(0))) == []
 
 
+def test_shared_rare_terms_make_no_score(spark, frame, tmp_path):
+    """Nothing is joined that p5_found doesn't read: its counts meet the records' numbers once, the lengths for the score never."""
+    from matchloom.llm.catalog import p5_found, p5_scores
+
+    data = [(1, "Vekso vekso pump, the pump of the mill"), (2, "vekso makes the mill"), (3, None), (5, "mill mill of the mill " * 20), (None, "vekso vekso")]
+    frame(data, "id long, description string").write.parquet(f"{tmp_path}/companies.parquet")
+    found = p5_found(spark, str(tmp_path))
+    assert rows(found) == [(1, "vekso"), (5, "mill")] == rows(shared_rare_terms(p5_scores(spark, str(tmp_path))))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
 # 6 linking
 
 
