@@ -336,3 +336,14 @@ def test_core_does_not_need_the_subpackage():
     for f in root.rglob("*.py"):
         if "llm" not in f.relative_to(root).parts:
             assert "matchloom.llm" not in f.read_text()
+
+
+def test_top_overlap_joins_no_frequent_word_and_goes_in_rounds(frame, monkeypatch):
+    met = []
+    join = blocking.sliced_join
+    monkeypatch.setattr(blocking, "sliced_join", lambda *a, **k: (out := join(*a, **k), met.append(out.count()))[0])
+    # w1 is held by 90 of 400 records, fewer than the 200 that were joined record by record
+    data = frame([(i, "xyz"[i % 3], f"w{1 if i < 90 else i // 3} {'ab'[i % 2]}") for i in range(400)], "id long, src string, t string")
+    whole = blocking.top_token_overlap(data, "t", 3, "src")
+    assert met[0] < 3 * 400
+    assert rows(blocking.top_token_overlap(data, "t", 3, "src", round_sets=50)) == rows(whole)
