@@ -234,3 +234,34 @@ def test_order_and_partitions_do_not_matter(frame):
     other = preds(frame, edges).repartition(7)
     for f in (lambda p: graph.minimum_cuts(graph.match_graph(p), graph.components(graph.match_graph(p))), lambda p: graph.transitive_pairs(graph.match_graph(p), graph.components(graph.match_graph(p)))):
         assert rows(f(base)) == rows(f(other))
+
+
+def test_post_cleanup_of_large_components_equals_its_rounds(frame):
+    from matchloom.operators.scoring import TokenScorer
+
+    rng = random.Random(23)
+    at, edges, names = 0, [], []
+    for n, extra in ((70, 12), (30, 25), (9, 3), (2, 0)):
+        names += [(at + i, rng.choice((None, "a b", "a b", "b c", "a b c", "d e"))) for i in range(n) if rng.random() < 0.95]
+        edges += {(at + rng.randrange(i), at + i) for i in range(1, n)} | {tuple(sorted(at + x for x in rng.sample(range(n), 2))) for _ in range(extra)}
+        at += 100
+    p = frame([(a, b, 1.0, "x", 1, 1 if rng.random() < 0.1 else -1) for a, b in sorted(set(edges))], PREDS)
+    records, scorer = frame(names, "id long, name string"), TokenScorer("name", cut=0.5)
+    e = graph.match_graph(p)
+    s = scorer.score(graph.transitive_pairs(e, graph.components(e), None), records).localCheckpoint()
+    # the rounds, one cut of every component at a time
+    want = p.localCheckpoint()
+    while True:
+        e = graph.match_graph(want)
+        m = graph.components(e).localCheckpoint()
+        bad = graph.transitive_votes(s, m).where("negative > positive").select("component_id")
+        cut = graph.minimum_cuts(e, m.join(bad, "component_id", "left_semi"), None).select("lid", "rid")
+        cut = cut.join(want.where("manual_check_label < 0").select("lid", "rid"), ["lid", "rid"], "left_semi").localCheckpoint()
+        if cut.isEmpty():
+            break
+        want = clean.zero_pairs(want, cut).localCheckpoint()
+    assert want.where("prob = 0 and lid < 100").count() > 0
+    assert rows(clean.post_cleanup_whole(p, records, scorer)) == rows(want) == rows(clean.post_cleanup(p, s, most=None))
+    e = graph.match_graph(p)
+    m = graph.components(e)
+    assert rows(clean.closure_votes(e, m, records, scorer)) == rows(graph.transitive_votes(s, m))
