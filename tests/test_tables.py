@@ -347,3 +347,10 @@ def test_top_overlap_joins_no_frequent_word_and_goes_in_rounds(frame, monkeypatc
     whole = blocking.top_token_overlap(data, "t", 3, "src")
     assert met[0] < 3 * 400
     assert rows(blocking.top_token_overlap(data, "t", 3, "src", round_sets=50)) == rows(whole)
+
+
+def test_search_depth_in_slices(frame):
+    recs = frame([(i, f"a w{i % 7} v{i % 3}") for i in range(40)], "id long, t string")
+    ranked = frame([(l, (l + r) % 40, r, float(20 - r)) for l in range(40) for r in range(1, 13)], "lid long, rid long, rank int, sim double")
+    whole = blocking.search_depth(ranked, TokenScorer("t"), recs, step=3, most=12)
+    assert rows(blocking.search_depth(ranked, TokenScorer("t"), recs, step=3, most=12, slice_rows=100)) == rows(whole)
