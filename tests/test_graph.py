@@ -265,3 +265,21 @@ def test_post_cleanup_of_large_components_equals_its_rounds(frame):
     e = graph.match_graph(p)
     m = graph.components(e)
     assert rows(clean.closure_votes(e, m, records, scorer)) == rows(graph.transitive_votes(s, m))
+
+
+def test_clean_up_prepares_records_once(frame):
+    from matchloom.operators.scoring import TokenScorer
+    from matchloom.plans.pipeline import CleanUp
+
+    class Counted(TokenScorer):
+        prepared = 0
+
+        def prepare(self, records):
+            self.prepared += 1
+            return super().prepare(records)
+
+    scorer = Counted("name", cut=0.5)
+    p = frame([(1, 2, 1.0, "x", 1, -1), (2, 3, 1.0, "x", 0, -1)], PREDS)
+    out = CleanUp(scorer, frame([(1, "a b"), (2, "a b"), (3, "z")], "id long, name string"), budget=2, iterations=1).run(p)
+    assert scorer.prepared == 1
+    assert out.stages.where("step = 0").first()["negative_transitive_preds"] == 1
