@@ -283,3 +283,9 @@ def test_clean_up_prepares_records_once(frame):
     out = CleanUp(scorer, frame([(1, "a b"), (2, "a b"), (3, "z")], "id long, name string"), budget=2, iterations=1).run(p)
     assert scorer.prepared == 1
     assert out.stages.where("step = 0").first()["negative_transitive_preds"] == 1
+
+
+def test_components_are_spread_over_the_cores(frame, spark):
+    e = frame([(i * 10, i * 10 + 1) for i in range(200)], "lid long, rid long")
+    rows_ = graph.edges_of(e, graph.components(e))
+    assert graph.per_component(rows_).applyInPandas(lambda g: g[["component_id"]], "component_id long").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
